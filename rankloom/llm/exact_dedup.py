@@ -36,11 +36,14 @@ def chunks_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
 
 
-def _colliding(chunks: DataFrame) -> DataFrame:
-    """(chunk_hash, chunk) of every hash that stands for more than one chunk text; distinct chunks are combined before the shuffle."""
+def _colliding(chunks: DataFrame) -> DataFrame | None:
+    """(chunk_hash, chunk) of every hash that stands for more than one chunk text, None if there is no such hash.
+
+    Equal chunks are combined before the shuffle, so every chunk text moves once for each task that has it.
+    """
     distinct = chunks.groupBy("chunk_hash", "chunk").agg(F.lit(1).alias("one"))
-    shared = distinct.groupBy("chunk_hash").agg(F.count("*").alias("n_texts")).filter("n_texts > 1")
-    return distinct.join(shared, "chunk_hash", "left_semi").select("chunk_hash", "chunk")
+    shared = materialize(distinct.groupBy("chunk_hash").agg(F.count("*").alias("n_texts")).filter("n_texts > 1"), "shared-hashes")
+    return None if shared.isEmpty() else distinct.join(shared, "chunk_hash", "left_semi").select("chunk_hash", "chunk")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_hash=F.xxhash64) -> DataFrame:
@@ -52,11 +55,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chunk_hash names a chunk before it is verified; hashes shared by different chunk texts are told apart by a variant number.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), normalise(F.col(text_col)).alias("norm")).withColumn("chunks", chunks_of(F.col("norm")))
-    collisions = materialize(_colliding(base.select(F.explode("chunks").alias("chunk")).withColumn("chunk_hash", chunk_hash(F.col("chunk")))), "chunk-collisions")
+    collisions = _colliding(base.select(F.explode("chunks").alias("chunk")).withColumn("chunk_hash", chunk_hash(F.col("chunk"))))
     digest = F.sha2(F.col("norm"), 256).alias("text_sha256")
     recipe = F.transform("chunks", lambda c: chunk_hash(c))
     rows = base.select("doc_id", digest, recipe.alias("recipe"))
-    if not collisions.isEmpty():
+    if collisions is not None:
         rows = _with_variants(base, rows, collisions, chunk_hash)
     rows = materialize(rows, "recipes")
     groups = rows.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
