@@ -95,27 +95,22 @@ COMBINED = r'^\S+\s+\S+\s+\S+\s+\[([^\]]+)\]\s+"([A-Za-z]{1,16})\s+([^"\s]+)(?:\
 
 
 def parse_log(lines: DataFrame, column: str = "value") -> DataFrame:
-    """ts, method, path, status, bytes, agent, family, category and valid for every line; lines that don't parse keep nulls."""
+    """ts, method, path, status, bytes, agent, family, category and valid for every line; lines that don't parse keep nulls.
+
+    The pattern runs once a line: its groups are put side by side and split.
+    """
     from ..functions.columns import crawler_category, crawler_family, url_path
 
-    part = lambda i: F.regexp_extract(column, COMBINED, i)
-    family = crawler_family(part(6))
-    parsed = lines.select(
-        F.try_to_timestamp(part(1), F.lit("dd/MMM/yyyy:HH:mm:ss Z")).alias("ts"),
-        F.nullif(part(2), F.lit("")).alias("method"),
-        F.when(part(3) != "", url_path(part(3))).alias("path"),
-        F.expr(f"try_cast(regexp_extract({column}, '{_quoted(COMBINED)}', 4) AS INT)").alias("status"),
-        F.expr(f"try_cast(regexp_extract({column}, '{_quoted(COMBINED)}', 5) AS BIGINT)").alias("bytes"),
-        F.nullif(part(6), F.lit("")).alias("agent"),
-        family.alias("family"),
-        F.octet_length(column).alias("line_bytes"),
-    )
+    groups = F.split(F.regexp_replace(column, COMBINED, "\x01$1\x01$2\x01$3\x01$4\x01$5\x01$6"), "\x01")
+    split = lines.select(F.when(F.size(groups) == 7, groups).alias("g"), F.octet_length(column).alias("line_bytes"))
+    part = lambda i: F.nullif(F.get("g", F.lit(i)), F.lit(""))
+    parsed = split.select(
+        F.try_to_timestamp(part(1), F.lit("dd/MMM/yyyy:HH:mm:ss Z")).alias("ts"), part(2).alias("method"), url_path(part(3)).alias("path"),
+        part(4).try_cast("int").alias("status"), part(5).try_cast("bigint").alias("bytes"), part(6).alias("agent"), "line_bytes",
+    )
+    named = parsed.withColumn("family", crawler_family(F.col("agent")))
     valid = F.col("ts").isNotNull() & F.col("method").isNotNull() & F.col("path").isNotNull() & F.col("status").between(100, 599)
-    return parsed.withColumn("category", crawler_category(F.col("family"))).withColumn("valid", F.coalesce(valid, F.lit(False)))
-
-
-def _quoted(pattern: str) -> str:
-    return pattern.replace("\\", "\\\\").replace("'", "\\'")
+    return named.withColumn("category", crawler_category(F.col("family"))).withColumn("valid", F.coalesce(valid, F.lit(False)))
 
 
 LOG_FIELDS = {"timestamp": ["@timestamp", "timestamp", "time"], "method": ["requestMethod", "method"], "path": ["requestUri", "path", "url"], "status": ["status", "statusCode"], "agent": ["userAgent", "user_agent"]}
