@@ -83,6 +83,7 @@ def _with_variants(base: DataFrame, rows: DataFrame, collisions: DataFrame, chun
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text an earlier id already has. Null ids and repeated ids follow exact_dedup."""
-    dropped = exact_dedup(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti")
+    """docs without the rows whose text an earlier id already has. Rows that repeat an id are judged by their own text."""
+    dropped = exact_dedup(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped_id"), F.col("text_sha256").alias("_dropped_text")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("_dropped_id")) & (F.sha2(normalise(docs["text"]), 256) == F.col("_dropped_text"))
+    return docs.join(dropped, same, "left_anti")

@@ -18,13 +18,14 @@ HEX = r"[0-9a-f]+"
 KINDS = ["assign", "access", "hex", "entropy"]
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Findings of the entropy scan that are no secrets: UUIDs, plain words joined by dashes, slashes or underscores, placeholders, ids of digits.
+#: Findings of the entropy scan that are no secrets: UUIDs, placeholders, numbers; and strings without MIXED, whose parts are plain words or
+#: short numbers joined by dashes, slashes or underscores.
 ALLOWED = [
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[/_=+-]*([A-Za-z][a-z]*|[A-Z]+|[0-9]{1,4})([/_=+-]+([A-Za-z][a-z]*|[A-Z]+|[0-9]{1,4}))*[/_=+-]*$",
     r"(?i)example|placeholder|changeme|x{6}|your[_-]?(key|token|secret)|lorem",
     r"^[0-9_/+=-]+$",
 ]
+MIXED = r"[a-z][A-Z0-9]|[A-Z]{2}[a-z]|[0-9][A-Za-z]|[A-Z][0-9]|[0-9]{5}"
 
 
 @dataclass(frozen=True)
@@ -105,7 +106,7 @@ def _class_of(s: Column, then) -> Column:
 
 def is_entropic(s: Column) -> Column:
     """Whether some window of s, in its character class, is as uneven as a key; allow-listed strings never are."""
-    allowed = F.lit(False)
+    allowed = ~s.rlike(MIXED)
     for pattern in ALLOWED:
         allowed = allowed | s.rlike(pattern)
     # two of the three kinds of characters at least: plain words of natural languages have one

@@ -129,8 +129,8 @@ class Grammar:
 
 _THREAT = re.compile(r"\b(?:" + "|".join(THREATS) + r")\b")
 N_FEATURES = 4 + len(KINDS)
-#: The column that holds them.
-FEATURES = "_grammar_features"
+#: The columns that hold them and the score.
+FEATURES, SCORE = "_grammar_features", "_toxicity"
 
 
 def _with_features(docs: DataFrame, stems: dict[str, float]) -> DataFrame:
@@ -224,17 +224,22 @@ def _learn_stems(texts: DataFrame) -> dict[str, float]:
     return choose_stems({r["stem"]: np.array([order[d] for d in r["docs"]]) for r in incidence}, toxic)
 
 
-def score_toxicity(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
-    """One row per input row: doc_id, or the columns to keep, with score (0 to 1) and predicted (1 where score >= 0.5).
-
-    Null and empty texts have no clause and get the score of a text without a match. Repeated rows get the same score each; an empty
-    table gives no rows; without labelled rows nothing is predicted toxic. Other columns are ignored; a kept score or predicted column
-    would clash and is not allowed.
-    """
-    keep = keep or ["doc_id"]
+def _scored(docs: DataFrame, model: dict) -> DataFrame:
     s = F.lit(float(model["weights"][-1]))
     for i, weight in enumerate(model["weights"][:-1]):
         s = s + F.lit(float(weight)) * F.element_at(FEATURES, i + 1)
-    columns = list(dict.fromkeys([*keep, "text"]))
-    scored = _with_features(docs.select(*columns), model["stems"]).withColumn("score", 1 / (1 + F.exp(-F.least(F.greatest(s, F.lit(-30.0)), F.lit(30.0)))))
-    return scored.select(*keep, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return _with_features(docs, model["stems"]).withColumn(SCORE, 1 / (1 + F.exp(-F.least(F.greatest(s, F.lit(-30.0)), F.lit(30.0)))))
+
+
+def score_toxicity(docs: DataFrame, model: dict) -> DataFrame:
+    """One row per input row: doc_id, score (0 to 1), predicted (1 where score >= 0.5).
+
+    Null and empty texts have no clause and get the score of a text without a match. Repeated rows get the same score each; an empty
+    table gives no rows; without labelled rows nothing is predicted toxic. Other columns are ignored.
+    """
+    return _scored(docs.select("doc_id", "text"), model).select("doc_id", F.col(SCORE).alias("score"), (F.col(SCORE) >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, model: dict) -> DataFrame:
+    """docs, with all their columns, without the rows that are predicted toxic."""
+    return _scored(docs, model).filter(F.col(SCORE) < 0.5).select(*docs.columns)
