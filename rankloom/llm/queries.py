@@ -137,7 +137,7 @@ hosts AS (SELECT host, n, bad, split_part(host, '.', -1) AS suffix,
     ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain FROM known),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY 1, 2),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY 1),
-top AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m FROM suffixes),
+top AS (SELECT (coalesce(sum(bad), 0) + 0.2::DOUBLE) / (coalesce(sum(n), 0) + 2.0::DOUBLE) AS m FROM suffixes),
 ks AS (SELECT m, sum(n * pow(bad / n - m, 2)) / sum(n) - m * (1 - m) * count(*) / sum(n) AS between_ FROM suffixes, top WHERE n > 0 GROUP BY m),
 s AS (SELECT suffix, (bad + k * m) / (n + k) AS m FROM (SELECT x.*, t.m, coalesce((SELECT CASE WHEN between_ > 1e-9 THEN least(greatest(ks.m * (1 - ks.m) / between_ - 1, 2), 1000) ELSE 1000 END FROM ks), 1000) AS k FROM suffixes x, top t)),
 d0 AS (SELECT domains.*, s.m FROM domains JOIN s USING (suffix)),

@@ -43,8 +43,8 @@ CLAUSE_END = re.compile(r"[.!?;:\n]+")
 INSULT = {("0", "I"): ("0", "I", 1.0)}
 THREAT = {("0", "K"): ("armed", "-", 0.0), ("armed", "T"): ("0", "K", 1.0), ("0", "T"): ("0", "T", 0.0), ("armed", "I"): ("0", "K", 1.0)}
 TARGET = {("0", "T"): ("aimed", "-", 0.0), ("aimed", "I"): ("aimed", "IT", 0.5), ("0", "I"): ("0", "I", 0.0), ("aimed", "K"): ("aimed", "K", 0.0)}
-NEGATION = {("0", "N"): ("denied", "-", 0.0), **{("denied", c): ("0", c + "n", -0.3) for c in ("I", "IT", "K")}}
-REPORTED = {("0", "R"): ("told", "-", 0.0), **{("told", c): ("told", c + "r", -0.3) for c in ("I", "IT", "K", "In", "ITn", "Kn")}}
+NEGATION = {("0", "N"): ("denied", "-", 0.0), **{("denied", c): ("0", c + "n", -0.8) for c in ("I", "IT", "K")}}
+REPORTED = {("0", "R"): ("told", "-", 0.0), **{("told", c): ("told", c + "r", -0.6) for c in ("I", "IT", "K", "In", "ITn", "Kn")}}
 GRAMMAR = (INSULT, THREAT, TARGET, NEGATION, REPORTED)
 #: Output classes that a matched clause is counted under.
 KINDS = ("I", "IT", "K", "n", "r")
@@ -95,7 +95,7 @@ class Grammar:
             state, out, bonus = self.arcs[state, cls]
             if out[0] not in "IK":
                 continue
-            total += (stem or 1.0) * max(0.1, 1.0 + bonus)
+            total += (stem or 1.0) * max(0.1, bonus)
             kinds["IT" if out.startswith("IT") else out[0]] += 1
             for mark in "nr":
                 kinds[mark] += mark in out

@@ -61,14 +61,14 @@ def _prior(mean: Column) -> Column:
 def reputations(outcomes: DataFrame) -> DataFrame:
     """host, domain, suffix, n, bad, rate and low (the posterior mean and its lower bound) for every host of outcomes (host, bad).
 
-    Rows with a null outcome count as pages without one. The rate of a level is (bad + strength * rate above) / (n + strength).
+    Rows with a null outcome count as pages without one. Where nothing is known at all, a tenth is taken for bad. The rate of a level is (bad + strength * rate above) / (n + strength).
     """
     known = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
     hosts = known.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad")
     total = lambda *keys: (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = hosts.groupBy("domain", "suffix").agg(*total())
     suffixes = domains.groupBy("suffix").agg(*total())
-    top = suffixes.agg(F.lit(1).alias("one"), ((F.coalesce(F.sum("bad"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("top_rate"))
+    top = suffixes.agg(F.lit(1).alias("one"), ((F.coalesce(F.sum("bad"), F.lit(0.0)) + 0.2) / (F.coalesce(F.sum("n"), F.lit(0)) + 2.0)).alias("top_rate"))
     share = lambda up: (F.col("bad") + F.col("k") * F.col(up)) / (F.col("n") + F.col("k"))
 
     def strength(level: DataFrame, by: list[str], up: str) -> DataFrame:
