@@ -1,31 +1,26 @@
-"""BPE encoding and decoding on a trie of distinct words.
+"""BPE encoding and decoding by a traversal of the trie of distinct words.
 
 The last token of a word's encoding depends on the word alone, and dropping it leaves the encoding of a shorter prefix. So each node of
-a trie needs one state, its last token, found from the states above it; words that share a prefix share its encoding.
+the trie of words needs one state, its last token, found from the states above it. Words are visited depth first: of the path to a word
+only what it doesn't share with the word before is computed.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import struct
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END = "</w>"
-#: Nodes and words that a task holds at most; it starts anew beyond.
-MOST_NODES, MOST_WORDS = 700_000, 400_000
-
-
-class Node:
-    __slots__ = ("before", "children", "symbol", "token", "up")
-
-    def __init__(self, up: Node | None, symbol: str) -> None:
-        self.children: dict[str, Node] = {}
-        #: The last token of this prefix, and the node of what goes before it; None until they are known.
-        self.up, self.symbol, self.token, self.before = up, symbol, None, None
+#: Words whose encodings a worker holds at most, and pairs of tokens; it starts anew beyond.
+MOST_WORDS, MOST_PAIRS = 300_000, 300_000
 
 
 class WordTrie:
@@ -36,23 +31,13 @@ class WordTrie:
         self.longest = max((len(t.removesuffix(END)) for t in vocab), default=1)
         #: How each token comes about when its own symbols are merged: (rank of the last merge, left part, right part); single symbols
         #: have no parts; tokens that merging never gives are left out.
-        self.made: dict[str, tuple[int, str, str]] = {t: (-1, "", "") for t in vocab if len(self.symbols(t)) == 1}
+        self.made: dict[str, tuple[int, str, str]] = {t: (-1, "", "") for t in vocab if len(t.removesuffix(END) or t) == 1}
         for rank, (left, right) in enumerate(merges):
             if left in self.made and right in self.made and left + right not in self.made and self._apart(left, right, rank):
                 self.made[left + right] = (rank, left, right)
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.root, self.n_nodes = Node(None, ""), 1
-        #: New nodes below settled ones.
-        self.branches: list[Node] = []
-
-    @staticmethod
-    def symbols(token: str) -> list[str]:
-        """One for each byte; the last holds the word's end."""
-        stem = token.removesuffix(END)
-        return list(stem) if stem == token or not stem else [*stem[:-1], stem[-1] + END]
+        #: By token, the tokens that it may follow or not, as far as it is known.
+        self.fits: dict[str, dict[str, bool]] = {t: {} for t in self.made}
+        self.n_pairs = self.n_steps = 0
 
     def _apart(self, left: str, right: str, limit: int) -> bool:
         """Whether merging both together gives left and right as they stand, up to the merge of rank `limit`.
@@ -77,53 +62,72 @@ class WordTrie:
                 # a merge right of the border comes after a crossing one of the same rank
                 until, b = (bt, 2), made[b][1]
 
-    def follows(self, last: str, token: str) -> bool:
+    def _follows(self, last: str, token: str) -> bool:
         """Whether merging both together leaves them apart."""
-        if (known := self.fits.get((last, token))) is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            known = self.fits[last, token] = self._apart(last, token, 1 << 60)
-        return known
-
-    def insert(self, word: str) -> Node:
-        """The node of a whole word; nodes that are new have no state yet."""
-        node, grown = self.root, False
-        for symbol in [*word[:-1], word[-1] + END]:
-            child = node.children.get(symbol)
-            if child is None:
-                child = node.children[symbol] = Node(node, symbol)
-                self.n_nodes += 1
-                if not grown and (node is self.root or node.token is not None):
-                    self.branches.append(child)
-                grown = True
-            node = child
-        return node
-
-    def settle(self) -> None:
-        """Depth first, the last token of every node that has none yet."""
-        stack, self.branches = self.branches, []
-        while stack:
-            node = stack.pop()
-            self._last_token(node)
-            stack.extend(node.children.values())
-
-    def _last_token(self, node: Node) -> None:
-        token, before, made, root = node.symbol, node.up, self.made, self.root
-        for _ in range(self.longest):
-            if token in made and (before is root or self.follows(before.token, token)):
-                node.token, node.before = token, before
-                return
-            token, before = before.symbol + token, before.up
-            if before is None:
-                break
-        raise ValueError(f"no token ends a word's prefix at {token!r}")
-
-    def ids(self, node: Node) -> list[int]:
-        out, vocab = [], self.vocab
-        while node is not self.root:
-            out.append(vocab[node.token])
-            node = node.before
-        return out[::-1]
+        self.n_pairs += 1
+        if self.n_pairs > MOST_PAIRS:
+            self.n_pairs = 0
+            for known in self.fits.values():
+                known.clear()
+        fits = self.fits[token][last] = self._apart(last, token, 1 << 60)
+        return fits
+
+    def _extend(self, word: str, size: int, end: str, states: list[str]) -> None:
+        """Appends the last token of every prefix up to `size` symbols, the longest with `end`."""
+        fits, longest, done = self.fits, self.longest, len(states)
+        self.n_steps += size - done
+        for upto in range(done + 1, size + 1):
+            tail = end if upto == size else ""
+            for start in range(upto - 1, max(-1, upto - longest - 1), -1):
+                token = word[start:upto] + tail
+                if (known := fits.get(token)) is not None:
+                    if not start:
+                        break
+                    last = states[start - 1]
+                    if (fit := known.get(last)) is None:
+                        fit = self._follows(last, token)
+                    if fit:
+                        break
+            else:
+                raise ValueError(f"no token ends the prefix {word[:upto]!r}")
+            states.append(token)
+
+    def encode(self, words: set[str]) -> Iterator[tuple[str, list[int]]]:
+        """(word, ids) of each word, depth first through their trie."""
+        vocab, states, before = self.vocab, [], ""
+        for word in sorted(words):
+            shared, inner = 0, len(word) - 1
+            limit = min(len(states), inner)
+            while shared < limit and word[shared] == before[shared]:
+                shared += 1
+            del states[shared:]
+            self._extend(word, len(word), END, states)
+            token = states.pop()
+            ids, at = [vocab[token]], len(word) - len(token) + len(END)
+            while at:
+                token = states[at - 1]
+                ids.append(vocab[token])
+                at -= len(token)
+            before = word
+            yield word, ids[::-1]
+
+
+#: Letters and numbers of the Latin blocks, which every version of Unicode has in the same classes; other characters go through the
+#: library's own normaliser and splitting.
+_LATIN = [chr(c) for c in range(0x21, 0x250)]
+_LETTERS, _NUMBERS = (re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] == kind)) for kind in "LN")
+_OTHER = re.compile(r"[^\t\n\v\f\r\x20-\x7e\xa1-\u012f\u0131-\u024f]")
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+
+
+def _byte_symbols() -> list[str]:
+    """The character that stands for each byte: printable ones for themselves, the others from U+0100 on, in order."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    table, n = [chr(b) for b in range(256)], 0
+    for b in range(256):
+        if b not in own:
+            table[b], n = chr(0x100 + n), n + 1
+    return table
 
 
 class Encoder:
@@ -140,9 +144,10 @@ class Encoder:
         self.trie = WordTrie(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
         names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.added.items()}
         self.names = [names.get(i) for i in range(max(names) + 1)]
-        #: Encodings of space-free words, and of the pieces that the pre-tokenizer makes of them.
+        self.symbols = _byte_symbols()
+        #: Encodings of pieces, as they stand in the text and in byte symbols.
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.mapped: dict[str, bytes] = {}
 
     def _pieces(self, text: str) -> list[tuple[str, bool]]:
         """(piece, whether it is an added token), in order."""
@@ -152,35 +157,39 @@ class Encoder:
                 pieces = [(p, j % 2 == 1) if not done else (piece, True) for piece, done in pieces for j, p in enumerate([piece] if done else _alternate(piece, token))]
         return [x for x in pieces if x[0]]
 
-    def learn(self, words: set[str]) -> None:
-        """Adds the encodings of space-free words that aren't known yet."""
-        if self.trie.n_nodes > MOST_NODES:
-            self.trie.clear()
-            self.pieces.clear()
-        parts = {w: [p for p, _ in self.split(w)] for w in words}
-        nodes = {p: self.trie.insert(p) for ps in parts.values() for p in ps if p not in self.pieces}
-        self.trie.settle()
-        for p, node in nodes.items():
-            ids = self.trie.ids(node)
-            self.pieces[p] = struct.pack(f"<{len(ids)}I", *ids)
-        get = self.pieces.__getitem__
-        for w, ps in parts.items():
-            self.words[w] = b"".join(map(get, ps))
+    def _learn(self, words: set[str], mapped: set[str]) -> None:
+        """Adds the encodings of pieces that aren't known yet."""
+        of = {w: w if w.isascii() else "".join([self.symbols[b] for b in w.encode()]) for w in words}
+        packed = {w: struct.pack(f"<{len(ids)}I", *ids) for w, ids in self.trie.encode({*of.values(), *mapped})}
+        self.words.update((w, packed[m]) for w, m in of.items())
+        self.mapped.update((m, packed[m]) for m in mapped)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed as little-endian unsigned 32-bit integers."""
-        if len(self.words) > MOST_WORDS:
+        if len(self.words) + len(self.mapped) > MOST_WORDS:
             self.words.clear()
-        split = [[(piece, None) if added else (None, self.normalize(piece).split(" ")) for piece, added in self._pieces(text)] for text in texts]
-        new: set[str] = set()
-        for pieces in split:
-            for _, words in pieces:
-                new.update(words or ())
-        new = new.difference(self.words)
-        if new:
-            self.learn(new)
-        get = self.words.__getitem__
-        return [b"".join([struct.pack("<I", self.added[token]) if words is None else b"".join(map(get, words)) for token, words in pieces]) for pieces in split]
+            self.mapped.clear()
+        parts: list[list[tuple[dict[str, bytes] | None, list[str]]]] = []
+        for text in texts:
+            pieces = []
+            for piece, added in self._pieces(text):
+                if added:
+                    pieces.append((None, [piece]))
+                elif _OTHER.search(piece):
+                    pieces.append((self.mapped, [p for p, _ in self.split(self.normalize(piece))]))
+                else:
+                    pieces.append((self.words, _PIECE.findall(piece.lower())))
+            parts.append(pieces)
+        new, mapped = set(), set()
+        for pieces in parts:
+            for known, found in pieces:
+                if known is not None:
+                    (new if known is self.words else mapped).update(found)
+        new.difference_update(self.words)
+        mapped.difference_update(self.mapped)
+        if new or mapped:
+            self._learn(new, mapped)
+        return [b"".join([struct.pack("<I", self.added[found[0]]) if known is None else b"".join(map(known.__getitem__, found)) for known, found in pieces]) for pieces in parts]
 
     def decode(self, ids: bytes) -> str:
         """Token strings joined by spaces: the file names no decoder."""
@@ -196,7 +205,13 @@ def _alternate(piece: str, token: str) -> list[str]:
 
 
 #: Rows whose words are looked up together.
-ROWS = 512
+ROWS = 1024
+
+
+@lru_cache(maxsize=1)
+def _encoder(spec: str) -> Encoder:
+    """One for each worker process: tasks that follow each other in it find the words of those before."""
+    return Encoder(spec)
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,7 +225,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
         spec = sc.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(spec.value)
+        encoder = _encoder(spec.value)
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
