@@ -1,0 +1 @@
+"""Structured Streaming over access logs and events."""
