@@ -238,7 +238,8 @@ def keyword_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     month = (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("month")
     m = rows.groupBy(F.col("p_name").alias("keyword"), month).agg(F.sum(F.col("l_quantity").cast("long")).alias("volume"))
     series = m.groupBy("keyword").agg(F.reverse(F.array_sort(F.collect_list(F.struct("month", "volume")))).alias("s")).withColumn("s", F.slice("s", 1, 6))
-    mean = lambda a, n: F.aggregate(F.slice("s", a, n), F.lit(0).cast("long"), lambda t, x: t + x["volume"]).cast("double") / 3
+    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda t, x: t + x["volume"]).cast("double")
+    mean = lambda a, n: F.when(F.size(F.slice("s", a, n)) > 0, total(F.slice("s", a, n)) / 3)
     whole = (F.size("s") == 6) & (F.element_at("s", 1)["month"] - F.element_at("s", -1)["month"] == 5)
     t = series.select("keyword", mean(1, 3).alias("recent"), mean(4, 3).alias("earlier"), whole.alias("whole"))
     change = (F.col("recent") - F.col("earlier")) / F.col("earlier") * 100.0
