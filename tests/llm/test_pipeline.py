@@ -80,6 +80,22 @@ def test_stages_keep_the_columns_of_documents(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, table.limit(0), SF).count() == 0
 
 
+def test_stages_with_nulls_repeated_rows_and_clashing_columns(spark):
+    long = " ".join(f"word{i}" for i in range(20_000))
+    rows = [("a", 5, None, 0.5), ("b", None, "plain words of a text", 0.1), ("c", 7, "", 0.2), ("d", 8, long, 0.3), ("d", 8, long, 0.3), ("e", 9, long + " tail", None), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "component string, doc_id long, text string, score double")
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        left[name] = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    every = sorted(((i, t) for _, i, t, _ in rows), key=str)
+    assert left["toxicity"] == left["decontamination"] == every
+    assert [i for i, _ in left["exact_dedup"]] == [5, 8, 8, 9, None]
+    assert [i for i, _ in left["ngram_jaccard"]] == [5, 7, 8, 8, None, None]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(rows)
+
+
 def test_bpe_query(spark, docs, library):
     for r in queries.bpe_round_trip(spark, SF).collect():
         ids = library.encode(docs[r.doc_id] or "", add_special_tokens=False).ids
