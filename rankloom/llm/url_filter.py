@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialize
+
 #: Fixed values: (host, path, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: A host is blocked if its bad rate is over MOST_BAD with the certainty of Z standard deviations.
@@ -96,7 +98,8 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, id_col: str =
     """
     named = pages.select(F.col(id_col).alias("page_id"), "key", host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     worst = outcomes.filter("key is not null").groupBy("key").agg(F.max("bad").alias("bad"))
-    known = reputations(named.join(worst, "key", "left").select("host", "bad"))
+    # written first, so that a host with many pages doesn't have to meet its reputation in one task
+    known = materialize(reputations(named.join(worst, "key", "left").select("host", "bad")), "reputations")
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     learned = F.when(F.col("low") > MOST_BAD, "block").otherwise("allow")
     return named.join(known.select("host", "rate", "low"), "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(said, learned).alias("verdict"), "rate", "low")
