@@ -1,27 +1,28 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: a lossless filter by running sums, then Smith-Waterman alignment.
 
-Word n-grams of the test items are looked up in every document. A document and an item that share a seed which few documents have, or
-several seeds in a row, are aligned word by word; the local alignment score tells edited and paraphrased copies from chance.
+For every document and test item a bound of the alignment's score runs along the text. Where it reaches what counts as a leak, the words
+before are aligned with the item; the local alignment score tells edited and paraphrased copies from chance.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
-
 SEED_WORDS = 4
-#: Shorter items can't be told from chance and are left out.
+#: Edited copies of shorter items can't be told from chance; they are matched as whole sequences of words.
 LEAST_WORDS = 8
-#: A seed is rare if at most this share of the documents has it; common seeds count from so many on.
-RARE_SHARE, COMMON_SEEDS = 0.0005, 3
+#: Items that a text is compared with at once, and words of it: they bound memory.
+ITEMS_AT_ONCE, SLICE_WORDS = 256, 4096
+#: Words whose figures are added up before the running sums, a divisor of SLICE_WORDS.
+STEP_WORDS = 8
 #: Scores: 2 for an equal word, 1 for two words with the same beginning, -1 for others and for gaps, in parts of the item's perfect score.
 LEAST_SCORE = 0.5
 #: UTF-8 bytes of items that are sent to the tasks at once; larger benchmarks are matched block by block.
@@ -34,57 +35,111 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-class Seeds:
-    """The n-grams of some items, as a sorted array of keys with the items and places that have them."""
-
-    def __init__(self, items: list[tuple[int, list[str]]]) -> None:
-        self.ids: dict[str, int] = {}
-        self.items = [(item, np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words], np.int64)) for item, words in items]
-        keys, places = [], []
-        for i, (_, words) in enumerate(self.items):
-            k = self.keys(words)
-            keys.append(k)
-            places.append(np.stack([np.full(len(k), i, np.int64), np.arange(len(k))], axis=1))
-        key, place = (np.concatenate(keys), np.concatenate(places)) if keys else (np.empty(0, np.int64), np.empty((0, 2), np.int64))
-        rank = np.argsort(key, kind="stable")
-        self.key, self.place = key[rank], place[rank]
-
-    @staticmethod
-    def keys(words: np.ndarray) -> np.ndarray:
-        """A key for each n-gram of word numbers; -1 where a word isn't in any item. Numbers under 2**15 give each n-gram its own key;
-        more may share keys, which the alignment sorts out."""
-        n = len(words) - SEED_WORDS + 1
-        if n <= 0:
-            return np.empty(0, np.int64)
-        known, key = np.ones(n, bool), np.zeros(n, np.int64)
-        for i in range(SEED_WORDS):
-            w = words[i : i + n]
-            known &= w > 0
-            key = key * 32_749 + w
-        return np.where(known, key & 0x7FFFFFFFFFFFFFFF, -1)
-
-    def hits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(item, place in the item, place in the text, key) of every seed that a text has."""
-        get = self.ids.get
-        key = self.keys(np.fromiter((get(w, 0) for w in words), np.int64, len(words)))
-        at = np.flatnonzero(key >= 0)
-        lo, hi = np.searchsorted(self.key, key[at], "left"), np.searchsorted(self.key, key[at], "right")
-        at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-        which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        text_at = np.repeat(at, n)
-        return self.place[which, 0], self.place[which, 1], text_at, key[text_at]
-
-
-def regions(item_at: np.ndarray, text_at: np.ndarray, size: int, n_words: int) -> list[tuple[int, int, np.ndarray]]:
-    """(from, to, hits) of the stretches of a text where an item of the given size may lie; hits further apart than the item is long
-    belong to different stretches."""
-    out, rank = [], np.argsort(text_at, kind="stable")
-    slack = size // 4 + 4
-    for part in np.split(rank, np.flatnonzero(np.diff(text_at[rank]) > size) + 1):
-        first = int((text_at[part] - item_at[part]).min()) - slack
-        last = int((text_at[part] - item_at[part]).max()) + size + slack
-        out.append((max(0, first), min(n_words, last), part))
-    return out
+def runs(words: list[str]) -> set[tuple[str, ...]]:
+    return {tuple(words[i : i + SEED_WORDS]) for i in range(len(words) - SEED_WORDS + 1)}
+
+
+class Finder:
+    """Finds the stretches of a text where one of some items may lie, and aligns them. No alignment that reaches the least score is missed.
+
+    A word of the text adds at most 2 to an alignment with an item that has it, 1 with one that has its beginning, and costs 1 otherwise.
+    So where an alignment ends, the best sum of these figures over the words before is its score or more: one running sum for each item.
+    A bound of that by steps of words tells which items need it.
+    """
+
+    def __init__(self, items: list[tuple[int, list[str]]], least_score: float) -> None:
+        self.items = [x for x in items if len(x[1]) >= LEAST_WORDS]
+        self.short: dict[str, list[tuple[int, list[str]]]] = {}
+        for x in items:
+            if len(x[1]) < LEAST_WORDS:
+                self.short.setdefault(x[1][0], []).append(x)
+        size = np.array([len(w) for _, w in self.items], np.int64)
+        self.least = np.maximum(2 * size * least_score - 1e-9, 1e-9)
+        #: n words with n - least / 2 of them lost, and as many words of the text between as lose the rest of the points
+        self.span = np.maximum(size, np.floor(3 * size - self.least)).astype(np.int64)
+        self.words, self.begins = [Counter(w) for _, w in self.items], [Counter(x[:4] for x in w) for _, w in self.items]
+        self.begin_ids, self.word_ids = {}, {}
+        for w in self.words:
+            for x in w:
+                self.begin_ids.setdefault(x[:4], len(self.begin_ids) + 1)
+        for w in self.words:
+            for x in w:
+                self.word_ids.setdefault(x, len(self.begin_ids) + 1 + len(self.word_ids))
+        self.gain = np.full((1 + len(self.begin_ids) + len(self.word_ids), len(self.items)), -1, np.int8)
+        for i, w in enumerate(self.begins):
+            self.gain[[self.begin_ids[x] for x in w], i] = 1
+        for x, at in self.word_ids.items():
+            self.gain[at] = self.gain[self.begin_ids[x[:4]]]
+        for i, w in enumerate(self.words):
+            self.gain[[self.word_ids[x] for x in w], i] = 2
+        #: how often an item has a beginning or word, and the beginning of each
+        self.bag = np.zeros(self.gain.shape, np.int32)
+        for names, counts in ((self.begin_ids, self.begins), (self.word_ids, self.words)):
+            for i, w in enumerate(counts):
+                self.bag[[names[x] for x in w], i] = list(w.values())
+        self.begin_of = np.array([0, *self.begin_ids.values(), *[self.begin_ids[x[:4]] for x in self.word_ids]])
+        self.both = np.concatenate([self.gain, np.maximum(self.gain, 0)], axis=1)
+
+    def likely(self, ids: np.ndarray) -> np.ndarray:
+        """The items whose running sum may reach their least score. In a step it is at most the bound at the end of the step before and
+        all gains of the step; at its end at most that bound and the step's sum, or the gains of the step alone."""
+        n = len(self.items)
+        top, carry = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        for at in range(0, len(ids), SLICE_WORDS):
+            part = ids[at : at + SLICE_WORDS]
+            part = np.concatenate([part, np.zeros(-len(part) % STEP_WORDS, ids.dtype)])
+            steps = self.both.take(part, axis=0).reshape(-1, STEP_WORDS, 2 * n).sum(axis=1, dtype=np.int8)
+            total, gains = np.add.accumulate(steps[:, :n], axis=0, dtype=np.int32), steps[:, n:]
+            bound = total + np.maximum(np.maximum.accumulate(gains - total, axis=0), carry)
+            before = np.concatenate([carry[None], bound[:-1]])
+            top, carry = np.maximum(top, (before + gains).max(axis=0)), bound[-1]
+        found = np.flatnonzero(top >= self.least)
+        if len(found):
+            # nor can a text give an item more than all places whose words or beginnings it has
+            have = np.unique(ids)
+            have = np.union1d(have, self.begin_of[have])
+            found = found[self.bag[np.ix_(have, found)].sum(axis=0) >= self.least[found]]
+        return found
+
+    def stretches(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
+        """(item, from, to) of the words before the ends of possible alignments; overlapping ones are joined."""
+        if not self.items or not words:
+            return
+        word, begin = self.word_ids.get, self.begin_ids.get
+        ids = np.array([word(w) or begin(w[:4], 0) for w in words])
+        ends = []
+        for i in self.likely(ids):
+            total = np.cumsum(self.gain[ids, i], dtype=np.int64)
+            total -= np.minimum(np.minimum.accumulate(total), 0)
+            end = np.flatnonzero(total >= self.least[i])
+            ends.append(np.stack([np.full(len(end), i), end]))
+        if not ends:
+            return
+        item, end = np.concatenate(ends, axis=1)
+        if not len(item):
+            return
+        end = end + 1
+        start = np.maximum(end - self.span[item], 0)
+        # ends rise within an item, so a stretch starts where it lies beyond the one before
+        new = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (start[1:] > end[:-1])]))
+        yield from zip(item[new].tolist(), start[new].tolist(), end[np.append(new[1:], len(end)) - 1].tolist(), strict=True)
+
+    def leaks(self, words: list[str]) -> Iterator[tuple[int, float, int, int, int]]:
+        """(item id, score, start, end, number of common runs of SEED_WORDS words)."""
+        if not self.short.keys().isdisjoint(words):
+            for j, w in enumerate(words):
+                for name, item in self.short.get(w, ()):
+                    if words[j : j + len(item)] == item:
+                        yield name, 1.0, j, j + len(item), len(runs(item))
+        for i, lo, hi in self.stretches(words):
+            name, item = self.items[i]
+            window = words[lo:hi]
+            # a pair of equal words counts 2, another pair 1: no alignment has more pairs than the two bags of words have in common
+            if (self.words[i] & Counter(window)).total() + (self.begins[i] & Counter(w[:4] for w in window)).total() < self.least[i]:
+                continue
+            value, start, end = align(item, window)
+            if value * 2 * len(item) >= self.least[i]:
+                yield name, value, lo + start, lo + end, len(runs(item) & runs(window[start:end]))
 
 
 def align(item: list[str], window: list[str]) -> tuple[float, int, int]:
@@ -119,29 +174,28 @@ def align(item: list[str], window: list[str]) -> tuple[float, int, int]:
     return best[0] / (2 * len(a)), best[1], best[2]
 
 
-HITS = "doc_id long, item_id long, seeds array<long>, at int, window string"
-_HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("seeds", pa.list_(pa.int64())), ("at", pa.int32()), ("window", pa.string())])
+LEAKS = "doc_id long, item_id long, score double, start_word int, end_word int, n_seeds int"
+_LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int32()), ("end_word", pa.int32()), ("n_seeds", pa.int32())])
 
 
-def _seeded(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-    """A row for each stretch of a document that shares seeds with an item."""
+def _aligned(docs: DataFrame, items: list[tuple[int, str]], least_score: float) -> DataFrame:
+    """A row for each stretch of a document whose alignment with an item reaches least_score."""
     sent = docs.sparkSession.sparkContext.broadcast([(i, words_of(t)) for i, t in items])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = Seeds([(i, w) for i, w in sent.value if len(w) >= LEAST_WORDS])
+        listed = [(i, w) for i, w in sent.value if w]
+        parts = [listed[k : k + ITEMS_AT_ONCE] for k in range(0, len(listed), ITEMS_AT_ONCE)]
+        finder = None
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text)
-                item, item_at, text_at, key = seeds.hits(words)
-                for i in np.unique(item):
-                    of = item == i
-                    name, size = seeds.items[i][0], len(seeds.items[i][1])
-                    for lo, hi, part in regions(item_at[of], text_at[of], size, len(words)):
-                        rows.append({"doc_id": doc, "item_id": name, "seeds": np.unique(key[of][part]).tolist(), "at": lo, "window": " ".join(words[lo:hi])})
-            yield pa.RecordBatch.from_pylist(rows, _HITS)
+            for part in parts:
+                if finder is None or len(parts) > 1:
+                    finder = Finder(part, least_score)
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    rows += [(doc, *leak) for leak in finder.leaks(words_of(text))]
+            yield pa.RecordBatch.from_pylist([dict(zip(_LEAKS.names, r, strict=True)) for r in rows], _LEAKS)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, HITS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, LEAKS)
 
 
 def _blocks(benchmark: DataFrame) -> list[DataFrame]:
@@ -154,53 +208,21 @@ def _blocks(benchmark: DataFrame) -> list[DataFrame]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """One row per document and test item that it contains: doc_id, item_id, score, start_word, end_word, n_seeds.
 
-    score is the alignment's share of the item's perfect score, for the best place; least_score or more is a leak. Words are runs of
-    letters, digits and underscores in lower case. Null and empty texts contain nothing; items of fewer than LEAST_WORDS words, null
-    ones too, are not looked for. Rows that repeat an id give its best place once; of items that repeat an id, the best counts. Empty
-    tables give no rows; other columns are ignored.
+    score is the alignment's share of the item's perfect score, for the best place; least_score or more is a leak. Every such document
+    is found, however many others have the same passage. n_seeds counts the four-word runs that the place has in common with the item.
+    Words are runs of letters, digits and underscores in lower case. Null and empty texts contain nothing; items of fewer than
+    LEAST_WORDS words are leaks where all their words follow each other; items without words, null ones too, are not looked for. Rows
+    that repeat an id give its best place once; of items that repeat an id, the best counts. Empty tables give no rows; other columns
+    are ignored.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
     out = None
     for block in _blocks(items):
         listed = [(r["item_id"], r["text"]) for r in block.distinct().collect()]
-        found = _leaks_of(docs, listed, least_score)
+        found = _aligned(docs, listed, least_score)
         out = found if out is None else out.union(found)
-    return out
-
-
-def _leaks_of(docs: DataFrame, items: list[tuple[int, str]], least_score: float) -> DataFrame:
-    hits = materialize(_seeded(docs, items), "seed-hits")
-    each = hits.select("doc_id", F.explode("seeds").alias("seed")).distinct()
-    most = F.lit(max(1.0, RARE_SHARE * docs.count()))
-    common = each.groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("seed")
-    # seeds are n-grams of one block of the benchmark: their number is bounded with it
-    common = [r["seed"] for r in common.collect()]
-    sent = docs.sparkSession.sparkContext.broadcast((frozenset(common), _by_item(items)))
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        many, words = sent.value
-        for frame in frames:
-            rows = []
-            for doc, item, seeds, at, window in frame.itertuples(index=False):
-                if len(seeds) < COMMON_SEEDS and all(s in many for s in seeds):
-                    continue
-                text = window.split(" ")
-                value, start, end = max(align(w, text) for w in words[item])
-                if value >= least_score:
-                    rows.append((doc, item, value, at + start, at + end, len(seeds)))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "start_word", "end_word", "n_seeds"])
-
-    aligned = hits.mapInPandas(score, "doc_id long, item_id long, score double, start_word int, end_word int, n_seeds int")
     place = F.max_by(F.struct("start_word", "end_word", "n_seeds"), F.struct("score", -F.col("start_word"))).alias("place")
-    return aligned.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), place).select("doc_id", "item_id", "score", "place.*")
-
-
-def _by_item(items: list[tuple[int, str]]) -> dict[int, list[list[str]]]:
-    out: dict[int, list[list[str]]] = {}
-    for item, text in items:
-        if len(words := words_of(text)) >= LEAST_WORDS:
-            out.setdefault(item, []).append(words)
-    return out
+    return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), place).select("doc_id", "item_id", "score", "place.*")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

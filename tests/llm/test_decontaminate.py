@@ -61,3 +61,12 @@ def test_empty_tables(spark):
     assert D.find_leaks(docs.limit(0), items).count() == 0
     assert D.find_leaks(docs, items.limit(0)).count() == 0
     assert D.drop_leaks(docs, items).columns == docs.columns
+
+
+def test_common_edited_passage_is_still_found(spark):
+    """A copy that keeps two runs of four words, in every document."""
+    item = "a0 a1 a2 a3 a4 a5 a6 a7 a8 a9 b0 b1 b2 b3 b4"
+    copy = " ".join("x" if i in (2, 7, 12) else w for i, w in enumerate(item.split()))
+    docs = spark.createDataFrame([(i, " ".join(pick(10)) + " " + copy) for i in range(40)], "doc_id long, text string")
+    rows = D.find_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert len(rows) == 40 and all(r.score == pytest.approx((12 * 2 - 3) / 30) for r in rows)
