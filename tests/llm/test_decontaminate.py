@@ -70,3 +70,17 @@ def test_common_edited_passage_is_still_found(spark):
     docs = spark.createDataFrame([(i, " ".join(pick(10)) + " " + copy) for i in range(40)], "doc_id long, text string")
     rows = D.find_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
     assert len(rows) == 40 and all(r.score == pytest.approx((12 * 2 - 3) / 30) for r in rows)
+
+
+def test_close_edits_match_brute_force(spark):
+    docs = [(10 * i + k, " ".join(pick(30)) + " " + edited(ITEMS[i][1], k) + " " + " ".join(pick(30))) for i in range(6) for k in (2, 3, 4, 5)]
+    rows = D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")).collect()
+    want = {(d, i): s for d, t in docs for i, item in ITEMS[:6] if (s := plain_align(item.split(), t.split())) >= D.LEAST_SCORE}
+    assert {(r.doc_id, r.item_id): r.score for r in rows} == pytest.approx(want)
+    assert {(10 * i + 4, i) for i in range(6)} <= want.keys()
+
+
+def test_short_items_match_as_whole_sequences(spark):
+    docs = spark.createDataFrame([(1, "this is Too short, they said"), (2, "too very short"), (3, "too shortened"), (4, "too short too short")], "doc_id long, text string")
+    rows = D.find_leaks(docs, spark.createDataFrame(ITEMS, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.score, r.start_word, r.end_word) for r in rows} == {(1, 6, 1.0, 2, 4), (4, 6, 1.0, 0, 2)}
