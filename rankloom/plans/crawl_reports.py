@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import broad_signature, page_key, path_parts, placeholder, url_signature
 from ..operators.graph import greedy_leaders, resolve_aliases, shortest_depths
+from ..operators.samples import with_first
 from ..sources.views import LINKS, QUERY_PAGE, links, query_page, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -96,7 +97,8 @@ def audit_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 @report("issue_groups", f"WITH {_ISSUES}, {_RULES_SQL} SELECT rule, category, severity, kind, count(*) AS n, list_sort(list(DISTINCT url))[1:10] AS samples FROM issues JOIN rules USING (rule) GROUP BY 1, 2, 3, 4")
 def issue_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "rule string, category string, severity string, kind string")
-    groups = issues(crawled(spark, sf_dir)).groupBy("rule").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("url")), 1, 10).alias("samples"))
+    rows = issues(crawled(spark, sf_dir))
+    groups = with_first(rows.groupBy("rule").agg(F.count("*").alias("n")), rows, ["rule"], "url", 10, "samples")
     return groups.join(F.broadcast(rules), "rule")  # the table above
 
 
@@ -237,7 +239,7 @@ sig AS (SELECT page_id, url, parts, concat('/', array_to_string([CASE WHEN i = 1
 def url_template_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URLs by the shape of their path."""
     sig = table(spark, sf_dir, "pages").select("page_id", "url", url_signature(F.col("url")).alias("signature"))
-    n = sig.groupBy("signature").agg(F.count("*").alias("n_urls"), F.slice(F.array_sort(F.collect_set("url")), 1, 3).alias("samples"))
+    n = with_first(sig.groupBy("signature").agg(F.count("*").alias("n_urls")), sig, ["signature"], "url", 3, "samples")
     return n.withColumn("share", F.col("n_urls") / F.sum("n_urls").over(W.partitionBy(F.lit(1)))).filter("n_urls >= 3")  # a row for each template
 
 
@@ -246,7 +248,8 @@ def template_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each place of a template, whether it varies, and examples."""
     url = F.col("url")
     seg = table(spark, sf_dir, "pages").select(url_signature(url).alias("signature"), F.posexplode(path_parts(url)).alias("place", "part"))
-    g = seg.groupBy("signature", (F.col("place") + 1).alias("place")).agg(F.countDistinct("part").alias("n_values"), F.slice(F.array_sort(F.collect_set("part")), 1, 5).alias("examples"))
+    seg = seg.withColumn("place", F.col("place") + 1)
+    g = with_first(seg.groupBy("signature", "place").agg(F.countDistinct("part").alias("n_values")), seg, ["signature", "place"], "part", 5, "examples")
     return g.withColumn("variable", F.col("n_values") > 1)
 
 

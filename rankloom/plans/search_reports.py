@@ -10,6 +10,7 @@ from ..functions.columns import (
     curve_ctr, first_reason, is_brand, is_low_actionability, is_search_artifact, normal_query, page_key, page_template, percent_change, round_half_up, rounded_position, valid_search_row,
 )
 from ..operators.benchmark import benchmark_sql, leave_url_out
+from ..operators.samples import with_first
 from ..sources.views import QUERY_PAGE, SEARCH_DAILY, SEARCH_ROWS, aggregate_rows, query_page, search_daily, search_rows, table
 
 BRAND = ["old hammer"]
@@ -280,10 +281,10 @@ def decay_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     list_sort(list(DISTINCT page))[1:3] AS samples FROM decay WHERE reason IS NULL GROUP BY 1, 2""",
 )
 def decay_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decay_rows(*windows(spark, sf_dir, "query", "page")).filter("reason IS NULL")
+    rows = decay_rows(*windows(spark, sf_dir, "query", "page")).filter("reason IS NULL").withColumn("template", page_template(F.col("page")))
     total = F.sum("loss").cast("double") * 100 / F.sum("previous_clicks").cast("double")
-    samples = F.slice(F.array_sort(F.collect_set("page")), 1, 3)
-    return rows.groupBy(page_template(F.col("page")).alias("template"), "diagnosis").agg(F.count("*").alias("n_rows"), F.sum("loss").alias("loss"), total.alias("loss_percent"), samples.alias("samples"))
+    groups = rows.groupBy("template", "diagnosis").agg(F.count("*").alias("n_rows"), F.sum("loss").alias("loss"), total.alias("loss_percent"))
+    return with_first(groups, rows, ["template", "diagnosis"], "page", 3, "samples")
 
 
 def segment_impact_rows(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
