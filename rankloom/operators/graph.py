@@ -46,25 +46,25 @@ def resolve_aliases(aliases: DataFrame, most: int = 32) -> DataFrame:
     return now.join(on_cycle, "target", "left").select("src", F.when(F.col("open"), F.col("low")).otherwise(F.col("target")).alias("target"))
 
 
-def greedy_leaders(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+def greedy_leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, leader) of greedy leader clustering: nodes (node, rank) in the order of rank join the first leader that edges (a, b) connect
     them with, else they lead.
 
     A node leads once no open neighbour goes before it; its neighbours then follow the best leader they have. Rounds run until all are settled.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     ranks = nodes.select(F.col("node").alias("b"), F.col("rank").alias("b_rank"))
     near = written(both.join(ranks, "b").join(nodes.select(F.col("node").alias("a"), F.col("rank").alias("a_rank")), "a"))
     leaders = None
     open_ = written(nodes.select("node", "rank"))
-    for _ in range(most):
+    while leaders is None or not open_.isEmpty():
         rivals = near.join(open_.select(F.col("node").alias("b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("b_rank").alias("rival"))
         new = written(open_.join(rivals, "node", "left").filter(F.col("rival").isNull() | (F.col("rank") < F.col("rival"))).select("node", "rank"))
+        if new.isEmpty() and not open_.isEmpty():
+            raise ValueError("ranks have to differ between nodes that an edge connects")
         leaders = new if leaders is None else leaders.union(new)
         followers = near.join(new.select(F.col("node").alias("b")), "b").select(F.col("a").alias("node")).distinct()
         open_ = written(open_.join(new, "node", "left_anti").join(followers, "node", "left_anti"))
-        if open_.isEmpty():
-            break
     best = near.join(leaders.select(F.col("node").alias("b")), "b").groupBy(F.col("a").alias("node")).agg(F.min_by("b", "b_rank").alias("leader"))
     own = leaders.select("node", F.col("node").alias("own"))
     return nodes.join(own, "node", "left").join(best, "node", "left").select("node", F.coalesce("own", "leader").alias("leader"))

@@ -1,5 +1,6 @@
 import random
 
+from rankloom.operators import graph
 from rankloom.operators.graph import greedy_leaders, resolve_aliases, shortest_depths
 
 
@@ -29,3 +30,11 @@ def test_greedy_leaders_match_the_sequential_rule(spark):
             leaders.append(n)
     got = greedy_leaders(spark.createDataFrame([(n, i) for i, n in enumerate(nodes)], "node string, rank int"), spark.createDataFrame(sorted(edges), "a string, b string"))
     assert {r.node: r.leader for r in got.collect()} == want
+
+
+def test_greedy_leaders_settle_a_long_chain(spark, monkeypatch):
+    """Two nodes a round: a chain of 140 takes 70 rounds. Rounds are kept in memory here."""
+    monkeypatch.setattr(graph, "written", lambda df: df.sparkSession.createDataFrame(df.toArrow(), df.schema))
+    nodes = spark.createDataFrame([(i, i) for i in range(140)], "node long, rank int").coalesce(1)
+    got = greedy_leaders(nodes, spark.createDataFrame([(i, i + 1) for i in range(139)], "a long, b long").coalesce(1))
+    assert {r.node: r.leader for r in got.collect()} == {i: i - i % 2 for i in range(140)}
