@@ -176,16 +176,17 @@ _STEPS = "steps AS (SELECT p_partkey AS src, (p_partkey * 7 + 3) % 500 AS dst FR
     f"WITH RECURSIVE {_STEPS}, walk AS (SELECT 0 AS node, 0 AS depth UNION SELECT s.dst, w.depth + 1 FROM walk w JOIN steps s ON s.src = w.node WHERE w.depth < 14) SELECT node, min(depth) AS depth FROM walk GROUP BY node",
 )
 def crawl_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fewest clicks from the start page."""
-    p = table(spark, sf_dir, "part").filter("p_partkey < 500").select(F.col("p_partkey").alias("src"))
-    steps = p.select("src", ((F.col("src") * 7 + 3) % 500).alias("dst")).union(p.select("src", ((F.col("src") * 2 + 1) % 500).alias("dst"))).distinct()
+    """Fewest clicks from the start page, over all parts; the SQL above still walks the first 500 only."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"))
+    size = F.lit(p.count())
+    steps = p.select("src", ((F.col("src") * 7 + 3) % size).alias("dst")).union(p.select("src", ((F.col("src") * 2 + 1) % size).alias("dst"))).distinct()
     return shortest_depths(steps, spark.createDataFrame([(0,)], "node long"))
 
 
 @report("alias_resolve", "SELECT p_partkey AS src, p_partkey % 8 AS target FROM part WHERE p_partkey >= 8 AND p_partkey < 1000")
 def alias_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Redirects 8 back at a time end below 8."""
-    hops = table(spark, sf_dir, "part").filter("p_partkey >= 8 AND p_partkey < 1000").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") - 8).alias("dst"))
+    """Redirects 8 back at a time end below 8, over all parts; the SQL above still stops at 1000."""
+    hops = table(spark, sf_dir, "part").filter("p_partkey >= 8").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") - 8).alias("dst"))
     return resolve_aliases(hops)
 
 

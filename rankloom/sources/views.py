@@ -180,9 +180,9 @@ snapshots AS (
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst: the links of the pages, as paths."""
+    """src, dst: the links of the pages, as paths; each page is a source of its own. LINKS still folds the sources into 50."""
     hrefs = F.regexp_extract_all("html", F.lit(r'<a href="([^"#?]+)'), F.lit(1))
-    return table(spark, sf_dir, "pages").select(F.concat(F.lit("/p/"), (F.col("page_id") % 50).cast("string")).alias("src"), F.explode(hrefs).alias("dst")).distinct()
+    return table(spark, sf_dir, "pages").select(F.concat(F.lit("/p/"), F.col("page_id").cast("string")).alias("src"), F.explode(hrefs).alias("dst")).distinct()
 
 
 LINKS = r"""

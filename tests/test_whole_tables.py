@@ -26,3 +26,19 @@ def test_fanout_and_conflicts_read_all_lines(spark, tmp_path):
     assert got == {t: len(o) for t, o in seen.items() if len(o) >= 2} and got["rare"] == 2
     kept = {(r.k, r.v, r.n) for r in catalog.QUERIES["dedupe_conflicts"](spark, str(tmp_path)).collect()}
     assert kept == {(k, v[0], len(v)) for k, v in flags.items() if len(set(v)) == 1}
+
+
+def test_graphs_take_all_parts_and_pages(spark, tmp_path):
+    size = 1200
+    put(spark, tmp_path, "part", [(i,) for i in range(size)], "p_partkey long")
+    put(spark, tmp_path, "pages", [(i, '<a href="/de">x</a>' + '<a href="/en">y</a>' * (i % 2)) for i in range(120)], "page_id long, html string")
+    depth, queue = {0: 0}, [0]
+    for node in queue:
+        for to in ((node * 7 + 3) % size, (node * 2 + 1) % size):
+            if to not in depth:
+                depth[to] = depth[node] + 1
+                queue.append(to)
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r.node: r.depth for r in run("crawl_depth")} == depth
+    assert {r.src: r.target for r in run("alias_resolve")} == {i: i % 8 for i in range(8, size)}
+    assert {(r.dst, r.n_inlinks, r.authority) for r in run("inlink_authority")} == {("/de", 120, 100), ("/en", 60, 50)}
