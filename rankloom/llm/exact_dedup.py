@@ -14,17 +14,17 @@ from pyspark.sql import Window as W
 from .storage import materialize
 
 WHITESPACE = r"[\x20\x09-\x0D]+"
-#: A chunk ends at the first boundary after so many characters, or at LONGEST characters.
+#: A chunk ends at the first boundary after so many UTF-8 bytes, or at LONGEST bytes.
 SHORTEST, LONGEST = 512, 4096
 
 
 def _boundary_class(multiplier: int) -> str:
-    """A quarter of the printable Latin-1 characters, dealt by a multiplicative hash of the code point."""
-    return "[" + "".join(f"\\x{{{c:x}}}" for c in range(0x20, 0x100) if (c * multiplier) % 251 % 4 == 0) + "]"
+    """A character whose last byte is among a quarter of them, dealt by a multiplicative hash. A whole alphabet may share the bytes before."""
+    return r"(?:[\xc0-\xdf]|[\xe0-\xef][\x80-\xbf]|[\xf0-\xf7][\x80-\xbf]{2})?[" + "".join(f"\\x{b:02x}" for b in range(0xC0) if (b * multiplier) % 251 % 4 == 0) + "]"
 
 
-#: Three neighbouring characters decide a boundary, one place in 64 or so. Text of other alphabets is cut at LONGEST characters.
-CHUNK = rf"(?s).{{{SHORTEST},{LONGEST - 3}}}?{_boundary_class(97)}{_boundary_class(59)}{_boundary_class(151)}|.{{1,{LONGEST}}}"
+#: Three neighbouring characters decide a boundary, one place in 64 or so, in every alphabet.
+CHUNK = rf"(?s).{{{SHORTEST},{LONGEST - 12}}}?{_boundary_class(97)}{_boundary_class(59)}{_boundary_class(151)}|.{{1,{LONGEST}}}"
 
 
 def normalise(text: Column) -> Column:
@@ -33,7 +33,8 @@ def normalise(text: Column) -> Column:
 
 
 def chunks_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
+    """The chunks of the text's UTF-8 bytes, each byte shown as the character of its number: boundaries depend on content in all alphabets."""
+    return F.regexp_extract_all(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), F.lit(CHUNK), F.lit(0))
 
 
 def _colliding(chunks: DataFrame) -> DataFrame | None:

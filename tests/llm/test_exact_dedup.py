@@ -1,6 +1,8 @@
 import hashlib
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from rankloom.llm import exact_dedup as D
@@ -47,3 +49,11 @@ def test_chunks_hold_all_text(spark):
     assert "".join(row.c) == LONG and len(row.c) > 10 and max(map(len, row.c)) <= D.LONGEST
     moved = spark.createDataFrame([("inserted here " + LONG,)], "t string").select(D.chunks_of(F.col("t")).alias("c")).first()
     assert len(set(row.c) & set(moved.c)) >= len(row.c) - 4  # cuts find each other again after an insertion
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏", "कखगघचछजझटठडढतथदधनपफबभम", "กขคงจฉชซญดตถทธนบปผพฟม", "ابتثجحخدذرزسشصضطظعغ"])
+def test_cuts_find_each_other_in_every_alphabet(spark, letters):
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(6000))
+    before, after = (set(r.c) for r in spark.createDataFrame([(text,), (letters[:9] + text,)], "t string").select(D.chunks_of(F.col("t")).alias("c")).collect())
+    assert len(before) > 20 and len(before & after) >= len(before) - 12
