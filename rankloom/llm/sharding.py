@@ -18,7 +18,7 @@ from .storage import materialize
 
 #: Places on the ring: a table of this size leads from a key's hash to its arc.
 RING = 1 << 14
-#: Rows that one task numbers; an arc with more is numbered in several parts.
+#: Rows that one task numbers; the ring's order is cut into ranges of about so many.
 ROWS_PER_PART = 200_000
 
 
@@ -68,7 +68,8 @@ def bounded_load_shards(docs: DataFrame, n_shards: int = 8, virtual_nodes: int =
 
     A shard takes at most load_factor times its even share of the rows; at 1.0, counts are at most one apart. Null texts have size 1
     and the checksum of no bytes. Null and repeated ids share a place on the ring; however many there are, their rows overflow like any
-    others. An empty table gives no rows; other columns are ignored.
+    others. Rows of an arc are ranked by the hash of their key, then by id, checksum and size: rows that tie are the same, so the order
+    of the input doesn't matter. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     nodes = ring(n_shards, virtual_nodes)
@@ -92,15 +93,16 @@ def bounded_load_shards(docs: DataFrame, n_shards: int = 8, virtual_nodes: int =
     even, left = divmod(total, n_shards)
     capacity = [int(load_factor * (even + (s < left))) if load_factor > 1 else even + (s < left) for s in range(n_shards)]
     pieces = spark.createDataFrame(walk(arcs, owners, capacity), "arc int, lo long, hi long, shard int, first_slot long")
-    parts = spark.createDataFrame([(a, -(-n // ROWS_PER_PART)) for a, n in sorted(arcs.items())], "arc int, n_parts long")
 
-    rows = keyed.join(F.broadcast(parts), "arc").withColumn("part", F.pmod(F.xxhash64("row_no"), F.col("n_parts")))
+    # ranges of the ring's order, cut by Spark where the rows are: row_no splits rows that tie
+    order = ["key_hash", "doc_id", "text_crc32", "size"]
+    ranges = keyed.repartitionByRange(-(-total // ROWS_PER_PART) or 1, "arc", *order, "row_no")
+    rows = materialize(ranges.select("arc", *order, F.spark_partition_id().alias("part")), "ring-order")
     counts = rows.groupBy("arc", "part").agg(F.count("*").alias("n"))
     before = W.partitionBy("arc").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).select("arc", "part", "offset")
-    numbered = rows.withColumn("nth", F.row_number().over(W.partitionBy("arc", "part").orderBy("key_hash", "doc_id", "text_crc32", "row_no")))
+    numbered = rows.withColumn("nth", F.row_number().over(W.partitionBy("arc", "part").orderBy(*order)))
     ranked = numbered.join(offsets, ["arc", "part"]).withColumn("rank", F.col("offset") + F.col("nth") - 1).alias("r")
-    piece = F.broadcast(pieces).alias("p")
+    piece = F.broadcast(pieces).alias("p")  # two or so for each virtual node
     placed = ranked.join(piece, (F.col("r.arc") == F.col("p.arc")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("first_slot") + F.col("rank") - F.col("lo")).alias("slot"))
-
