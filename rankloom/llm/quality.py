@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .storage import is_trained_on
 
-#: Bounds of the fit: labelled documents, and pairs drawn from them.
-MOST_LABELLED, MOST_PAIRS = 12_000, 60_000
+#: The fit's bound on labelled documents; each is compared with so many of the other kind.
+MOST_LABELLED, PAIRS_EACH = 12_000, 5
 #: A document at the threshold gets this score.
 CUT = 0.3
 
@@ -52,8 +52,9 @@ def fit_pairs(x: np.ndarray, good: np.ndarray, bad_share: float, seed: int = 7)
     w = np.zeros(x.shape[1])
     if len(winners) and len(losers):
         rng = np.random.default_rng(seed)
-        n = min(MOST_PAIRS, len(winners) * len(losers))
-        d = z[rng.choice(winners, n)] - z[rng.choice(losers, n)]
+        won = np.concatenate([np.repeat(winners, PAIRS_EACH), rng.choice(winners, PAIRS_EACH * len(losers))])
+        lost = np.concatenate([rng.choice(losers, PAIRS_EACH * len(winners)), np.repeat(losers, PAIRS_EACH)])
+        d, n = z[won] - z[lost], len(won)
         for _ in range(12):
             p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
             gradient = d.T @ (p - 1) / n + 1e-3 * w
