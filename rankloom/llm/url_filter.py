@@ -32,14 +32,22 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+#: Names that form a suffix with a two-letter country code, and suffixes below which anybody can register.
+SECOND_LEVEL = ["ac", "co", "com", "edu", "go", "gov", "ne", "net", "or", "org"]
+OPEN_SUFFIXES = ["blogspot.com", "github.io", "gitlab.io", "herokuapp.com", "netlify.app", "pages.dev", "web.app", "wordpress.com"]
+#: The one rule for both levels: the leftmost place from which a suffix reaches the end of the host.
+SUFFIX = "(?:" + "|".join([*(x.replace(".", r"\.") for x in OPEN_SUFFIXES), "(?:" + "|".join(SECOND_LEVEL) + r")\.[a-z]{2}", "[^.]*"]) + ")"
+PORT = r":[0-9]*\z"
+
+
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    """co.uk, github.io, org: what is not registered by itself. Ports don't count."""
+    return F.regexp_extract(F.regexp_replace(host, PORT, ""), rf"(?:^|\.)({SUFFIX})\z", 1)
 
 
 def domain_of(host: Column) -> Column:
-    """Registered domain: the last two labels; three where each of the last two has at most three letters (co.uk)."""
-    short = host.rlike(r"(^|\.)[^.]+\.(ac|co|com|edu|gov|net|org)\.[a-z]{2}$")
-    return F.when(short, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    """The suffix with one label more, if the host has one."""
+    return F.regexp_extract(F.regexp_replace(host, PORT, ""), rf"(?:^|\.)((?:[^.]+\.)?{SUFFIX})\z", 1)
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -51,41 +59,40 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _prior(mean: Column) -> Column:
-    """Strength of a beta prior with the given mean for the members of a parent, by the method of moments over their rates."""
-    spread = F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - mean, 2)) / F.sum("n")
-    noise = mean * (1 - mean) * F.count("*") / F.sum("n")
-    between = spread - noise
+def _totals() -> list[Column]:
+    """What a level keeps of its members: pages with an outcome, bad ones, the sum of bad * bad / n, and how many members have outcomes."""
+    seen = F.when(F.col("n") > 0, F.col("bad") * F.col("bad") / F.col("n"))
+    return [F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.coalesce(F.sum(seen), F.lit(0.0)).alias("squares"), F.count_if(F.col("n") > 0).alias("members")]
+
+
+def _strength(mean: Column) -> Column:
+    """Strength of a beta prior with the given mean for the members of a level, by the method of moments over their rates."""
+    n = F.col("n")
+    spread = (F.col("squares") - 2 * mean * F.col("bad") + mean * mean * n) / n
+    between = spread - mean * (1 - mean) * F.col("members") / n
     fitted = F.when(between > 1e-9, mean * (1 - mean) / between - 1).otherwise(F.lit(STRONGEST))
-    return F.least(F.greatest(fitted, F.lit(WEAKEST)), F.lit(STRONGEST))
+    return F.when(n > 0, F.least(F.greatest(fitted, F.lit(WEAKEST)), F.lit(STRONGEST))).otherwise(F.lit(STRONGEST))
 
 
 def reputations(outcomes: DataFrame) -> DataFrame:
     """host, domain, suffix, n, bad, rate and low (the posterior mean and its lower bound) for every host of outcomes (host, bad).
 
-    Rows with a null outcome count as pages without one. Where nothing is known at all, a tenth is taken for bad. The rate of a level is (bad + strength * rate above) / (n + strength).
+    Rows with a null outcome count as pages without one. Where nothing is known at all, a tenth is taken for bad. The rate of a level is
+    (bad + strength * rate above) / (n + strength). Levels are added up from the hosts, which are written once; no level is read twice.
     """
     known = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
-    hosts = known.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad")
-    total = lambda *keys: (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    domains = hosts.groupBy("domain", "suffix").agg(*total())
-    suffixes = domains.groupBy("suffix").agg(*total())
-    top = suffixes.agg(F.lit(1).alias("one"), ((F.coalesce(F.sum("bad"), F.lit(0.0)) + 0.2) / (F.coalesce(F.sum("n"), F.lit(0)) + 2.0)).alias("top_rate"))
-    share = lambda up: (F.col("bad") + F.col("k") * F.col(up)) / (F.col("n") + F.col("k"))
-
-    def strength(level: DataFrame, by: list[str], up: str) -> DataFrame:
-        seen = level.filter("n > 0")
-        return seen.groupBy(*by, up).agg(_prior(F.col(up)).alias("k")).drop(up)
-
-    s = suffixes.withColumn("one", F.lit(1)).join(F.broadcast(top), "one")  # one row
-    s = s.join(strength(s, ["one"], "top_rate"), "one", "left").fillna(STRONGEST, ["k"]).select("suffix", share("top_rate").alias("suffix_rate"))
-    d = domains.join(s, "suffix")
-    d = d.join(strength(d, ["suffix"], "suffix_rate"), "suffix", "left").fillna(STRONGEST, ["k"]).select("domain", share("suffix_rate").alias("domain_rate"))
+    hosts = materialize(known.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad"), "hosts")
+    domains = hosts.groupBy("domain", "suffix").agg(*_totals())
+    suffixes = materialize(domains.groupBy("suffix").agg(*_totals()), "suffixes")
+    top = suffixes.agg(*_totals()).select(((F.coalesce("bad", F.lit(0.0)) + 0.2) / (F.coalesce("n", F.lit(0)) + 2.0)).alias("rate"), "n", "bad", "squares", "members")
+    top = top.select("rate", F.coalesce(_strength(F.col("rate")), F.lit(STRONGEST)).alias("k")).first()  # one row
+
+    share = lambda rate, k: (F.col("bad") + k * rate) / (F.col("n") + k)
+    s = suffixes.withColumn("rate", share(F.lit(top["rate"]), F.lit(top["k"]))).select("suffix", F.col("rate").alias("suffix_rate"), _strength(F.col("rate")).alias("suffix_k"))
+    d = domains.join(s, "suffix").withColumn("rate", share(F.col("suffix_rate"), F.col("suffix_k"))).select("domain", F.col("rate").alias("domain_rate"), _strength(F.col("rate")).alias("k"))
     h = hosts.join(d, "domain")
-    h = h.join(strength(h, ["domain"], "domain_rate"), "domain", "left").fillna(STRONGEST, ["k"])
-    rate, weight = share("domain_rate"), F.col("n") + F.col("k")
-    low = F.col("rate") - Z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("weight") + 1))
-    return h.select("host", "domain", "suffix", "n", "bad", rate.alias("rate"), weight.alias("weight")).withColumn("low", low).drop("weight")
+    h = h.select("host", "domain", "suffix", "n", "bad", share(F.col("domain_rate"), F.col("k")).alias("rate"), (F.col("n") + F.col("k")).alias("weight"))
+    return h.withColumn("low", F.col("rate") - Z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("weight") + 1))).drop("weight")
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
