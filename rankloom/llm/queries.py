@@ -5,14 +5,15 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat_format, decontaminate, exact_dedup, jaccard_join, quality, secrets, sharding, toxicity, url_filter
 from .storage import is_trained_on, read_table
 
-#: Where the tokenizer files are; the operator takes any path.
-TOKENIZER = os.environ.get("RANKLOOM_TOKENIZER", "/opt/tokenizers/word_bpe_49k.json")
+#: The vocabulary file of these queries; the operator takes any path.
+TOKENIZER = os.environ.get("RANKLOOM_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
 N_SHARDS = 8
 
 
@@ -105,6 +106,9 @@ both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a)
 """
 
+_STRENGTH = """CASE WHEN n > 0 THEN least(greatest(CASE WHEN (q - 2 * m * bad + m * m * n) / n - m * (1 - m) * c / n > 1e-9
+  THEN m * (1 - m) / ((q - 2 * m * bad + m * m * n) / n - m * (1 - m) * c / n) - 1 ELSE 1000 END, 2), 1000) ELSE 1000 END"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard": "WITH RECURSIVE "
     + _SHINGLES
@@ -132,20 +136,20 @@ WITH named AS (
     try_cast(nullif(regexp_extract(coalesce(url, ''), '://[^/?#]*/[^/?#]*/([0-9]{1,18})', 1), '') AS BIGINT) AS key FROM pages),
 worst AS (SELECT doc_id AS key, max(1 - quality) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
 known AS (SELECT host, count(bad) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad FROM named LEFT JOIN worst USING (key) GROUP BY 1),
-hosts AS (SELECT host, n, bad, split_part(host, '.', -1) AS suffix,
-  CASE WHEN regexp_matches(host, '(^|\.)[^.]+\.(ac|co|com|edu|gov|net|org)\.[a-z]{2}$') THEN array_to_string(string_split(host, '.')[-3:], '.')
-    ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain FROM known),
-domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY 1, 2),
-suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY 1),
-top AS (SELECT (coalesce(sum(bad), 0) + 0.2::DOUBLE) / (coalesce(sum(n), 0) + 2.0::DOUBLE) AS m FROM suffixes),
-ks AS (SELECT m, sum(n * pow(bad / n - m, 2)) / sum(n) - m * (1 - m) * count(*) / sum(n) AS between_ FROM suffixes, top WHERE n > 0 GROUP BY m),
-s AS (SELECT suffix, (bad + k * m) / (n + k) AS m FROM (SELECT x.*, t.m, coalesce((SELECT CASE WHEN between_ > 1e-9 THEN least(greatest(ks.m * (1 - ks.m) / between_ - 1, 2), 1000) ELSE 1000 END FROM ks), 1000) AS k FROM suffixes x, top t)),
-d0 AS (SELECT domains.*, s.m FROM domains JOIN s USING (suffix)),
-kd AS (SELECT suffix, any_value(m) AS m, sum(n * pow(bad / n - m, 2)) / sum(n) - any_value(m) * (1 - any_value(m)) * count(*) / sum(n) AS between_ FROM d0 WHERE n > 0 GROUP BY suffix),
-d AS (SELECT domain, (bad + k * m) / (n + k) AS m FROM (SELECT d0.*, coalesce(CASE WHEN between_ > 1e-9 THEN least(greatest(kd.m * (1 - kd.m) / between_ - 1, 2), 1000) ELSE 1000 END, 1000) AS k FROM d0 LEFT JOIN kd USING (suffix))),
-h0 AS (SELECT hosts.*, d.m FROM hosts JOIN d USING (domain)),
-kh AS (SELECT domain, any_value(m) AS m, sum(n * pow(bad / n - m, 2)) / sum(n) - any_value(m) * (1 - any_value(m)) * count(*) / sum(n) AS between_ FROM h0 WHERE n > 0 GROUP BY domain),
-h AS (SELECT host, (bad + k * m) / (n + k) AS rate, n + k AS weight FROM (SELECT h0.*, coalesce(CASE WHEN between_ IS NULL THEN 1000 WHEN between_ > 1e-9 THEN least(greatest(kh.m * (1 - kh.m) / between_ - 1, 2), 1000) ELSE 1000 END, 1000) AS k FROM h0 LEFT JOIN kh USING (domain))),
+bare AS (SELECT *, regexp_replace(host, ':[0-9]*\z', '') AS b FROM known),
+hosts AS (SELECT host, n, bad,
+  regexp_extract(b, '(?:^|\.)((?:blogspot\.com|github\.io|gitlab\.io|herokuapp\.com|netlify\.app|pages\.dev|web\.app|wordpress\.com|(?:ac|co|com|edu|go|gov|ne|net|or|org)\.[a-z]{2}|[^.]*))\z', 1) AS suffix,
+  regexp_extract(b, '(?:^|\.)((?:[^.]+\.)?(?:blogspot\.com|github\.io|gitlab\.io|herokuapp\.com|netlify\.app|pages\.dev|web\.app|wordpress\.com|(?:ac|co|com|edu|go|gov|ne|net|or|org)\.[a-z]{2}|[^.]*))\z', 1) AS domain FROM bare),
+domains AS (SELECT domain, suffix, CAST(sum(n) AS DOUBLE) AS n, sum(bad) AS bad, coalesce(sum(bad * bad / n) FILTER (WHERE n > 0), 0) AS q, count(*) FILTER (WHERE n > 0) AS c FROM hosts GROUP BY 1, 2),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, coalesce(sum(bad * bad / n) FILTER (WHERE n > 0), 0) AS q, count(*) FILTER (WHERE n > 0) AS c FROM domains GROUP BY 1),
+t0 AS (SELECT coalesce(sum(n), 0) AS n, coalesce(sum(bad), 0) AS bad, coalesce(sum(bad * bad / n) FILTER (WHERE n > 0), 0) AS q, count(*) FILTER (WHERE n > 0) AS c FROM suffixes),
+t1 AS (SELECT *, (bad + 0.2::DOUBLE) / (n + 2.0::DOUBLE) AS m FROM t0),
+t AS (SELECT m, STRENGTH AS k FROM t1),
+s1 AS (SELECT suffix, n, bad, q, c, (bad + t.k * t.m) / (n + t.k) AS m FROM suffixes, t),
+s AS (SELECT suffix, m, STRENGTH AS k FROM s1),
+d1 AS (SELECT domain, n, bad, q, c, (bad + s.k * s.m) / (n + s.k) AS m FROM domains JOIN s USING (suffix)),
+d AS (SELECT domain, m, STRENGTH AS k FROM d1),
+h AS (SELECT host, (bad + d.k * d.m) / (n + d.k) AS rate, n + d.k AS weight FROM hosts JOIN d USING (domain)),
 ruled AS (SELECT *, CASE
   WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
   WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
@@ -154,7 +158,7 @@ ruled AS (SELECT *, CASE
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
   WHEN rate - 1.0 * sqrt(rate * (1 - rate) / (weight + 1)) > 0.2 THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled JOIN h USING (host)
-""",
+""".replace("STRENGTH", _STRENGTH),
     "op10_exact_copies": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
