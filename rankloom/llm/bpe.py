@@ -12,15 +12,18 @@ import re
 import struct
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workers import releasing
+
 END = "</w>"
-#: Words whose encodings a worker holds at most, and pairs of tokens; it starts anew beyond.
-MOST_WORDS, MOST_PAIRS = 300_000, 300_000
+#: Words whose encodings a task holds at most, and pairs of tokens; it starts anew beyond.
+MOST_WORDS, MOST_PAIRS = 200_000, 300_000
+
+_UNMET: dict[str, bool] = {}
 
 
 class WordTrie:
@@ -35,8 +38,8 @@ class WordTrie:
         for rank, (left, right) in enumerate(merges):
             if left in self.made and right in self.made and left + right not in self.made and self._apart(left, right, rank):
                 self.made[left + right] = (rank, left, right)
-        #: By token, the tokens that it may follow or not, as far as it is known.
-        self.fits: dict[str, dict[str, bool]] = {t: {} for t in self.made}
+        #: By token, the tokens that it may follow or not, as far as it is known; all tokens share the empty table until they are met.
+        self.fits: dict[str, dict[str, bool]] = dict.fromkeys(self.made, _UNMET)
         self.n_pairs = self.n_steps = 0
 
     def _apart(self, left: str, right: str, limit: int) -> bool:
@@ -67,20 +70,21 @@ class WordTrie:
         self.n_pairs += 1
         if self.n_pairs > MOST_PAIRS:
             self.n_pairs = 0
-            for known in self.fits.values():
-                known.clear()
+            self.fits = dict.fromkeys(self.made, _UNMET)
+        if self.fits[token] is _UNMET:
+            self.fits[token] = {}
         fits = self.fits[token][last] = self._apart(last, token, 1 << 60)
         return fits
 
     def _extend(self, word: str, size: int, end: str, states: list[str]) -> None:
         """Appends the last token of every prefix up to `size` symbols, the longest with `end`."""
-        fits, longest, done = self.fits, self.longest, len(states)
+        longest, done = self.longest, len(states)
         self.n_steps += size - done
         for upto in range(done + 1, size + 1):
             tail = end if upto == size else ""
             for start in range(upto - 1, max(-1, upto - longest - 1), -1):
                 token = word[start:upto] + tail
-                if (known := fits.get(token)) is not None:
+                if (known := self.fits.get(token)) is not None:
                     if not start:
                         break
                     last = states[start - 1]
@@ -136,11 +140,11 @@ class Encoder:
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
 
-        self.spec = json.loads(spec)
+        parsed = json.loads(spec)
         library = Tokenizer.from_str(spec)  # for its normaliser and its splitting of words only
         self.normalize, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-        model = self.spec["model"]
-        self.added = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
+        model = parsed["model"]
+        self.added = {t["content"]: t["id"] for t in parsed["added_tokens"]}
         self.trie = WordTrie(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
         names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.added.items()}
         self.names = [names.get(i) for i in range(max(names) + 1)]
@@ -208,24 +212,19 @@ def _alternate(piece: str, token: str) -> list[str]:
 ROWS = 1024
 
 
-@lru_cache(maxsize=1)
-def _encoder(spec: str) -> Encoder:
-    """One for each worker process: tasks that follow each other in it find the words of those before."""
-    return Encoder(spec)
-
-
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, ids (packed little-endian unsigned 32-bit integers) and decoded, the text of these ids.
 
     The tokenizer file is read on the driver and broadcast; its size doesn't grow with the data. Null and empty texts have no ids and
-    decode to the empty text. Repeated rows are encoded each; an empty table gives no rows; other columns are ignored.
+    decode to the empty text. Repeated rows are encoded each; an empty table gives no rows; other columns are ignored. A byte for which
+    the file has no token raises ValueError. The encoder lives as long as its task.
     """
     sc = docs.sparkSession.sparkContext
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = sc.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(spec.value)
+        encoder = Encoder(spec.value)
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
@@ -234,4 +233,4 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(releasing(run), f"doc_id {kind}, ids binary, decoded string")
