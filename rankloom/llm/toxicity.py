@@ -8,6 +8,7 @@ kind of match counts for a document.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections.abc import Iterator
@@ -19,17 +20,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import is_trained_on
+from .storage import is_trained_on, materialize
+from .workers import releasing
 
 #: Word classes by language; a word is looked up in lower case.
 TARGETS = "you your yours they them he she these those people du ihr euch sie dich dir tu vous ils elles tú usted vosotros ellos ellas".split()
 NEGATIONS = "not never no isn't aren't don't nicht kein keine nie ne pas jamais aucun nunca jamás ningún".split()
 REPORTS = "said says wrote quoted called according claims sagte schrieb laut dit écrit selon dijo escribió según".split()
-THREATS = "kill hurt destroy beat shoot stab töten verletzen tuer frapper matar golpear".split()
+THREATS = (
+    "kill hurt destroy beat shoot stab murder strangle burn crush punch smash töten umbringen verletzen schlagen verprügeln erschießen erstechen vernichten "
+    "tuer frapper abattre poignarder étrangler brûler massacrer matar golpear apuñalar disparar estrangular quemar masacrar"
+).split()
 WORD_CLASSES = {w: c for c, words in (("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("K", THREATS)) for w in words}
 
-#: Bounds of the fit: labelled documents, stems that are weighed, stems that are kept.
-MOST_LABELLED, MOST_CANDIDATES, MOST_STEMS = 12_000, 3_000, 400
+#: The fit's bound on labelled documents.
+MOST_LABELLED = 12_000
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 #: A stem is kept if so many documents have it and so large a share of them is toxic; with fewer, if no earlier stem explains LEAST_DOCS of them.
 SURE_DOCS, SURE_SHARE, LEAST_DOCS, LEAST_SHARE = 8, 0.9, 3, 0.75
@@ -134,7 +139,7 @@ FEATURES, SCORE = "_grammar_features", "_toxicity"
 
 
 def _with_features(docs: DataFrame, stems: dict[str, float]) -> DataFrame:
-    """docs with x, the grammar's features of text. The lexicon has MOST_STEMS entries at most."""
+    """docs with FEATURES, the grammar's features of text. The lexicon is bounded by the labelled documents that it was learned from."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +149,7 @@ def _with_features(docs: DataFrame, stems: dict[str, float]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x, pa.list_(pa.float64()))], [*batch.schema.names, FEATURES])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(FEATURES, T.ArrayType(T.DoubleType()))])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
 
 
 def _stem_documents(sample: DataFrame) -> DataFrame:
@@ -155,6 +160,11 @@ def _stem_documents(sample: DataFrame) -> DataFrame:
     return each.select("doc_no", "label", F.explode(parts).alias("stem")).filter("stem is not null").distinct()
 
 
+def _reversed(stem: str) -> tuple[int, ...]:
+    """Sorts stems from the last to the first."""
+    return tuple(-ord(c) for c in stem) + (1,)
+
+
 def choose_stems(documents_of: dict[str, np.ndarray], toxic: np.ndarray) -> dict[str, float]:
     """Stems that are sure on their own, then a greedy cover of the toxic documents that are left. Weights are log odds."""
     base = math.log((toxic.sum() + 0.5) / ((~toxic).sum() + 0.5))
@@ -170,16 +180,22 @@ def choose_stems(documents_of: dict[str, np.ndarray], toxic: np.ndarray) -> dict
     sure = [s for s, d in documents_of.items() if bad[s] >= SURE_DOCS and bad[s] / len(d) >= SURE_SHARE]
     for stem in sorted(sure, key=lambda s: (-bad[s], s.endswith("$"), -len(s), s)):
         word = stem.removesuffix("$")
-        if len(stems) < MOST_STEMS and not any(word.startswith(k.removesuffix("$")) or k.startswith(word) for k in stems):
+        if not any(word.startswith(k.removesuffix("$")) or k.startswith(word) for k in stems):
             keep(stem)
-    left = {s: d for s, d in documents_of.items() if s not in stems}
-    while left and len(stems) < MOST_STEMS:
-        gain = {s: int(open_[d].sum()) for s, d in left.items()}
-        stem = max(gain, key=lambda s: (gain[s], bad[s] / len(left[s]), len(s), s))
-        if gain[stem] < LEAST_DOCS:
+    # gains only fall as documents get explained: the best one whose gain is up to date is the best of all
+    key = lambda s: (-int(open_[documents_of[s]].sum()), -bad[s] / len(documents_of[s]), -len(s), _reversed(s))
+    queue = [(key(s), s) for s in documents_of if s not in stems]
+    heapq.heapify(queue)
+    while queue:
+        stem = queue[0][1]
+        now = key(stem)
+        if now != queue[0][0]:
+            heapq.heapreplace(queue, (now, stem))
+            continue
+        heapq.heappop(queue)
+        if -now[0] < LEAST_DOCS:
             break
         keep(stem)
-        left = {s: d for s, d in left.items() if gain[s] >= LEAST_DOCS and s != stem}
     return stems
 
 
@@ -203,12 +219,9 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") ->
     shape = F.slice(F.array_sort(F.transform(long_words, lambda w: F.xxhash64(w))), 1, 3)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
     texts = texts.groupBy(F.when(F.size(long_words) >= 3, shape).otherwise(F.array(F.xxhash64("text"))).alias("shape"), "label").agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("doc_no"))
-    texts = texts.persist()
-    try:
-        stems = _learn_stems(texts)
-        rows = _with_features(texts.select("label", "text"), stems).drop("text").collect()
-    finally:
-        texts.unpersist()
+    texts = materialize(texts, "labelled-texts")
+    stems = _learn_stems(texts)
+    rows = _with_features(texts.select("label", "text"), stems).drop("text").collect()  # MOST_LABELLED rows of features at most
     x, y = np.array([r[FEATURES] for r in rows], dtype=float).reshape(len(rows), N_FEATURES), np.array([r["label"] for r in rows], dtype=float)
     return {"stems": stems, "weights": _fit(x, y).tolist() if len(rows) else [0.0] * N_FEATURES + [-2.0]}
 
@@ -216,8 +229,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") ->
 def _learn_stems(texts: DataFrame) -> dict[str, float]:
     pairs = _stem_documents(texts)
     counts = pairs.groupBy("stem").agg(F.count("*").alias("n"), F.sum("label").alias("bad")).filter((F.col("bad") >= LEAST_DOCS) & (F.col("bad") / F.col("n") >= LEAST_SHARE))
-    best = counts.orderBy(F.desc("bad"), "n", "stem").limit(MOST_CANDIDATES).select("stem")
-    incidence = pairs.join(F.broadcast(best), "stem").groupBy("stem").agg(F.sort_array(F.collect_list("doc_no")).alias("docs")).collect()
+    incidence = pairs.join(counts.select("stem"), "stem").groupBy("stem").agg(F.sort_array(F.collect_list("doc_no")).alias("docs")).collect()
     labelled = {r["doc_no"]: r["label"] for r in texts.select("doc_no", "label").collect()}  # MOST_LABELLED numbers at most
     order = {d: i for i, d in enumerate(sorted(labelled))}
     toxic = np.array([labelled[d] == 1 for d in order], dtype=bool)
