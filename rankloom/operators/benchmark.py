@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import curve_ctr, page_key, round_half_up, rounded_position
+from .ranks import ranked
 
 #: A page's rows at a position count from so many impressions; a position is judged by the site's own rates from so much evidence.
 LEAST_URL_IMPRESSIONS, LEAST_IMPRESSIONS, LEAST_URLS, LEAST_POSITIVE = 30, 1000, 5, 3
@@ -27,12 +28,13 @@ def leave_url_out(rows: DataFrame, all_qualified: bool = False) -> DataFrame:
     positive = F.col("clicks") > 0
     totals = urls.groupBy("bucket").agg(F.sum("impressions").alias("all_impressions"), F.count("*").alias("n_all"), F.count_if(positive).alias("n_positive"))
     sampled = urls if all_qualified else urls.filter(positive)
-    ranked = sampled.withColumn("place", F.row_number().over(W.partitionBy("bucket").orderBy("ctr", "url_key")) - 1)
+    # ten buckets hold all pages, so their places are counted over ranges
+    places = ranked(sampled, ["bucket"], [F.col("ctr"), F.col("url_key")], "place").withColumn("place", F.col("place") - 1)
 
     buckets = F.explode(F.sequence(F.lit(1), F.lit(10))).alias("bucket")
     targets = rows.select(page_key(F.col("page")).alias("url_key")).distinct().select("url_key", buckets)
     own = urls.select("url_key", "bucket", F.col("impressions").alias("own_impressions"), positive.cast("int").alias("own_positive"))
-    place = ranked.select("url_key", "bucket", F.col("place").alias("own_place"))
+    place = places.select("url_key", "bucket", F.col("place").alias("own_place"))
     t = targets.join(own, ["url_key", "bucket"], "left").join(place, ["url_key", "bucket"], "left").join(F.broadcast(totals), "bucket", "left")  # ten rows
     has = F.col("own_impressions").isNotNull().cast("int")
     enough = (F.col("all_impressions") - F.coalesce("own_impressions", F.lit(0)) >= LEAST_IMPRESSIONS) & (F.col("n_all") - has >= LEAST_URLS) & (F.col("n_positive") - F.coalesce("own_positive", F.lit(0)) >= LEAST_POSITIVE)
@@ -40,10 +42,12 @@ def leave_url_out(rows: DataFrame, all_qualified: bool = False) -> DataFrame:
     rank = F.ceil(size * 0.75) - 1
     at = (rank + F.coalesce((rank >= F.col("own_place")).cast("int"), F.lit(0))).cast("int").alias("place")
     t = t.select("url_key", "bucket", F.when(F.coalesce(enough, F.lit(False)), at).alias("place"))
-    rates = ranked.select("bucket", "place", F.col("ctr").alias("site_ctr"))
+    # a page is left out by a rank one further at most, so two rates of a bucket are all that is looked up
+    looked_up = F.broadcast(t.filter("place is not null").select("bucket", "place").distinct())  # twenty rows at most
+    rates = places.join(looked_up, ["bucket", "place"]).select("bucket", "place", F.col("ctr").alias("site_ctr"))
     curve = curve_ctr(F.col("bucket"))
     kept = F.greatest(curve * LOWEST, F.least(F.col("site_ctr"), curve * HIGHEST))
-    t = t.join(rates, ["bucket", "place"], "left").withColumn("raw", round_half_up(F.coalesce(kept, curve), 4))
+    t = t.join(F.broadcast(rates), ["bucket", "place"], "left").withColumn("raw", round_half_up(F.coalesce(kept, curve), 4))
     so_far = W.partitionBy("url_key").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
     return t.select("url_key", "bucket", F.min("raw").over(so_far).alias("target"), F.col("site_ctr").isNotNull().alias("from_site"))
 

@@ -20,7 +20,10 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def shortest_depths(links: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
-    """(node, depth) of everything that links (src, dst) reach from roots (node), by the fewest steps."""
+    """(node, depth) of everything that links (src, dst) reach from roots (node), by the fewest steps.
+
+    Fixed value: pages more than `most` steps away are not reached.
+    """
     seen = written(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for depth in range(1, most + 1):
@@ -33,7 +36,10 @@ def shortest_depths(links: DataFrame, roots: DataFrame, most: int = 64) -> DataF
 
 
 def resolve_aliases(aliases: DataFrame, most: int = 32) -> DataFrame:
-    """(src, target): where chains of (src, dst) end, by pointer doubling. A cycle ends at its smallest member."""
+    """(src, target): where chains of (src, dst) end, by pointer doubling. A cycle ends at its smallest member.
+
+    Every round doubles the length of the chains that are resolved, so `most` rounds suffice for 2 ** most steps.
+    """
     now = written(aliases.select("src", F.col("dst").alias("target"), F.least("src", "dst").alias("low")))
     for _ in range(most):
         onward = now.select(F.col("src").alias("target"), F.col("target").alias("next"), F.col("low").alias("next_low"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked
 from ..sources.views import QUERY_PAGE, RANKED, SEARCH_ROWS, query_page, ranked_keywords, search_rows, table
 from .search_reports import _DECAY, _QUICK, _STRIKING, decay_rows, quick_win_rows, striking_distance_rows, windows
 
@@ -146,10 +147,10 @@ def spend_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @report(
     "fanout_themes",
-    "WITH t AS (SELECT l_orderkey AS observation, unnest(string_split(p_name, ' ')) AS term FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 50 = 0) SELECT term, count(DISTINCT observation) AS n FROM t GROUP BY term HAVING count(DISTINCT observation) >= 2",
+    "WITH t AS (SELECT l_orderkey AS observation, unnest(string_split(p_name, ' ')) AS term FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT term, count(DISTINCT observation) AS n FROM t GROUP BY term HAVING count(DISTINCT observation) >= 2",
 )
 def fanout_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms of all observations; the SQL above still reads every fiftieth only."""
+    """Terms that two observations or more have."""
     lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     terms = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.explode(F.split("p_name", " ")).alias("term"))
     return terms.groupBy("term").agg(F.countDistinct("l_orderkey").alias("n")).filter("n >= 2")
@@ -265,8 +266,8 @@ def competitive_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = search_rows(spark, sf_dir).filter("clicks > 2 AND position < 5").groupBy(F.col("query").alias("keyword")).agg(F.min("position").cast("double").alias("position"))
     k = ranked_keywords(spark, sf_dir).filter("rank <= 10").join(rating, "domain").groupBy("keyword").agg(F.count_if(F.col("rating") < 40).alias("n_weak"), F.count("*").alias("n_sources"), F.sum("volume").alias("volume"))
     rows = k.join(own, "keyword", "left")
-    order = W.partitionBy(F.lit(1)).orderBy(F.desc(F.col("position").isNotNull()), F.desc("n_weak"), F.desc("n_sources"), F.desc("volume"), "keyword")  # keywords with a first page, one row each
-    return rows.select(F.row_number().over(order).alias("review_order"), "keyword", "n_weak", "n_sources", "volume", "position")
+    order = [F.desc(F.col("position").isNotNull()), F.desc("n_weak"), F.desc("n_sources"), F.desc("volume"), F.col("keyword")]
+    return ranked(rows, [], order, "review_order").select("review_order", "keyword", "n_weak", "n_sources", "volume", "position")
 
 
 @report(
