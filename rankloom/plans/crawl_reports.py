@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import broad_signature, page_key, path_parts, placeholder, url_signature
+from ..functions.columns import broad_signature, page_key, path_parts, placeholder, tokens, url_signature
+from ..functions.text import normal_text
 from ..operators.graph import greedy_leaders, resolve_aliases, shortest_depths
 from ..operators.samples import with_first
 from ..sources.views import LINKS, QUERY_PAGE, links, query_page, table
@@ -168,24 +169,24 @@ def inlink_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(F.broadcast(most)).select("dst", "n_inlinks", F.floor(100.0 * F.col("n_inlinks") / F.col("most") + 0.5).alias("authority"))  # one row
 
 
-_STEPS = "steps AS (SELECT p_partkey AS src, (p_partkey * 7 + 3) % 500 AS dst FROM part WHERE p_partkey < 500 UNION SELECT p_partkey, (p_partkey * 2 + 1) % 500 FROM part WHERE p_partkey < 500)"
+_STEPS = "steps AS (SELECT p_partkey AS src, (p_partkey * 7 + 3) % (SELECT count(*) FROM part) AS dst FROM part UNION SELECT p_partkey, (p_partkey * 2 + 1) % (SELECT count(*) FROM part) FROM part)"
 
 
 @report(
     "crawl_depth",
-    f"WITH RECURSIVE {_STEPS}, walk AS (SELECT 0 AS node, 0 AS depth UNION SELECT s.dst, w.depth + 1 FROM walk w JOIN steps s ON s.src = w.node WHERE w.depth < 14) SELECT node, min(depth) AS depth FROM walk GROUP BY node",
+    f"WITH RECURSIVE {_STEPS}, walk AS (SELECT 0 AS node, 0 AS depth UNION SELECT s.dst, w.depth + 1 FROM walk w JOIN steps s ON s.src = w.node WHERE w.depth < 40) SELECT node, min(depth) AS depth FROM walk GROUP BY node",
 )
 def crawl_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fewest clicks from the start page, over all parts; the SQL above still walks the first 500 only."""
+    """Fewest clicks from the start page, over all parts."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"))
     size = F.lit(p.count())
     steps = p.select("src", ((F.col("src") * 7 + 3) % size).alias("dst")).union(p.select("src", ((F.col("src") * 2 + 1) % size).alias("dst"))).distinct()
     return shortest_depths(steps, spark.createDataFrame([(0,)], "node long"))
 
 
-@report("alias_resolve", "SELECT p_partkey AS src, p_partkey % 8 AS target FROM part WHERE p_partkey >= 8 AND p_partkey < 1000")
+@report("alias_resolve", "SELECT p_partkey AS src, p_partkey % 8 AS target FROM part WHERE p_partkey >= 8")
 def alias_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Redirects 8 back at a time end below 8, over all parts; the SQL above still stops at 1000."""
+    """Redirects 8 back at a time end below 8, over all parts."""
     hops = table(spark, sf_dir, "part").filter("p_partkey >= 8").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") - 8).alias("dst"))
     return resolve_aliases(hops)
 
@@ -297,28 +298,55 @@ def demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_page(spark, sf_dir).groupBy("query").agg(F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"))
 
 
-def token_edges(queries: DataFrame, least: float = 1 / 3) -> DataFrame:
-    """(a, b) of queries that share a term which isn't common, with a Jaccard similarity of their terms of `least` or more."""
-    terms = queries.select("query", F.explode(F.array_distinct(F.split("query", " "))).alias("term"))
-    sizes = terms.groupBy("query").agg(F.count("*").alias("size"))
-    n = queries.agg(F.greatest(F.lit(20), F.least(F.lit(250), F.floor(F.count("*") * 0.08))).alias("most"))
-    common = terms.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).filter("df <= most").select("term")  # one row
-    kept = terms.join(common, "term")
-    pairs = kept.select("term", F.col("query").alias("a")).join(kept.select("term", F.col("query").alias("b")), "term").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    sized = pairs.join(sizes.select(F.col("query").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("query").alias("b"), F.col("size").alias("nb")), "b")
-    return sized.filter(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")) >= least).select("a", "b", "shared")
+#: Terms that don't make queries alike, and the least similarity of those that are.
+IGNORED_TERMS = "and are best can for from how near the to vs what when where with your".split()
+LEAST_ALIKE = 0.5
 
 
-_EDGES = _TERMS + """,
-common AS (SELECT term FROM terms GROUP BY term HAVING count(*) <= (SELECT greatest(20, least(250, floor(count(*) * 0.08))) FROM demand)),
-kept AS (SELECT terms.* FROM terms JOIN common USING (term)),
-edges AS (SELECT x.query AS a, y.query AS b, count(*) AS shared FROM kept x JOIN kept y ON x.term = y.term AND x.query < y.query GROUP BY 1, 2
-  HAVING count(*)::DOUBLE / (any_value(len(list_distinct(string_split(x.query, ' ')))) + any_value(len(list_distinct(string_split(y.query, ' ')))) - count(*)) >= 1.0::DOUBLE / 3)"""
+def cluster_terms(query: Column) -> Column:
+    """The distinct words of a query of two characters or more, without IGNORED_TERMS."""
+    return F.array_distinct(F.array_except(tokens(normal_text(query)), F.array(*[F.lit(w) for w in IGNORED_TERMS])))
+
+
+def token_edges(queries: DataFrame, least: float = LEAST_ALIKE) -> DataFrame:
+    """(a, b, shared) of queries that share a term which isn't common, with a Jaccard similarity of their terms of `least` or more.
+
+    Of two such queries the rarest common term is among the first of each, rarest first, so only those are joined; no list of a term is
+    longer than the bound that makes a term common.
+    """
+    named = queries.select("query", cluster_terms(F.col("query")).alias("terms"))
+    each = named.select("query", F.explode("terms").alias("term"))
+    most = queries.agg(F.greatest(F.lit(20), F.least(F.lit(250), F.floor(F.count("*") * 0.08))).alias("most"))
+    df = each.groupBy("term").agg(F.count("*").alias("df"))
+    rarity = each.join(df, "term").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("sorted"))
+    first = F.size("sorted") - F.ceil(F.size("sorted") * F.lit(least)).cast("int") + 1
+    prefix = rarity.select("query", F.explode(F.slice("sorted", F.lit(1), first)).alias("t")).join(F.broadcast(most)).filter("t.df <= most").select("query", F.col("t.term").alias("term"))  # one row
+    pairs = prefix.select("term", F.col("query").alias("a")).join(prefix.select("term", F.col("query").alias("b")), "term").filter("a < b").select("a", "b").distinct()
+    sides = pairs.join(named.select(F.col("query").alias("a"), F.col("terms").alias("ta")), "a").join(named.select(F.col("query").alias("b"), F.col("terms").alias("tb")), "b")
+    shared = F.size(F.array_intersect("ta", "tb"))
+    return sides.select("a", "b", shared.cast("long").alias("shared"), F.size(F.array_union("ta", "tb")).alias("all")).filter(F.col("shared") / F.col("all") >= least).select("a", "b", "shared")
+
+
+def cluster_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query, impressions of longer queries: what a part is called, made of and numbered."""
+    lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    name = F.concat_ws(" ", "p_name", F.lower("p_type"), F.concat(F.lit("m"), (F.col("p_partkey") % 150).cast("string")))
+    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy(name.alias("query")).agg(F.sum(F.col("l_quantity").cast("long")).alias("impressions"))
+
+
+_EDGES = """
+demand AS (SELECT concat_ws(' ', p_name, lower(p_type), concat('m', p_partkey % 150)) AS query, sum(l_quantity::BIGINT)::BIGINT AS impressions FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+named AS (SELECT query, list_distinct(list_filter(regexp_extract_all(lower(query), '[a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN ('and', 'are', 'best', 'can', 'for', 'from', 'how', 'near', 'the', 'to', 'vs', 'what', 'when', 'where', 'with', 'your'))) AS terms FROM demand),
+each AS (SELECT query, unnest(terms) AS term FROM named),
+common AS (SELECT term FROM each GROUP BY term HAVING count(*) <= (SELECT greatest(20, least(250, floor(count(*) * 0.08))) FROM demand)),
+kept AS (SELECT each.* FROM each JOIN common USING (term)),
+pairs AS (SELECT DISTINCT x.query AS a, y.query AS b FROM kept x JOIN kept y ON x.term = y.term AND x.query < y.query),
+edges AS (SELECT a, b, len(list_intersect(x.terms, y.terms)) AS shared FROM pairs JOIN named x ON x.query = a JOIN named y ON y.query = b WHERE len(list_intersect(x.terms, y.terms))::DOUBLE / len(list_distinct(list_concat(x.terms, y.terms))) >= 0.5)"""
 
 
 @report("query_cluster_edges", f"WITH {_EDGES} SELECT a, b, shared FROM edges")
 def query_cluster_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_edges(demand(spark, sf_dir))
+    return token_edges(cluster_demand(spark, sf_dir))
 
 
 @report(
@@ -333,7 +361,7 @@ def query_cluster_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def query_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy clusters of queries around leaders, the most shown first."""
-    d = demand(spark, sf_dir)
+    d = cluster_demand(spark, sf_dir)
     rank = F.struct((-F.col("impressions")).alias("order"), F.col("query").alias("name"))
     member = greedy_leaders(d.select(F.col("query").alias("node"), rank.alias("rank")), token_edges(d))
     return member.join(d, F.col("node") == F.col("query")).groupBy("leader").agg(F.count("*").alias("n_queries"), F.sum("impressions").alias("impressions"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import crawler_category, status_class
+from ..functions.columns import crawler_category, crawler_family, status_class
 from ..sources.views import ACCESS_LOG, RANKED, SEARCH_ROWS, SNAPSHOTS, access_log, parse_log, ranked_keywords, search_rows, snapshots, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -71,8 +71,10 @@ def log_crawlers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crawler_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every crawler and path, with its statuses by class; all pairs are counted, none is capped."""
     kinds = ["success", "redirect", "client_error", "server_error"]
-    rows = records(spark, sf_dir).filter("family IS NOT NULL").withColumn("kind", status_class(F.col("status")))
-    return rows.groupBy("family", "path").agg(F.count("*").alias("requests"), *[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+    seen = records(spark, sf_dir).groupBy("agent", "path", "status").agg(F.count("*").alias("n"))
+    # agents and statuses are named once for each group of equal ones
+    named = seen.select("path", "n", crawler_family(F.col("agent")).alias("family"), status_class(F.col("status")).alias("kind")).filter("family IS NOT NULL")
+    return named.groupBy("family", "path").agg(F.sum("n").alias("requests"), *[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in kinds])
 
 
 @report(

@@ -91,7 +91,10 @@ access_log AS (
     CASE user_id % 7 WHEN 0 THEN 'Googlebot' WHEN 1 THEN 'Bingbot' WHEN 2 THEN 'OpenAI' WHEN 3 THEN 'Anthropic' WHEN 5 THEN 'Perplexity' WHEN 6 THEN 'CCBot' END AS family
   FROM events WHERE event_id % 500 <> 499)"""
 
-COMBINED = r'^\S+\s+\S+\s+\S+\s+\[([^\]]+)\]\s+"([A-Za-z]{1,16})\s+([^"\s]+)(?:\s+[^"\s]+)?"\s+(\d{3})\s+(\d+|-)\s*(?:"[^"]*"\s+"([^"]*)")?\s*$'
+#: The combined format from its fields: host, identity, user, [time], "request", status, size, and perhaps "referrer" and "agent".
+_WORD, _QUOTED = r"\S+", r'"[^"]*"'
+_REQUEST = r'"(\w+) (\S+)[^"]*"'
+COMBINED = rf"^{_WORD} {_WORD} {_WORD} \[([^\]]+)\] {_REQUEST} ([0-9]{{3}}) ([0-9]+|-)(?: {_QUOTED} \"([^\"]*)\")?\s*$"
 
 
 def parse_log(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -102,7 +105,8 @@ def parse_log(lines: DataFrame, column: str = "value") -> DataFrame:
     from ..functions.columns import crawler_category, crawler_family, url_path
 
     groups = F.split(F.regexp_replace(column, COMBINED, "\x01$1\x01$2\x01$3\x01$4\x01$5\x01$6"), "\x01")
-    split = lines.select(F.when(F.size(groups) == 7, groups).alias("g"), F.octet_length(column).alias("line_bytes"))
+    # as a generated row, so that no filter or column further up repeats the pattern
+    split = lines.select(F.explode(F.array(F.when(F.size(groups) == 7, groups))).alias("g"), F.octet_length(column).alias("line_bytes"))
     part = lambda i: F.nullif(F.get("g", F.lit(i)), F.lit(""))
     parsed = split.select(
         F.try_to_timestamp(part(1), F.lit("dd/MMM/yyyy:HH:mm:ss Z")).alias("ts"), part(2).alias("method"), url_path(part(3)).alias("path"),
@@ -180,10 +184,10 @@ snapshots AS (
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst: the links of the pages, as paths; each page is a source of its own. LINKS still folds the sources into 50."""
+    """src, dst: the links of the pages, as paths; each page is a source of its own."""
     hrefs = F.regexp_extract_all("html", F.lit(r'<a href="([^"#?]+)'), F.lit(1))
     return table(spark, sf_dir, "pages").select(F.concat(F.lit("/p/"), F.col("page_id").cast("string")).alias("src"), F.explode(hrefs).alias("dst")).distinct()
 
 
 LINKS = r"""
-links AS (SELECT DISTINCT concat('/p/', CAST(page_id % 50 AS VARCHAR)) AS src, unnest(regexp_extract_all(html, '<a href="([^"#?]+)', 1)) AS dst FROM pages)"""
+links AS (SELECT DISTINCT concat('/p/', CAST(page_id AS VARCHAR)) AS src, unnest(regexp_extract_all(html, '<a href="([^"#?]+)', 1)) AS dst FROM pages)"""
