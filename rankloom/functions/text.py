@@ -180,3 +180,38 @@ def http_url(url: Column) -> Column:
     rest = F.regexp_extract(clean, r"(?i)^https?://[^/?#]+([^#]*)", 1)
     path = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
     return F.when((scheme != "") & (host != "") & ~host.rlike(r"\s"), F.concat(scheme, F.lit("://"), bare, path))
+
+
+# --- kinds of queries ------------------------------------------------------------------------------------------------------------------
+
+#: Kinds in the order in which they are looked for, by words and phrases of the query.
+UNITS = "aud cad celsius csv doc docx eur fahrenheit gbp gram grams inch inches jpeg jpg json kg kilogram kilograms km litre litres meter meters miles mp3 mp4 pdf png pounds usd xml".split()
+PATTERN_KINDS = [
+    ("comparison", ["vs", "versus", "compare", "comparison"]), ("alternatives", ["alternative", "alternatives"]), ("conversion", ["convert", "converter", "conversion"]), ("template", ["template", "templates"]),
+    ("examples", ["example", "examples", "inspiration"]), ("integration", ["integration", "integrations", "sync", "connect"]), ("utility", ["calculator", "generator", "checker", "lookup", "grader", "tester"]),
+    ("glossary", ["what is", "definition", "defined"]), ("curation", ["best"]), ("no-login", ["without account", "without login", "without signing", "without sign in"]), ("workflow-action", ["export", "download", "save"]),
+    ("meaning-origin", ["meaning", "origin", "history"]), ("rarity-popularity", ["rare", "rarity", "popular", "popularity"]), ("count-statistic", ["how many", "number of", "people with", "people have"]),
+    ("list-facet", ["starting with", "starts with", "start with", "beginning with", "letter"]), ("pricing", ["price", "pricing", "cost", "fee"]), ("reviews-community", ["review", "reviews", "reddit", "forum", "community"]),
+    ("docs-how-to", ["guide", "docs", "documentation", "api", "how to"]),
+]
+#: Kinds that a form of the query tells too.
+PATTERN_FORMS = {"conversion": f" ({'|'.join(UNITS)}) (in|to) ({'|'.join(UNITS)}) ", "curation": " top [0-9]+ "}
+
+
+def pattern_kind(query: Column) -> Column:
+    """The first kind that a word, phrase or form of the query tells; general where none does."""
+    def kind_of(padded: Column) -> Column:
+        def tells(kind: str, phrases: list[str]) -> Column:
+            found = reduce(lambda a, b: a | b, [padded.contains(f" {p} ") for p in phrases])
+            return found | padded.rlike(PATTERN_FORMS[kind]) if kind in PATTERN_FORMS else found
+
+        return reduce(lambda rest, k: F.when(tells(*k), k[0]).otherwise(rest), reversed(PATTERN_KINDS), F.lit("general"))
+
+    # within a transform the text is prepared once, not for each kind
+    return F.element_at(F.transform(F.array(F.concat(F.lit(" "), pattern_text(query), F.lit(" "))), kind_of), 1)
+
+
+def words_covered(query: Column, text: Column) -> Column:
+    """The share of a query's stemmed terms that the text has; 0 for a query without terms."""
+    terms, have = (F.transform(pattern_terms(x), stem) for x in (query, text))
+    return F.when(F.size(terms) > 0, F.size(F.filter(terms, lambda t: F.array_contains(have, t))) / F.size(terms)).otherwise(F.lit(0.0))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import crawl_reports, keyword_reports, log_reports, monitor_reports, page_rules, quality_reports, search_reports
+from ..streaming import queries as stream_queries
+from . import crawl_reports, keyword_reports, log_reports, monitor_reports, page_rules, pattern_reports, quality_reports, search_reports
 
-_PARTS = [search_reports, log_reports, crawl_reports, keyword_reports, monitor_reports, page_rules, quality_reports]
+_PARTS = [search_reports, log_reports, crawl_reports, keyword_reports, monitor_reports, page_rules, pattern_reports, quality_reports, stream_queries]
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import normal_text
 from ..operators.ranks import ranked
 from ..sources.views import QUERY_PAGE, RANKED, SEARCH_ROWS, query_page, ranked_keywords, search_rows, table
 from .search_reports import _DECAY, _QUICK, _STRIKING, decay_rows, quick_win_rows, striking_distance_rows, windows
@@ -37,19 +38,41 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(before, "p_name", after).alias("query"))
 
 
-#: Intents that communities answer, in the order in which they are looked for.
-COMMUNITY = [("forum/reddit", r"\breddit\b|\bforums?\b"), ("comparison", r"\S+\s+(vs\.?|versus)\s+\S+|\balternatives?\s+to\b|\balternatives?\s*$"), ("reviews", r"\breviews?\b|\bcomplaints?\b|\bworth\s+it\b"), ("recommendation", r"\bbest\b|\btop\s+\d+\b|\brecommend")]
+#: Intents that communities answer, in the order in which they are looked for, by words and phrases.
+COMMUNITY = [
+    ("forum/reddit", ["reddit", "forum", "forums"]),
+    ("comparison", ["alternative to", "alternatives to"]),
+    ("reviews", ["review", "reviews", "complaint", "complaints", "worth it"]),
+    ("experience", ["first hand", "firsthand", "my experience", "experience with", "people say", "real user", "real users", "user opinion", "user opinions"]),
+    ("recommendation", ["best", "recommend", "recommended", "recommendation", "recommendations", "recommending"]),
+]
+#: Forms that tell an intent too, of the words between single spaces: things on both sides of "vs", an ending, a ranked list.
+COMMUNITY_FORMS = {"comparison": "[^ ] (vs|versus) [^ ]|alternatives? $", "recommendation": " top [0-9]+ "}
 
 
 def community_intent_of(query: Column) -> tuple[Column, Column]:
     """(first intent, all signals) of a query."""
-    signals = F.array_compact(F.array(*[F.when(query.rlike(p), F.lit(n)) for n, p in COMMUNITY]))
+    words = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(normal_text(query), F.lit(r"[\p{L}\p{N}']+"), F.lit(0)), " "), F.lit(" "))
+
+    def signals_of(padded: Column) -> Column:
+        def told(intent: str, phrases: list[str]) -> Column:
+            found = reduce(lambda a, b: a | b, [padded.contains(f" {p} ") for p in phrases])
+            return found | padded.rlike(COMMUNITY_FORMS[intent]) if intent in COMMUNITY_FORMS else found
+
+        return F.array_compact(F.array(*[F.when(told(*c), F.lit(c[0])) for c in COMMUNITY]))
+
+    signals = F.element_at(F.transform(F.array(words), signals_of), 1)
     return F.get(signals, F.lit(0)), signals
 
 
+_COMMUNITY_SQL = ", ".join(
+    "CASE WHEN " + " OR ".join([f"contains(p, ' {x} ')" for x in phrases] + ([f"regexp_matches(p, '{COMMUNITY_FORMS[n]}')"] if n in COMMUNITY_FORMS else [])) + f" THEN '{n}' END" for n, phrases in COMMUNITY
+)
+
+
 @report(
     "community_intent",
-    f"""WITH {_ASKED}, s AS (SELECT id, list_filter([{", ".join(f"CASE WHEN regexp_matches(query, '{p}') THEN '{n}' END" for n, p in COMMUNITY)}], lambda x: x IS NOT NULL) AS signals FROM asked)
+    f"""WITH {_ASKED}, w AS (SELECT id, concat(' ', array_to_string(regexp_extract_all(lower(query), '[a-z0-9'']+'), ' '), ' ') AS p FROM asked), s AS (SELECT id, list_filter([{_COMMUNITY_SQL}], lambda x: x IS NOT NULL) AS signals FROM w)
     SELECT signals[1] AS intent, count(*) AS n, sum(len(signals))::BIGINT AS n_signals FROM s WHERE len(signals) > 0 GROUP BY 1""",
 )
 def community_intent(spark: SparkSession, sf_dir: str) -> DataFrame:

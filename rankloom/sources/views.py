@@ -97,8 +97,9 @@ _REQUEST = r'"(\w+) (\S+)[^"]*"'
 COMBINED = rf"^{_WORD} {_WORD} {_WORD} \[([^\]]+)\] {_REQUEST} ([0-9]{{3}}) ([0-9]+|-)(?: {_QUOTED} \"([^\"]*)\")?\s*$"
 
 
-def parse_log(lines: DataFrame, column: str = "value") -> DataFrame:
-    """ts, method, path, status, bytes, agent, family, category and valid for every line; lines that don't parse keep nulls.
+def parse_log(lines: DataFrame, column: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """ts, method, path, status, bytes, agent, family, category and valid for every line, after the columns to keep; lines that don't
+    parse have nulls.
 
     The pattern runs once a line: its groups are put side by side and split.
     """
@@ -106,10 +107,10 @@ def parse_log(lines: DataFrame, column: str = "value") -> DataFrame:
 
     groups = F.split(F.regexp_replace(column, COMBINED, "\x01$1\x01$2\x01$3\x01$4\x01$5\x01$6"), "\x01")
     # as a generated row, so that no filter or column further up repeats the pattern
-    split = lines.select(F.explode(F.array(F.when(F.size(groups) == 7, groups))).alias("g"), F.octet_length(column).alias("line_bytes"))
+    split = lines.select(F.explode(F.array(F.when(F.size(groups) == 7, groups))).alias("g"), F.octet_length(column).alias("line_bytes"), *(keep or []))
     part = lambda i: F.nullif(F.get("g", F.lit(i)), F.lit(""))
     parsed = split.select(
-        F.try_to_timestamp(part(1), F.lit("dd/MMM/yyyy:HH:mm:ss Z")).alias("ts"), part(2).alias("method"), url_path(part(3)).alias("path"),
+        *(keep or []), F.try_to_timestamp(part(1), F.lit("dd/MMM/yyyy:HH:mm:ss Z")).alias("ts"), part(2).alias("method"), url_path(part(3)).alias("path"),
         part(4).try_cast("int").alias("status"), part(5).try_cast("bigint").alias("bytes"), part(6).alias("agent"), "line_bytes",
     )
     named = parsed.withColumn("family", crawler_family(F.col("agent")))

@@ -7,14 +7,27 @@ from pyspark.sql import functions as F
 
 from ..sources.views import parse_log
 
-#: Longer lines are not parsed.
+#: Longer lines are not parsed, but counted.
 MOST_LINE_BYTES = 64_000
 
 
-def log_stream(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
-    """Records of log files as they arrive; over-long and invalid lines are left out."""
+def log_lines(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
+    """All lines of log files as they arrive, parsed; kind says which are valid, invalid or oversize. Oversize ones are not parsed."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
-    return parse_log(lines.filter(F.octet_length("value") <= MOST_LINE_BYTES)).filter("valid")
+    over = F.octet_length("value") > MOST_LINE_BYTES
+    # an over-long line goes on as a blank one of its kind
+    parsed = parse_log(lines.select(F.when(over, F.lit("oversize")).otherwise(F.col("value")).alias("value"), over.alias("over")), keep=["over"])
+    return parsed.withColumn("kind", F.when(F.col("over"), "oversize").when(F.col("valid"), "valid").otherwise("invalid")).drop("over")
+
+
+def log_stream(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
+    """The valid records of log files as they arrive."""
+    return log_lines(spark, path, files_per_trigger).filter("kind = 'valid'").drop("kind")
+
+
+def line_totals(lines: DataFrame) -> DataFrame:
+    """How many lines of each kind there were; the state is three rows."""
+    return lines.groupBy("kind").agg(F.count("*").alias("n"))
 
 
 def crawler_totals(records: DataFrame) -> DataFrame:
