@@ -376,6 +376,10 @@ def ngram_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grams.groupBy("gram").agg(F.countDistinct("query").alias("n_queries"), F.sum("impressions").alias("impressions")).filter("n_queries >= 2")
 
 
+#: Terms of more queries than these don't bring two queries together.
+MOST_QUERIES, LARGEST_SHARE = 20, 0.25
+
+
 @report(
     "internal_links",
     f"""WITH {_TERMS}, n AS (SELECT count(*) AS n FROM demand), idf AS (SELECT term, ln((n + 1)::DOUBLE / (count(*) + 1)) + 1 AS w FROM terms, n GROUP BY term, n),
@@ -385,15 +389,23 @@ def ngram_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT target, source, floor((0.5 * both_ / (a.w + b.w - both_) + 0.25 * both_ / a.w + 0.25 * both_ / b.w) * 10000 + 0.5) / 10000 AS score FROM m JOIN wt a ON a.query = target JOIN wt b ON b.query = source""",
 )
 def internal_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical similarity of queries of other pages to those of a target, terms weighted by their rarity; only pairs with a common term meet."""
+    """Lexical similarity of queries of other pages to those of a target, terms weighted by their rarity.
+
+    Only pairs that share a term of MOST_QUERIES or fewer queries, or LARGEST_SHARE of them, meet; commoner terms count in the score alone.
+    """
     d = demand(spark, sf_dir)
     terms = d.select("query", F.explode(F.array_distinct(F.split("query", " "))).alias("term"))
     n = d.agg(F.count("*").alias("n"))
-    idf = terms.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("w"))  # one row
-    weighted = terms.join(idf, "term")
+    idf = terms.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", "df", "n", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("w"))  # one row
+    weighted = terms.join(idf.select("term", "w"), "term")
     total = weighted.groupBy("query").agg(F.sum("w").alias("w"))
-    side = lambda on, name: weighted.filter(F.col("query").startswith("small") == on).select("term", "w", F.col("query").alias(name))
-    both = side(True, "target").join(side(False, "source").drop("w"), "term").groupBy("target", "source").agg(F.sum("w").alias("both"))
+    named = weighted.groupBy("query").agg(F.collect_list(F.struct("term", "w")).alias("terms"))  # the words of a query
+    rare = terms.join(idf.filter(F.col("df") <= F.greatest(F.lit(MOST_QUERIES), F.col("n") * LARGEST_SHARE)).select("term"), "term")
+    side = lambda on, name: rare.filter(F.col("query").startswith("small") == on).select("term", F.col("query").alias(name))
+    met = side(True, "target").join(side(False, "source"), "term").select("target", "source").distinct()
+    met = met.join(named.select(F.col("query").alias("target"), F.col("terms").alias("a_terms")), "target").join(named.select(F.col("query").alias("source"), F.col("terms").alias("b_terms")), "source")
+    common = F.filter("a_terms", lambda t: F.exists("b_terms", lambda u: u["term"] == t["term"]))
+    both = met.select("target", "source", F.aggregate(common, F.lit(0.0), lambda acc, t: acc + t["w"]).alias("both"))
     t = both.join(total.select(F.col("query").alias("target"), F.col("w").alias("a")), "target").join(total.select(F.col("query").alias("source"), F.col("w").alias("b")), "source")
     score = 0.5 * F.col("both") / (F.col("a") + F.col("b") - F.col("both")) + 0.25 * F.col("both") / F.col("a") + 0.25 * F.col("both") / F.col("b")
     return t.select("target", "source", (F.floor(score * 10000 + 0.5) / 10000).alias("score"))
@@ -407,17 +419,26 @@ def pattern_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demand(spark, sf_dir).groupBy(kind.alias("kind")).agg(F.count("*").alias("n_queries"), F.sum("impressions").alias("impressions"))
 
 
+#: Candidates that a template may give.
+MOST_CANDIDATES = 100_000
+
+
 @report(
     "pattern_candidates",
     f"""WITH {_TERMS}, a AS (SELECT DISTINCT split_part(query, ' ', 1) AS x FROM demand), b AS (SELECT DISTINCT split_part(query, ' ', 2) AS y FROM demand)
     SELECT concat(x, ' for ', y) AS candidate, d.query IS NOT NULL AS retained, coalesce(d.impressions, 0) AS impressions FROM a, b LEFT JOIN demand d ON d.query = concat(x, ' ', y)""",
 )
 def pattern_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A template filled with two short lists of values, beside the queries that exist. The lists are vocabularies, not rows."""
+    """A template filled with two short lists of values, beside the queries that exist.
+
+    The lists are the template's vocabularies and have to stay short: more than MOST_CANDIDATES candidates are refused, not cut off.
+    """
     d = demand(spark, sf_dir)
-    word = lambda i, name: d.select(F.element_at(F.split("query", " "), i).alias(name)).distinct()
-    ys = word(2, "y").agg(F.collect_set("y").alias("ys"))
-    filled = word(1, "x").join(F.broadcast(ys)).select("x", F.explode("ys").alias("y"))
+    word = lambda i, name: d.select(F.element_at(F.split("query", " "), i).alias(name)).filter(F.col(name).isNotNull()).distinct()
+    xs, ys = word(1, "x"), word(2, "y")
+    if (size := xs.count() * ys.count()) > MOST_CANDIDATES:
+        raise ValueError(f"{size} candidates are more than {MOST_CANDIDATES}: give the template shorter lists")
+    filled = xs.select("x", F.explode(F.array(*[F.lit(r["y"]) for r in ys.collect()])).alias("y")) if size else xs.select("x", F.lit("").alias("y")).limit(0)
     rows = filled.join(d.withColumnRenamed("query", "q"), F.col("q") == F.concat("x", F.lit(" "), "y"), "left")
     return rows.select(F.concat("x", F.lit(" for "), "y").alias("candidate"), F.col("q").isNotNull().alias("retained"), F.coalesce("impressions", F.lit(0)).alias("impressions"))
 

@@ -197,7 +197,10 @@ def join_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM comp LEFT JOIN own ON own.query = comp.keyword LEFT JOIN first ON first.keyword = comp.keyword LEFT JOIN overlap ON overlap.keyword = comp.keyword""",
 )
 def competitor_keyword_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keywords that competitors rank for, by what is known of them on one's own side; relevance by shared terms, through an inverted index."""
+    """Keywords that competitors rank for, by what is known of them on one's own side; relevant ones share two terms with an own query.
+
+    Two keywords share two terms if they share a pair of terms, so pairs are looked up, however common single terms are.
+    """
     ranked = ranked_keywords(spark, sf_dir)
     own = search_rows(spark, sf_dir).filter(F.col("page").contains("/large/") & (F.col("position") <= 3)).select("query").distinct()
     first = ranked.filter("domain = 'supplier-1.example'").select("keyword").distinct().withColumn("ranked", F.lit(True))
@@ -205,10 +208,12 @@ def competitor_keyword_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     comp = ranked.filter(F.col("domain").isin(rivals)).groupBy("keyword").agg(
         F.countDistinct("domain").alias("n_competitors"), F.min("rank").alias("best_rank"), F.sum("volume").alias("volume"), F.min_by("domain", F.struct("rank", "domain")).alias("best_domain")
     )
-    terms = lambda df, c: df.select(c, F.explode(F.array_distinct(F.split(c, " "))).alias("term"))
-    shared = terms(comp, "keyword").join(terms(own, "query"), "term").groupBy("keyword", "query").agg(F.count("*").alias("k")).groupBy("keyword").agg(F.max("k").alias("k"))
+    words = lambda c: F.array_sort(F.array_distinct(F.split(c, " ")))
+    pairs = lambda c: F.flatten(F.transform(words(c), lambda a, i: F.transform(F.slice(words(c), i + 2, F.size(words(c))), lambda b: F.concat_ws(" ", a, b))))
+    of_pairs = lambda df, c: df.select(c, F.explode(pairs(F.col(c))).alias("pair"))
+    shared = of_pairs(comp, "keyword").join(of_pairs(own, "query").select("pair").distinct(), "pair", "left_semi").select("keyword").distinct().withColumn("related", F.lit(True))
     rows = comp.join(own.select(F.col("query").alias("keyword"), F.lit(True).alias("observed")), "keyword", "left").join(first, "keyword", "left").join(shared, "keyword", "left")
-    kind = F.when(F.col("observed"), "already-observed").when(F.col("ranked"), "already-ranked").when((F.coalesce("k", F.lit(0)) >= 2) & ((F.col("n_competitors") >= 2) | (F.col("best_rank") <= 10)), "relevant").otherwise("unverified")
+    kind = F.when(F.col("observed"), "already-observed").when(F.col("ranked"), "already-ranked").when(F.col("related") & ((F.col("n_competitors") >= 2) | (F.col("best_rank") <= 10)), "relevant").otherwise("unverified")
     return rows.select("keyword", "n_competitors", "best_rank", "volume", "best_domain", kind.alias("class"))
 
 
