@@ -52,6 +52,53 @@ def leave_url_out(rows: DataFrame, all_qualified: bool = False) -> DataFrame:
     return t.select("url_key", "bucket", F.min("raw").over(so_far).alias("target"), F.col("site_ctr").isNotNull().alias("from_site"))
 
 
+def leave_group_out(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """grp, bucket, target, from_site: the rate to reach at each position 1 to 10 when the rows of a group don't count.
+
+    rows: query, page, clicks, impressions, position. groups: grp, query, page. The pages of a group lose its rows and are judged anew; all
+    others keep their place in the order of rates. The 75th percentile then lies so near its old place that as many rates as the group has
+    pages are looked up, never the whole bucket. Groups of one row each are the benchmark that leaves out a row.
+    """
+    c, n = F.col, F.lit
+    keyed = rows.select("query", "page", page_key(c("page")).alias("url_key"), rounded_position(c("position")).alias("bucket"), "clicks", "impressions")
+    sums = lambda df, *keys: df.groupBy(*keys).agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
+    urls = sums(keyed, "url_key", "bucket")
+    rate = c("clicks").cast("double") / c("impressions")
+    qualified = urls.filter(c("impressions") >= LEAST_URL_IMPRESSIONS).withColumn("ctr", rate)
+    totals = qualified.groupBy("bucket").agg(F.sum("impressions").alias("all_impressions"), F.count("*").alias("n_all"), F.count_if(c("clicks") > 0).alias("n_positive"))
+    places = ranked(qualified.filter("clicks > 0"), ["bucket"], [c("ctr"), c("url_key")], "place").withColumn("place", c("place") - 1)
+
+    own = sums(keyed.join(groups, ["query", "page"]), "grp", "bucket", "url_key").withColumnsRenamed({"clicks": "own_clicks", "impressions": "own_impressions"})
+    left = own.join(urls, ["bucket", "url_key"]).withColumns({"left_clicks": c("clicks") - c("own_clicks"), "left_impressions": c("impressions") - c("own_impressions")})
+    was, now = c("impressions") >= LEAST_URL_IMPRESSIONS, c("left_impressions") >= LEAST_URL_IMPRESSIONS
+    left = left.withColumns({"was": was, "now": now, "was_positive": was & (c("clicks") > 0), "now_positive": now & (c("left_clicks") > 0)})
+    one = lambda x: F.sum(c(x).cast("long"))
+    change = left.groupBy("grp", "bucket").agg(
+        (F.sum(F.when(c("now"), c("left_impressions")).otherwise(0)) - F.sum(F.when(c("was"), c("impressions")).otherwise(0))).alias("d_impressions"),
+        (one("now") - one("was")).alias("d_all"), one("was_positive").alias("gone"), one("now_positive").alias("come"),
+    )
+    cells = groups.select("grp").distinct().select("grp", F.explode(F.sequence(n(1), n(10))).alias("bucket"))
+    cells = cells.join(change, ["grp", "bucket"], "left").join(F.broadcast(totals), "bucket", "left").fillna(0)  # ten rows
+    positive = c("n_positive") - c("gone") + c("come")
+    enough = (c("all_impressions") + c("d_impressions") >= LEAST_IMPRESSIONS) & (c("n_all") + c("d_all") >= LEAST_URLS) & (positive >= LEAST_POSITIVE)
+    k = F.ceil(positive * 0.75) - 1
+    cells = cells.select("grp", "bucket", enough.alias("enough"), k.alias("k"), F.greatest(n(0), k - c("come")).alias("lo"), F.least(c("n_positive") - 1, k + c("gone")).alias("hi"))
+
+    removed = left.filter("was_positive").select("grp", "bucket", "url_key").join(places.select("bucket", "url_key", "place"), ["bucket", "url_key"]).select("grp", "bucket", "place")
+    below = removed.join(cells, ["grp", "bucket"]).filter("place < lo").groupBy("grp", "bucket").agg(F.count("*").alias("below"))
+    near = cells.filter("enough and hi >= lo").select("grp", "bucket", F.explode(F.sequence("lo", "hi")).alias("place")).join(removed, ["grp", "bucket", "place"], "left_anti")
+    near = near.join(places.select("bucket", "place", "ctr", "url_key"), ["bucket", "place"]).select("grp", "bucket", "ctr", "url_key")
+    new = left.filter("now_positive").select("grp", "bucket", (c("left_clicks").cast("double") / c("left_impressions")).alias("ctr"), "url_key")
+    order = F.row_number().over(W.partitionBy("grp", "bucket").orderBy("ctr", "url_key")) - 1  # as many rates as the group has pages
+    sought = cells.filter("enough").join(below, ["grp", "bucket"], "left").select("grp", "bucket", (c("k") - c("lo") + F.coalesce("below", n(0))).alias("at"))
+    rates = near.union(new).withColumn("at", order).join(sought, ["grp", "bucket", "at"]).select("grp", "bucket", c("ctr").alias("site_ctr"))
+    curve = curve_ctr(c("bucket"))
+    kept = F.greatest(curve * LOWEST, F.least(c("site_ctr"), curve * HIGHEST))
+    t = cells.select("grp", "bucket").join(rates, ["grp", "bucket"], "left").withColumn("raw", round_half_up(F.coalesce(kept, curve), 4))
+    so_far = W.partitionBy("grp").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
+    return t.select("grp", "bucket", F.min("raw").over(so_far).alias("target"), c("site_ctr").isNotNull().alias("from_site"))
+
+
 def benchmark_sql(rows: str, all_qualified: bool) -> str:
     """The same as CTEs that end in `bench`, over the CTE `rows` (page, clicks, impressions, position)."""
     sampled = "TRUE" if all_qualified else "clicks > 0"
