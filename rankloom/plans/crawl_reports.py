@@ -265,7 +265,15 @@ def induced_templates(urls: DataFrame, least: int = 3, share: float = 0.02) -> D
     return sized.select("url", chosen.alias("template")).filter(F.col("template").contains(":"))
 
 
-@report("pseo_audit", None)
+_PLACEHOLDER = _SIG.replace(" ELSE lower(p) END", " END").replace("p,", "parts[i],").replace("(p)", "(parts[i])")
+
+
+@report(
+    "pseo_audit",
+    f"""WITH {_TEMPLATES}, b AS (SELECT DISTINCT url, signature AS fine, concat('/', array_to_string([CASE WHEN i = 1 AND len(parts) > 1 THEN lower(parts[i]) ELSE coalesce({_PLACEHOLDER}, CASE WHEN i = 1 THEN lower(parts[i]) ELSE ':value' END) END FOR i IN range(1, len(parts) + 1)], '/')) AS broad FROM sig),
+    n AS (SELECT fine, count(*) AS n FROM b GROUP BY 1), t AS (SELECT count(*) AS total FROM b), c AS (SELECT url, CASE WHEN n >= 3 AND n::DOUBLE / total >= 0.02 THEN fine ELSE broad END AS template FROM b JOIN n USING (fine), t)
+    SELECT template, count(*) AS n_urls, min(url) AS first_url FROM c WHERE contains(template, ':') GROUP BY 1 HAVING count(*) >= 2""",
+)
 def pseo_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = table(spark, sf_dir, "pages").select("url").distinct()
     t = induced_templates(urls).groupBy("template").agg(F.count("*").alias("n_urls"), F.min("url").alias("first_url"))
