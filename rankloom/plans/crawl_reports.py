@@ -145,23 +145,6 @@ def coverage_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumn("h1_check", F.when(F.col("with_h1") >= 0.85, "pass").when(F.col("with_h1") > 0, "warn").otherwise("fail"))
 
 
-SCORECARD = [("https", 10, 1.0), ("indexable-pages", 15, 0.85), ("structured-data", 15, 0.5), ("answerable-content", 10, 0.5)]
-
-
-@report(
-    "ai_search_scorecard",
-    f"""WITH {CRAWL}, r AS (SELECT avg(starts_with(url, 'https://')::INT) AS a, avg((n_words >= 20)::INT) AS b, avg(json_ld::INT) AS c, avg((n_h1 = 1 AND n_words >= 60)::INT) AS d FROM pages_c),
-    t(name, weight, ratio, pass_at) AS (SELECT unnest(['https', 'indexable-pages', 'structured-data', 'answerable-content']), unnest([10, 15, 15, 10]), unnest([a, b, c, d]), unnest([1.0, 0.85, 0.5, 0.5]) FROM r),
-    k AS (SELECT *, CASE WHEN ratio >= pass_at THEN 1.0 WHEN ratio > 0 THEN 0.5 ELSE 0.0 END AS credit FROM t) SELECT (sum(weight * credit) / sum(weight) * 100)::DOUBLE AS score FROM k""",
-)
-def ai_search_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted checks: full credit at their ratio, half for any coverage."""
-    ratio = {"https": F.col("url").startswith("https://"), "indexable-pages": F.col("n_words") >= 20, "structured-data": F.col("json_ld"), "answerable-content": (F.col("n_h1") == 1) & (F.col("n_words") >= 60)}
-    r = crawled(spark, sf_dir).agg(*[F.avg(c.cast("int")).alias(n) for n, c in ratio.items()])
-    credit = lambda n, at: F.when(F.col(f"`{n}`") >= at, 1.0).when(F.col(f"`{n}`") > 0, 0.5).otherwise(0.0)
-    return r.select((sum(w * credit(n, at) for n, w, at in SCORECARD) / sum(w for _, w, _ in SCORECARD) * 100).alias("score"))
-
-
 @report("inlink_authority", f"WITH {LINKS}, n AS (SELECT dst, count(DISTINCT src) AS n_inlinks FROM links GROUP BY dst) SELECT dst, n_inlinks, floor(100.0::DOUBLE * n_inlinks / max(n_inlinks) OVER () + 0.5)::BIGINT AS authority FROM n")
 def inlink_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = links(spark, sf_dir).groupBy("dst").agg(F.countDistinct("src").alias("n_inlinks"))

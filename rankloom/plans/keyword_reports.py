@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normal_text
 from ..operators.ranks import ranked
-from ..sources.views import QUERY_PAGE, RANKED, SEARCH_ROWS, query_page, ranked_keywords, search_rows, table
+from ..sources.views import ACCESS_LOG, QUERY_PAGE, RANKED, SEARCH_ROWS, query_page, ranked_keywords, search_rows, table
+from .log_reports import crawler_paths
 from .search_reports import _DECAY, _QUICK, _STRIKING, decay_rows, quick_win_rows, striking_distance_rows, windows
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -330,12 +331,26 @@ def report_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("id", F.col("m")["status"].alias("status"), F.col("m")["sessions"].alias("sessions"), F.coalesce(F.col("m")["users"].try_cast("bigint"), F.lit(0)).alias("users"))
 
 
+#: Rows and bytes that a file of log totals may have.
+MOST_CSV_ROWS, MOST_CSV_BYTES = 25_000, 8_000
+
+
 @report(
     "log_csv_budget",
-    "WITH t AS (SELECT doc_id, octet_length(encode(text)) AS bytes FROM documents), r AS (SELECT doc_id, bytes, sum(bytes) OVER (ORDER BY doc_id) AS used FROM t) SELECT doc_id, bytes FROM r WHERE used <= 200000 ORDER BY doc_id LIMIT 25000",
+    f"""WITH {ACCESS_LOG}, g AS (SELECT family, path, count(*) AS requests FROM access_log WHERE family IS NOT NULL GROUP BY 1, 2), t AS (SELECT *, strlen(concat(family, ',', path, ',', requests)) + 1 AS bytes FROM g),
+    r AS (SELECT *, row_number() OVER o AS n, sum(bytes) OVER o AS used, count(*) OVER () AS total FROM t WINDOW o AS (ORDER BY requests DESC, family, path)), k AS (SELECT * FROM r WHERE n <= {MOST_CSV_ROWS} AND used <= {MOST_CSV_BYTES})
+    SELECT family, path, requests, bytes, total - (SELECT count(*) FROM k) AS omitted FROM k""",
 )
 def log_csv_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rows that fit a file's budget of rows and bytes; no more rows than the budget has are ever put in order at one place."""
-    t = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("bytes")).orderBy("doc_id").limit(25000)
-    used = F.sum("bytes").over(W.partitionBy(F.lit(1)).orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0))
-    return t.withColumn("used", used).filter("used <= 200000").select("doc_id", "bytes")
+    """The first rows of the crawler totals that fit a file's budget of rows and bytes, and how many don't.
+
+    No more rows than the budget has are ever put in order at one place.
+    """
+    g = crawler_paths(spark, sf_dir).select("family", "path", "requests")
+    line = F.concat_ws(",", "family", "path", F.col("requests").cast("string"))
+    order = [F.desc("requests"), F.col("family"), F.col("path")]
+    first = g.withColumn("bytes", F.octet_length(line) + 1).orderBy(*order).limit(MOST_CSV_ROWS)
+    used = F.sum("bytes").over(W.partitionBy(F.lit(1)).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    kept = first.withColumn("used", used).filter(F.col("used") <= MOST_CSV_BYTES).drop("used")
+    omitted = g.agg(F.count("*").alias("total")).join(F.broadcast(kept.agg(F.count("*").alias("n")))).select((F.col("total") - F.col("n")).alias("omitted"))  # one row each
+    return kept.join(F.broadcast(omitted))

@@ -158,14 +158,14 @@ def repeat_offenders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @report(
     "rank_tracking",
-    f"""WITH {SEARCH_ROWS}, runs AS (SELECT query AS keyword, year(date) AS run, min(position) AS position FROM search_rows WHERE impressions >= 45 GROUP BY 1, 2),
+    f"""WITH {SEARCH_ROWS}, runs AS (SELECT query AS keyword, year(date) AS run, min(position) AS position FROM search_rows GROUP BY 1, 2),
     cur AS (SELECT * FROM runs WHERE run = 1999), prev AS (SELECT * FROM runs WHERE run = 1998)
     SELECT coalesce(c.keyword, p.keyword) AS keyword, p.position::DOUBLE AS previous, c.position::DOUBLE AS current, CASE WHEN p.position IS NULL THEN 'new' WHEN c.position IS NULL THEN 'lost' WHEN p.position > c.position THEN 'improved' WHEN p.position < c.position THEN 'declined' ELSE 'unchanged' END AS change
     FROM cur c FULL OUTER JOIN prev p ON c.keyword = p.keyword""",
 )
 def rank_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best positions of two runs, side by side."""
-    rows = search_rows(spark, sf_dir).filter("impressions >= 45").groupBy(F.col("query").alias("keyword"), F.year("date").alias("run")).agg(F.min("position").cast("double").alias("position"))
+    rows = search_rows(spark, sf_dir).groupBy(F.col("query").alias("keyword"), F.year("date").alias("run")).agg(F.min("position").cast("double").alias("position"))
     side = lambda year, name: rows.filter(F.col("run") == year).select("keyword", F.col("position").alias(name))
     both = side(1999, "current").join(side(1998, "previous"), "keyword", "full_outer")
     p, c = F.col("previous"), F.col("current")

@@ -359,3 +359,53 @@ def agent_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = checks.select("name").distinct().join(failing, "name", "left").fillna(0, ["failing"]).withColumn("passing", F.lit(n) - F.col("failing"))
     status = F.when(F.col("failing") == 0, "pass").when(F.col("failing") * 10 < n, "warn").otherwise("fail")
     return named.select("name", "failing", "passing", (F.floor(F.col("passing") * 1000.0 / n + 0.5) / 10).alias("share"), status.alias("status"))
+
+
+#: Checks of the scorecard with their weights, and the share of pages at which they pass.
+SCORECARD = [("ai-bot-access", 20, 1.0), ("https", 10, 1.0), ("indexable-pages", 15, 0.85), ("structured-data", 15, 0.5), ("valid-json-ld", 10, 1.0), ("entity-identity", 20, 0.9), ("answerable-content", 10, 0.5)]
+_SCORES = (
+    _SNAPSHOTS
+    + """, r AS (SELECT avg(robots_allowed::INT) AS r0, avg(starts_with(url, 'https://')::INT) AS r1, avg(indexable::INT) AS r2, avg(json_ld::INT) AS r3, avg((invalid_json_ld = 0)::INT) FILTER (WHERE json_ld OR invalid_json_ld > 0) AS r4, avg((NOT rich_missing)::INT) AS r5,
+    avg((n_h1 = 1 AND n_words >= 60)::INT) FILTER (WHERE indexable) AS r6, bool_or(status_only) AS partial FROM snap),
+c AS (SELECT unnest(["""
+    + ", ".join(f"'{n}'" for n, _, _ in SCORECARD)
+    + "]) AS name, unnest(["
+    + ", ".join(str(w) for _, w, _ in SCORECARD)
+    + "]) AS weight, unnest(["
+    + ", ".join(str(at) for _, _, at in SCORECARD)
+    + """]::DOUBLE[]) AS pass_at, unnest([r0, r1, r2, r3, r4, r5, r6]) AS ratio, partial FROM r),
+k AS (SELECT *, CASE WHEN ratio IS NULL THEN 'unknown' WHEN ratio >= pass_at THEN 'pass' WHEN ratio > 0 THEN 'warn' ELSE 'fail' END AS status FROM c)"""
+)
+
+
+def scorecard_checks(snapshots: DataFrame) -> DataFrame:
+    """name, weight, ratio, status, partial: a row for each check. Checks of no pages are unknown."""
+    c = F.col
+    share = lambda cond, among=F.lit(True): F.avg(F.when(among, cond.cast("int")))
+    ratios = [
+        share(c("robots_allowed")), share(c("url").startswith("https://")), share(c("indexable")), share(c("json_ld")), share(c("invalid_json_ld") == 0, c("json_ld") | (c("invalid_json_ld") > 0)), share(~c("rich_missing")),
+        share((c("n_h1") == 1) & (c("n_words") >= 60), c("indexable")),
+    ]
+    wide = snapshots.agg(*[r.alias(f"r{i}") for i, r in enumerate(ratios)], F.max("status_only").alias("partial"))
+    rows = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(w).alias("weight"), F.lit(at).alias("pass_at"), c(f"r{i}").alias("ratio")) for i, (n, w, at) in enumerate(SCORECARD)])
+    each = wide.select(F.explode(rows).alias("k"), "partial").select("k.*", "partial")
+    status = F.when(c("ratio").isNull(), "unknown").when(c("ratio") >= c("pass_at"), "pass").when(c("ratio") > 0, "warn").otherwise("fail")
+    return each.select("name", "weight", "ratio", status.alias("status"), "partial")
+
+
+@report("scorecard_checks", f"WITH {_SCORES} SELECT name, weight, ratio, status FROM k")
+def scorecard_check_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scorecard_checks(page_snapshots(table(spark, sf_dir, "pages"))).drop("partial")
+
+
+@report(
+    "ai_search_scorecard",
+    f"""WITH {_SCORES}, s AS (SELECT floor(100 * sum(weight * CASE status WHEN 'pass' THEN 1.0 WHEN 'warn' THEN 0.5 ELSE 0 END) FILTER (WHERE status <> 'unknown') / sum(weight) FILTER (WHERE status <> 'unknown') + 0.5) AS score, bool_or(partial) AS partial FROM k)
+    SELECT CASE WHEN partial THEN least(score, 99) ELSE score END::BIGINT AS score, partial FROM s""",
+)
+def ai_search_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted checks: full credit at their share, half for any; unknown ones don't count; a partial crawl stays below 100."""
+    known = scorecard_checks(page_snapshots(table(spark, sf_dir, "pages"))).filter("status <> 'unknown'")
+    credit = F.when(F.col("status") == "pass", 1.0).when(F.col("status") == "warn", 0.5).otherwise(0.0)
+    s = known.agg(F.floor(100 * F.sum(F.col("weight") * credit) / F.sum("weight") + 0.5).alias("score"), F.max("partial").alias("partial"))
+    return s.select(F.when(F.col("partial"), F.least("score", F.lit(99))).otherwise(F.col("score")).alias("score"), "partial")
