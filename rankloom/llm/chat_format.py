@@ -133,7 +133,8 @@ def format_chats(events: DataFrame) -> DataFrame:
 
 
 def turn_events(conversations: DataFrame) -> DataFrame:
-    """The rows of a conversation table as events: each is a whole message, in the order of its turn."""
+    """The rows of a conversation table as events: each is a whole message, in the order of its turn. Ids and turns are cast to long: a
+    text that is no number fails."""
     return conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("long").alias("message"), "role", "text"
     )
