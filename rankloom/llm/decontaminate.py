@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialize
 from .workers import releasing
 
 #: Edited copies of shorter items can't be told from chance; they are matched as whole sequences of words.
@@ -30,9 +31,9 @@ RUN_WORDS = 4
 #: UTF-8 bytes of items that are sent to the tasks at once; larger benchmarks are matched block by block.
 BLOCK_BYTES = 16_000_000
 #: Rare places of an item that have to be hit before all its places are counted.
-RARE_HITS = 3
-#: Bits of the filter that seeds of a text go through before they are looked up; words of texts that are looked up together; known words held.
-FILTER_BITS, SLICE_WORDS, MOST_NUMBERS = 20, 50_000, 300_000
+RARE_HITS = 6
+#: Slots for each rare seed, and in all at least, of the filter that seeds go through first; words of texts that are looked up together.
+SEED_SLOTS, LEAST_SLOTS, SLICE_WORDS = 16, 1 << 20, 50_000
 
 WORD = re.compile(r"\w+")
 
@@ -45,31 +46,12 @@ def runs(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + RUN_WORDS]) for i in range(len(words) - RUN_WORDS + 1)}
 
 
-def _slots(seeds: np.ndarray) -> np.ndarray:
-    return (seeds.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)
-
-
 def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The numbers of all the ranges, one after the other."""
     size = end - begin
     return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
-class Numbers(dict):
-    """Words to numbers; those that no item has get the number of their beginning, and are forgotten when they are too many."""
-
-    def __init__(self, words: dict[str, int], begins: dict[str, int]) -> None:
-        super().__init__(words)
-        self.words, self.begins, self.shift = words, begins, len(words) + 1
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > len(self.words) + MOST_NUMBERS:
-            self.clear()
-            self.update(self.words)
-        self[word] = number = self.shift + self.begins.get(word[:BEGINNING], 0)
-        return number
-
-
 class Finder:
     """Finds the stretches of a text where one of some items may lie, and aligns them. No alignment that reaches the least score is missed.
 
@@ -100,9 +82,6 @@ class Finder:
                 self.begin_ids.setdefault(x[:BEGINNING], len(self.begin_ids) + 1)
                 self.word_ids.setdefault(x, len(self.word_ids) + 1)
         self.base = len(self.begin_ids) + 1
-        #: by word number, the number of its beginning; words of the text that no item has come after those of the items
-        self.begin_of = np.array([0, *[self.begin_ids[x[:BEGINNING]] for x in self.word_ids], *range(self.base)])
-        self.numbers = Numbers(self.word_ids, self.begin_ids)
         self.bags = [(Counter(w), Counter(x[:BEGINNING] for x in w)) for _, w in self.items]
         self.rare_hits = np.minimum(self.hits, RARE_HITS)
         self._seed(size)
@@ -130,9 +109,13 @@ class Finder:
         #: the rare seeds in order, and the places of each
         first = np.flatnonzero(np.r_[True, seed[1:] != seed[:-1]][: len(seed)])
         self.rare, self.rare_begin, self.rare_places, self.item_of = seed[first], np.append(first, len(seed)), place, item
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[_slots(self.rare)] = True
-        self.seen = np.zeros(1 << FILTER_BITS, bool)
+        bits = max(LEAST_SLOTS, SEED_SLOTS * len(self.rare)).bit_length() - 1
+        self.shift = np.uint64(64 - bits)
+        self.filter, self.seen = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
+        self.filter[self.slots(self.rare)] = True
+
+    def slots(self, seeds: np.ndarray) -> np.ndarray:
+        return (seeds.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
 
     def rarely_hit(self, begins: list[np.ndarray]) -> list[tuple[int, np.ndarray]]:
         """(place, items) of the texts that hit enough rare places of some items."""
@@ -142,7 +125,7 @@ class Finder:
         hits = []
         for apart in (1, 2):
             seeds = joined[:-apart] * self.base + joined[apart:]
-            at = np.flatnonzero(self.filter[_slots(seeds)])
+            at = np.flatnonzero(self.filter[self.slots(seeds)])
             seeds = seeds[at]
             k = np.searchsorted(self.rare, seeds)
             k[k == len(self.rare)] = 0
@@ -160,20 +143,25 @@ class Finder:
 
     def often_hit(self, begins: np.ndarray, items: np.ndarray) -> np.ndarray:
         """Those of the items of whose places enough are hit."""
-        slots = np.concatenate([_slots(begins[:-1] * self.base + begins[1:]), _slots(begins[:-2] * self.base + begins[2:])])
+        slots = np.concatenate([self.slots(begins[:-1] * self.base + begins[1:]), self.slots(begins[:-2] * self.base + begins[2:])])
         begin, end = self.places[items], self.places[items + 1]
         self.seen[slots] = True
-        hit = self.seen[_slots(self.seeds[_ranges(begin, end)])].any(axis=1)
+        hit = self.seen[self.slots(self.seeds[_ranges(begin, end)])].any(axis=1)
         self.seen[slots] = False
         return items[np.add.reduceat(hit, np.cumsum(end - begin) - (end - begin), dtype=np.int64) >= self.hits[items]]
 
-    def stretches(self, numbers: np.ndarray, begins: np.ndarray, items: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    def stretches(self, words: list[str], begins: np.ndarray, items: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, from, to) of the words before the ends of possible alignments; overlapping ones are joined.
 
         A word of the text adds at most 2 to an alignment with an item that has it, 1 with one that has its beginning, and costs 1
         otherwise. So where an alignment ends, the best sum of these figures over the words before is its score or more.
         """
-        for i in self.often_hit(begins, items).tolist():
+        items = self.often_hit(begins, items)
+        if not len(items):
+            return
+        name = self.word_ids.get
+        numbers = np.array([name(w, 0) for w in words])
+        for i in items.tolist():
             own, own_begins = self.bags[i]
             has = lambda found, names, bag: np.isin(found, np.array([names[x] for x in bag]))
             total = np.cumsum(np.where(has(numbers, self.word_ids, own), 2, np.where(has(begins, self.begin_ids, own_begins), 1, -1)))
@@ -195,10 +183,10 @@ class Finder:
                                 yield k, name, 1.0, j, j + len(item), len(runs(item))
         if not self.items or not texts:
             return
-        numbers = [np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)) for words in texts]
-        begins = [self.begin_of[x] for x in numbers]
+        begin = self.begin_ids.get
+        begins = [np.array([begin(w[:BEGINNING], 0) for w in words], np.int64) for words in texts]
         for k, items in self.rarely_hit(begins):
-            for i, lo, hi in self.stretches(numbers[k], begins[k], items):
+            for i, lo, hi in self.stretches(texts[k], begins[k], items):
                 name, item = self.items[i]
                 window = texts[k][lo:hi]
                 # a pair of equal words counts 2, another pair 1: no alignment has more pairs than the two bags of words have in common
@@ -302,5 +290,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that contain a test item."""
-    return docs.join(find_leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """docs without those that contain a test item. The few ids are written first, so that documents needn't be shuffled to lose them."""
+    dropped = materialize(find_leaks(docs, benchmark).select("doc_id").distinct(), "leaks")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
