@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, exact_dedup, jaccard_join, quality, secrets, sharding, toxicity, url_filter
+from . import bpe, chat_format, decontaminate, exact_dedup, jaccard_join, quality, resampling, secrets, sharding, toxicity, url_filter
 from .storage import is_trained_on, read_table
 
 #: The vocabulary file of these queries; the operator takes any path.
@@ -82,6 +82,10 @@ def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_leaks": benchmark_leaks,
     "op2_toxic_documents": toxic_documents,
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_round_trip": bpe_round_trip,
     "op9_url_verdicts": url_verdicts,
     "op10_exact_copies": exact_copies,
+    "op11_importance_resample": importance_resample,
 }
 
 _SHINGLES = r"""
@@ -163,5 +168,27 @@ FROM ruled JOIN h USING (host)
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)
+""",
+    "op11_importance_resample": r"""
+WITH step AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+texts AS (SELECT doc_id, text, TRUE AS ours FROM documents UNION ALL SELECT item_id, text, FALSE FROM benchmark),
+words AS (SELECT row_number() OVER () AS r, doc_id, ours, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+places AS (SELECT r, ours, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+features AS (SELECT r, ours, unnest([w[i], CASE WHEN i < len(w) THEN w[i] || ' ' || w[i + 1] END, CASE WHEN i + 1 < len(w) THEN w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END]) AS f FROM places),
+counted AS (SELECT r, ours, f, count(*) AS n FROM features WHERE f IS NOT NULL GROUP BY ALL),
+hexed AS (SELECT f, hex(f) AS h FROM (SELECT DISTINCT f FROM counted)),
+summed AS (SELECT f, xor(list_reduce(list_concat([4294967295], list_transform(range(length(h) // 2), lambda i:
+    (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 1)), lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1])), 4294967295) % 10000 AS bucket FROM hexed, step),
+bucketed AS (SELECT r, ours, bucket, n FROM counted JOIN summed USING (f)),
+buckets AS (SELECT unnest(range(10000)) AS bucket),
+totals AS (SELECT coalesce(sum(n) FILTER (WHERE ours), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE NOT ours), 0)::DOUBLE AS t FROM bucketed),
+gains AS (SELECT bucket, floor(1000 * ln((coalesce(sum(n) FILTER (WHERE NOT ours), 0)::DOUBLE + 1) * (any_value(totals.s) + 10000) / ((coalesce(sum(n) FILTER (WHERE ours), 0)::DOUBLE + 1) * (any_value(totals.t) + 10000))))::BIGINT AS gain
+  FROM buckets LEFT JOIN bucketed USING (bucket), totals GROUP BY bucket),
+weighed AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM bucketed JOIN gains USING (bucket) WHERE ours GROUP BY r),
+scored AS (SELECT r, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM words LEFT JOIN weighed USING (r) WHERE ours),
+placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (r)
 """,
 }
