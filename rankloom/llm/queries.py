@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, exact_dedup, jaccard_join, quality, resampling, secrets, sharding, toxicity, url_filter
+from . import bpe, chat_format, decontaminate, divergence, exact_dedup, fingerprints, jaccard_join, quality, resampling, secrets, sharding, toxicity, url_filter
 from .storage import is_trained_on, read_table
 
 #: The vocabulary file of these queries; the operator takes any path.
@@ -86,6 +86,14 @@ def importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.audit_edits(read_table(spark, sf_dir, "documents"))
+
+
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_leaks": benchmark_leaks,
     "op2_toxic_documents": toxic_documents,
@@ -98,6 +106,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_verdicts": url_verdicts,
     "op10_exact_copies": exact_copies,
     "op11_importance_resample": importance_resample,
+    "op12_multiset_fingerprints": multiset_fingerprints,
+    "op13_source_divergence": source_divergence,
 }
 
 _SHINGLES = r"""
@@ -190,5 +200,23 @@ scored AS (SELECT r, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_fea
   FROM words LEFT JOIN weighed USING (r) WHERE ours),
 placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (r)
+""",
+    "op13_source_divergence": r"""
+WITH texts AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+each AS (SELECT r, lang, source, unnest(w) AS term FROM texts),
+counted AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM each GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM counted GROUP BY ALL HAVING sum(docs) >= 10),
+groups AS (SELECT DISTINCT lang, source FROM texts),
+sizes AS (SELECT lang, count(*) AS v, sum(n)::HUGEINT AS n FROM kept GROUP BY lang),
+cells AS (SELECT g.lang, g.source, k.term, k.n AS lang_n, coalesce(c.n, 0)::HUGEINT AS n FROM groups g JOIN kept k USING (lang) LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+shared AS (SELECT c.lang, source, term, c.n, 1 + 1000000000::HUGEINT * (c.n + 2) // (sum(c.n) OVER (PARTITION BY c.lang, source)::HUGEINT + 2 * v) AS p,
+  1 + 1000000000::HUGEINT * (lang_n + 2) // (s.n + 2 * v) AS q FROM cells c JOIN sizes s USING (lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM shared a JOIN shared b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM shared WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """,
 }
