@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import curve_ctr, page_key, round_half_up, rounded_position
 from .ranks import ranked
+from .tables import written
 
 #: A page's rows at a position count from so many impressions; a position is judged by the site's own rates from so much evidence.
 LEAST_URL_IMPRESSIONS, LEAST_IMPRESSIONS, LEAST_URLS, LEAST_POSITIVE = 30, 1000, 5, 3
@@ -15,6 +16,12 @@ LEAST_URL_IMPRESSIONS, LEAST_IMPRESSIONS, LEAST_URLS, LEAST_POSITIVE = 30, 1000,
 LOWEST, HIGHEST = 0.5, 1.5
 
 
+def _target(site_ctr: Column, curve: Column) -> Column:
+    """The site's rate within LOWEST and HIGHEST of the curve; the curve itself where the site has none (least() would skip the null)."""
+    kept = F.greatest(curve * LOWEST, F.least(site_ctr, curve * HIGHEST))
+    return round_half_up(F.when(site_ctr.isNotNull(), kept).otherwise(curve), 4)
+
+
 def leave_url_out(rows: DataFrame, all_qualified: bool = False) -> DataFrame:
     """url_key, bucket, target, own: the rate that a page should reach at each position 1 to 10.
 
@@ -22,9 +29,10 @@ def leave_url_out(rows: DataFrame, all_qualified: bool = False) -> DataFrame:
     same rounded position, within LOWEST and HIGHEST of the curve, and never rises with the position; the curve where evidence is thin.
     A page is left out by shifting the rank that is looked up, so every bucket is sorted once and no page is compared with all others.
     """
-    urls = rows.select(page_key(F.col("page")).alias("url_key"), rounded_position(F.col("position")).alias("bucket"), "clicks", "impressions")
-    urls = urls.groupBy("url_key", "bucket").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
-    urls = urls.filter(F.col("impressions") >= LEAST_URL_IMPRESSIONS).withColumn("ctr", F.col("clicks").cast("double") / F.col("impressions"))
+    keyed = rows.select(page_key(F.col("page")).alias("url_key"), rounded_position(F.col("position")).alias("bucket"), "clicks", "impressions")
+    # one small table that all that follows reads
+    pages = written(keyed.groupBy("url_key", "bucket").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions")), "page-positions")
+    urls = pages.filter(F.col("impressions") >= LEAST_URL_IMPRESSIONS).withColumn("ctr", F.col("clicks").cast("double") / F.col("impressions"))
     positive = F.col("clicks") > 0
     totals = urls.groupBy("bucket").agg(F.sum("impressions").alias("all_impressions"), F.count("*").alias("n_all"), F.count_if(positive).alias("n_positive"))
     sampled = urls if all_qualified else urls.filter(positive)
@@ -32,7 +40,7 @@ def leave_url_out(rows: DataFrame, all_qualified: bool = False) -> DataFrame:
     places = ranked(sampled, ["bucket"], [F.col("ctr"), F.col("url_key")], "place").withColumn("place", F.col("place") - 1)
 
     buckets = F.explode(F.sequence(F.lit(1), F.lit(10))).alias("bucket")
-    targets = rows.select(page_key(F.col("page")).alias("url_key")).distinct().select("url_key", buckets)
+    targets = pages.select("url_key").distinct().select("url_key", buckets)
     own = urls.select("url_key", "bucket", F.col("impressions").alias("own_impressions"), positive.cast("int").alias("own_positive"))
     place = places.select("url_key", "bucket", F.col("place").alias("own_place"))
     t = targets.join(own, ["url_key", "bucket"], "left").join(place, ["url_key", "bucket"], "left").join(F.broadcast(totals), "bucket", "left")  # ten rows
@@ -46,8 +54,7 @@ def leave_url_out(rows: DataFrame, all_qualified: bool = False) -> DataFrame:
     looked_up = F.broadcast(t.filter("place is not null").select("bucket", "place").distinct())  # twenty rows at most
     rates = places.join(looked_up, ["bucket", "place"]).select("bucket", "place", F.col("ctr").alias("site_ctr"))
     curve = curve_ctr(F.col("bucket"))
-    kept = F.greatest(curve * LOWEST, F.least(F.col("site_ctr"), curve * HIGHEST))
-    t = t.join(F.broadcast(rates), ["bucket", "place"], "left").withColumn("raw", round_half_up(F.coalesce(kept, curve), 4))
+    t = t.join(F.broadcast(rates), ["bucket", "place"], "left").withColumn("raw", _target(F.col("site_ctr"), curve))
     so_far = W.partitionBy("url_key").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
     return t.select("url_key", "bucket", F.min("raw").over(so_far).alias("target"), F.col("site_ctr").isNotNull().alias("from_site"))
 
@@ -60,7 +67,7 @@ def leave_group_out(rows: DataFrame, groups: DataFrame) -> DataFrame:
     pages are looked up, never the whole bucket. Groups of one row each are the benchmark that leaves out a row.
     """
     c, n = F.col, F.lit
-    keyed = rows.select("query", "page", page_key(c("page")).alias("url_key"), rounded_position(c("position")).alias("bucket"), "clicks", "impressions")
+    keyed = written(rows.select("query", "page", page_key(c("page")).alias("url_key"), rounded_position(c("position")).alias("bucket"), "clicks", "impressions"), "rows")
     sums = lambda df, *keys: df.groupBy(*keys).agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
     urls = sums(keyed, "url_key", "bucket")
     rate = c("clicks").cast("double") / c("impressions")
@@ -71,7 +78,7 @@ def leave_group_out(rows: DataFrame, groups: DataFrame) -> DataFrame:
     own = sums(keyed.join(groups, ["query", "page"]), "grp", "bucket", "url_key").withColumnsRenamed({"clicks": "own_clicks", "impressions": "own_impressions"})
     left = own.join(urls, ["bucket", "url_key"]).withColumns({"left_clicks": c("clicks") - c("own_clicks"), "left_impressions": c("impressions") - c("own_impressions")})
     was, now = c("impressions") >= LEAST_URL_IMPRESSIONS, c("left_impressions") >= LEAST_URL_IMPRESSIONS
-    left = left.withColumns({"was": was, "now": now, "was_positive": was & (c("clicks") > 0), "now_positive": now & (c("left_clicks") > 0)})
+    left = written(left.withColumns({"was": was, "now": now, "was_positive": was & (c("clicks") > 0), "now_positive": now & (c("left_clicks") > 0)}), "without-groups")
     one = lambda x: F.sum(c(x).cast("long"))
     change = left.groupBy("grp", "bucket").agg(
         (F.sum(F.when(c("now"), c("left_impressions")).otherwise(0)) - F.sum(F.when(c("was"), c("impressions")).otherwise(0))).alias("d_impressions"),
@@ -93,8 +100,7 @@ def leave_group_out(rows: DataFrame, groups: DataFrame) -> DataFrame:
     sought = cells.filter("enough").join(below, ["grp", "bucket"], "left").select("grp", "bucket", (c("k") - c("lo") + F.coalesce("below", n(0))).alias("at"))
     rates = near.union(new).withColumn("at", order).join(sought, ["grp", "bucket", "at"]).select("grp", "bucket", c("ctr").alias("site_ctr"))
     curve = curve_ctr(c("bucket"))
-    kept = F.greatest(curve * LOWEST, F.least(c("site_ctr"), curve * HIGHEST))
-    t = cells.select("grp", "bucket").join(rates, ["grp", "bucket"], "left").withColumn("raw", round_half_up(F.coalesce(kept, curve), 4))
+    t = cells.select("grp", "bucket").join(rates, ["grp", "bucket"], "left").withColumn("raw", _target(c("site_ctr"), curve))
     so_far = W.partitionBy("grp").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
     return t.select("grp", "bucket", F.min("raw").over(so_far).alias("target"), c("site_ctr").isNotNull().alias("from_site"))
 
@@ -117,5 +123,5 @@ b_raw AS (
 b_kept AS (
   SELECT url_key, bucket, enough AND p75 IS NOT NULL AS from_site, {curve.format('bucket')} AS curve, CASE WHEN enough THEN p75 END AS p75 FROM b_raw),
 bench AS (
-  SELECT url_key, bucket, from_site, min(floor(coalesce(greatest(curve * 0.5, least(p75, curve * 1.5)), curve) * 10000 + 0.5) / 10000)
+  SELECT url_key, bucket, from_site, min(floor(CASE WHEN p75 IS NULL THEN curve ELSE greatest(curve * 0.5, least(p75, curve * 1.5)) END * 10000 + 0.5) / 10000)
     OVER (PARTITION BY url_key ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS target FROM b_kept)"""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import written
+from .tables import written
 
 
 def ranked(rows: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:

@@ -410,30 +410,6 @@ def pattern_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demand(spark, sf_dir).groupBy(kind.alias("kind")).agg(F.count("*").alias("n_queries"), F.sum("impressions").alias("impressions"))
 
 
-#: Candidates that a template may give.
-MOST_CANDIDATES = 100_000
-
-
-@report(
-    "pattern_candidates",
-    f"""WITH {_TERMS}, a AS (SELECT DISTINCT split_part(query, ' ', 1) AS x FROM demand), b AS (SELECT DISTINCT split_part(query, ' ', 2) AS y FROM demand)
-    SELECT concat(x, ' for ', y) AS candidate, d.query IS NOT NULL AS retained, coalesce(d.impressions, 0) AS impressions FROM a, b LEFT JOIN demand d ON d.query = concat(x, ' ', y)""",
-)
-def pattern_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A template filled with two short lists of values, beside the queries that exist.
-
-    The lists are the template's vocabularies and have to stay short: more than MOST_CANDIDATES candidates are refused, not cut off.
-    """
-    d = demand(spark, sf_dir)
-    word = lambda i, name: d.select(F.element_at(F.split("query", " "), i).alias(name)).filter(F.col(name).isNotNull()).distinct()
-    xs, ys = word(1, "x"), word(2, "y")
-    if (size := xs.count() * ys.count()) > MOST_CANDIDATES:
-        raise ValueError(f"{size} candidates are more than {MOST_CANDIDATES}: give the template shorter lists")
-    filled = xs.select("x", F.explode(F.array(*[F.lit(r["y"]) for r in ys.collect()])).alias("y")) if size else xs.select("x", F.lit("").alias("y")).limit(0)
-    rows = filled.join(d.withColumnRenamed("query", "q"), F.col("q") == F.concat("x", F.lit(" "), "y"), "left")
-    return rows.select(F.concat("x", F.lit(" for "), "y").alias("candidate"), F.col("q").isNotNull().alias("retained"), F.coalesce("impressions", F.lit(0)).alias("impressions"))
-
-
 @report(
     "sample_stratified",
     f"""WITH {QUERY_PAGE}, r AS (SELECT query, page, row_number() OVER (PARTITION BY query ORDER BY clicks DESC, page) AS n, count(*) OVER (PARTITION BY query) AS k FROM query_page)

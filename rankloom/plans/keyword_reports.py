@@ -9,10 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_text
+from ..operators.intervals import overlapping
 from ..operators.ranks import ranked
-from ..sources.views import ACCESS_LOG, QUERY_PAGE, RANKED, SEARCH_ROWS, query_page, ranked_keywords, search_rows, table
+from ..sources.views import ACCESS_LOG, QUERY_PAGE, RANKED, SEARCH_ROWS, query_page, query_page_table, ranked_keywords, search_rows, table
 from .log_reports import crawler_paths
-from .search_reports import _DECAY, _QUICK, _STRIKING, decay_rows, quick_win_rows, striking_distance_rows, windows
+from .search_reports import _DECAY, _QUICK, _STRIKING, _WINDOWS_OF, decay_rows, quick_win_rows, striking_distance_rows, supplier_windows, windows
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -219,15 +220,15 @@ def link_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @report(
     "change_confounders",
-    """WITH c(id, day) AS (VALUES ('c1', DATE '1996-05-05'), ('c2', DATE '1998-02-01'), ('c3', DATE '2001-01-01')), w(name, a, b) AS (VALUES ('before', DATE '1996-01-01', DATE '1997-12-31'), ('after', DATE '1998-01-01', DATE '1999-12-31'))
+    f"""WITH {_WINDOWS_OF}, c AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH'))
     SELECT name, count(id) AS n_changes FROM w LEFT JOIN c ON day BETWEEN a AND b GROUP BY name""",
 )
 def change_confounders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logged changes that fall into a window."""
-    date = lambda *names: [F.to_date(n).alias(n) for n in names]
-    c = spark.createDataFrame([("c1", "1996-05-05"), ("c2", "1998-02-01"), ("c3", "2001-01-01")], "id string, at string").select("id", *date("at"))
-    w = spark.createDataFrame([("before", "1996-01-01", "1997-12-31"), ("after", "1998-01-01", "1999-12-31")], "name string, a string, b string").select("name", *date("a", "b"))
-    return w.join(F.broadcast(c), F.col("at").between(F.col("a"), F.col("b")), "left").groupBy("name").agg(F.count("id").alias("n_changes"))  # a change log
+    """Logged changes, the urgent orders, that fall into the windows of each supplier; windows without one have 0."""
+    w, day = supplier_windows(spark, sf_dir), F.to_date("o_orderdate")
+    c = table(spark, sf_dir, "orders").filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("o_orderkey", day.alias("begin"), day.alias("until"))
+    n = overlapping(w, c, F.current_date()).groupBy("name").agg(F.count("*").alias("n_changes"))
+    return w.select("name").join(n, "name", "left").fillna(0)
 
 
 @report(
@@ -267,7 +268,7 @@ def import_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def refresh_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drafts of three reports, weighed, grouped by target and ranked together."""
-    rows = query_page(spark, sf_dir)
+    rows = query_page_table(spark, sf_dir)
     part = lambda df, name, impact: df.select(F.lit(name).alias("source"), "page", F.col(impact).cast("double").alias("impact"))
     decay = decay_rows(*windows(spark, sf_dir, "query", "page")).filter("reason IS NULL").withColumn("impact", F.col("loss") * 20)
     drafts = part(quick_win_rows(rows), "quick-win", "shortfall").union(part(striking_distance_rows(rows), "striking", "score")).union(part(decay, "decay", "impact"))

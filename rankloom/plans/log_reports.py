@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import crawler_category, crawler_family, status_class
+from ..operators.rule_joins import domains_above, most_specific_property
 from ..sources.views import ACCESS_LOG, RANKED, SEARCH_ROWS, SNAPSHOTS, access_log, parse_log, ranked_keywords, search_rows, snapshots, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -286,10 +287,9 @@ def ai_referrals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions by the AI product that they come from; a rule holds for its domain and all below, the first one wins."""
     hosts = ["chatgpt.com", "www.perplexity.ai", "chat.openai.com", "claude.ai", "google.com", "(direct)", "(direct)", "(direct)"]
     e = table(spark, sf_dir, "events").withColumn("host", F.element_at(F.array(*[F.lit(h) for h in hosts]), (F.col("user_id") % 8 + 1).cast("int")))
-    source = F.lit(None).cast("string")
-    for domain, name in reversed(AI_SOURCES):
-        source = F.when((F.col("host") == domain) | F.col("host").endswith("." + domain), name).otherwise(source)
-    t = e.withColumn("source", source).filter("source IS NOT NULL").groupBy("source").agg(F.count("*").alias("sessions"), F.count_if(F.col("event_type") == "purchase").alias("conversions"))
+    rules = spark.createDataFrame([(d, s, i) for i, (d, s) in enumerate(AI_SOURCES)], "domain string, source string, ord int")
+    named = domains_above(e, rules).groupBy("host").agg(F.min_by("source", "ord").alias("source"))
+    t = e.join(named, "host").groupBy("source").agg(F.count("*").alias("sessions"), F.count_if(F.col("event_type") == "purchase").alias("conversions"))
     return t.withColumn("share", F.col("sessions") / F.sum("sessions").over(W.partitionBy(F.lit(1))))  # a row for each product
 
 
@@ -308,19 +308,38 @@ def ai_referral_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("path").agg(F.sum("n").alias("sessions"), F.min_by("source", F.struct(-F.col("n"), "source")).alias("top_source"))
 
 
+_PLAN_SQL = """urls AS (SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS url FROM pages UNION SELECT DISTINCT concat('https://shop.example/u/', user_id, '/', event_type) FROM events UNION SELECT DISTINCT concat('https://eu.shop.example/u/', user_id) FROM events),
+    props AS (SELECT DISTINCT CASE page_id % 4 WHEN 0 THEN regexp_extract(url, '^https?://[^/]*/[^/]*/') WHEN 1 THEN regexp_extract(url, '^https?://[^/]*/') WHEN 2 THEN concat('sc-domain:', regexp_extract(url, '([^./]*[.][^./]*)/', 1)) ELSE regexp_extract(url, '^https?://[^/]*/[^/]*/.') END AS property FROM pages
+      UNION SELECT concat('https://shop.example/u/', c_custkey, '/') FROM customer UNION SELECT concat('https://shop.example/u/', c_custkey % 10) FROM customer UNION SELECT 'sc-domain:shop.example' UNION SELECT 'sc-domain:eu.shop.example'
+      UNION SELECT 'https://')"""
+
+
+def plan_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """URLs of the pages and of the users, and properties of both kinds made from the pages and the customers."""
+    pages, events, customers = (table(spark, sf_dir, t) for t in ("pages", "events", "customer"))
+    user, key = F.col("user_id").cast("string"), F.col("c_custkey").cast("string")
+    urls = pages.select(F.regexp_replace("url", "[?#].*$", "").alias("url"))
+    for u in (F.concat(F.lit("https://shop.example/u/"), user, F.lit("/"), "event_type"), F.concat(F.lit("https://eu.shop.example/u/"), user)):
+        urls = urls.union(events.select(u))
+    k, part = F.col("page_id") % 4, lambda p, i=0: F.regexp_extract("url", p, i)
+    domain = F.concat(F.lit("sc-domain:"), part(r"([^./]*[.][^./]*)/", 1))
+    named = F.when(k == 0, part("^https?://[^/]*/[^/]*/")).when(k == 1, part("^https?://[^/]*/")).when(k == 2, domain).otherwise(part("^https?://[^/]*/[^/]*/."))
+    properties = pages.select(named.alias("property")).union(customers.select(F.concat(F.lit("https://shop.example/u/"), key, F.lit("/")))).union(customers.select(F.concat(F.lit("https://shop.example/u/"), (F.col("c_custkey") % 10).cast("string"))))
+    fixed = spark.createDataFrame([("sc-domain:shop.example",), ("sc-domain:eu.shop.example",), ("https://",)], "property string")
+    return urls.distinct(), properties.union(fixed).distinct()
+
+
 @report(
     "index_plan",
-    """WITH urls AS (SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS url FROM pages), props(p) AS (VALUES ('https://blog.tionsh.example.com/'), ('https://blog.tionsh.example.com/en/'), ('http://'), ('https://')),
-    best AS (SELECT url, max_by(p, length(p)) AS property FROM urls JOIN props ON starts_with(url, p) GROUP BY url) SELECT property, count(*) AS n_urls FROM best GROUP BY property""",
+    f"""WITH {_PLAN_SQL}, best AS (SELECT url, coalesce(
+      (SELECT max_by(property, length(property)) FROM props WHERE NOT starts_with(property, 'sc-domain:') AND property <> '' AND starts_with(url, property)),
+      (SELECT max_by(property, length(property)) FROM props WHERE starts_with(property, 'sc-domain:') AND ends_with('.' || regexp_extract(url, '^https?://([^/]*)', 1), '.' || substr(property, 11)))) AS property FROM urls)
+    SELECT property, count(*) AS n_urls FROM best GROUP BY property""",
 )
 def index_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """URLs by the longest property that they start with."""
-    props = ["https://blog.tionsh.example.com/", "https://blog.tionsh.example.com/en/", "http://", "https://"]
-    best = F.lit(None).cast("string")
-    for p in sorted(props, key=len):
-        best = F.when(F.col("url").startswith(p), p).otherwise(best)
-    urls = table(spark, sf_dir, "pages").select(F.regexp_replace("url", "[?#].*$", "").alias("url")).distinct()
-    return urls.select(best.alias("property")).filter("property IS NOT NULL").groupBy("property").agg(F.count("*").alias("n_urls"))
+    """URLs by their most specific property, from a table of properties; null for those without one."""
+    urls, properties = plan_tables(spark, sf_dir)
+    return most_specific_property(urls, properties.filter("property <> ''")).groupBy("property").agg(F.count("*").alias("n_urls"))
 
 
 @report(

@@ -9,7 +9,7 @@ from ..functions import structured
 from ..functions import text as T
 from ..functions.columns import path_parts, url_signature
 from ..operators.benchmark import leave_group_out
-from ..sources.views import QUERY_PAGE, SEARCH_ROWS, query_page, search_rows, table
+from ..sources.views import QUERY_PAGE, SEARCH_ROWS, query_page, query_page_table, search_rows, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -227,20 +227,20 @@ def _group_sql(source: str, groups: str) -> str:
     s AS (SELECT grp, bucket, sum(impressions) AS i, count(*) AS n, count(*) FILTER (WHERE clicks > 0) AS p, quantile_disc(clicks::DOUBLE / impressions, 0.75) FILTER (WHERE clicks > 0) AS q FROM u GROUP BY 1, 2),
     c AS (SELECT grp, b AS bucket, [0.27, 0.15, 0.10, 0.07, 0.05, 0.035, 0.025, 0.02, 0.015, 0.012][b]::DOUBLE AS curve FROM gs, (SELECT unnest(range(1, 11))::INT AS b)),
     t AS (SELECT c.grp, c.bucket, curve, CASE WHEN i >= 1000 AND n >= 5 AND p >= 3 THEN q END AS q FROM c LEFT JOIN s ON s.grp = c.grp AND s.bucket = c.bucket)
-    SELECT grp, bucket, min(floor(coalesce(greatest(curve * 0.5, least(q, curve * 1.5)), curve) * 10000 + 0.5) / 10000) OVER (PARTITION BY grp ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS target, q IS NOT NULL AS from_site FROM t"""
+    SELECT grp, bucket, min(floor(CASE WHEN q IS NULL THEN curve ELSE greatest(curve * 0.5, least(q, curve * 1.5)) END * 10000 + 0.5) / 10000) OVER (PARTITION BY grp ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS target, q IS NOT NULL AS from_site FROM t"""
 
 
 @report("ctr_benchmark_group_out", _group_sql("query_page", "SELECT split_part(query, ' ', 1) AS grp, query, page FROM query_page"))
 def ctr_benchmark_group_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates to reach for each first word of the queries, its own rows left out."""
-    rows = query_page(spark, sf_dir)
+    rows = query_page_table(spark, sf_dir)
     return leave_group_out(rows, rows.select(F.element_at(F.split("query", " "), 1).alias("grp"), "query", "page"))
 
 
 @report("ctr_benchmark_row_out", None)
 def ctr_benchmark_row_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates to reach for each row, itself left out. In SQL every row would meet all others; tests hold it to plain Python."""
-    rows = query_page(spark, sf_dir)
+    rows = query_page_table(spark, sf_dir)
     return leave_group_out(rows, rows.select(F.concat_ws(" @ ", "query", "page").alias("grp"), "query", "page"))
 
 

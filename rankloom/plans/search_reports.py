@@ -12,8 +12,9 @@ from ..functions.columns import (
     curve_ctr, first_reason, is_brand, is_low_actionability, is_search_artifact, normal_query, page_key, page_template, percent_change, round_half_up, rounded_position, valid_search_row,
 )
 from ..operators.benchmark import benchmark_sql, leave_url_out
+from ..operators.intervals import overlapping
 from ..operators.samples import with_first
-from ..sources.views import QUERY_PAGE, SEARCH_DAILY, SEARCH_ROWS, aggregate_rows, query_page, search_daily, search_rows, table
+from ..sources.views import QUERY_PAGE, SEARCH_DAILY, SEARCH_ROWS, aggregate_rows, query_page, query_page_table, search_daily, search_rows, table
 
 BRAND = ["old hammer"]
 _BRAND_SQL = "regexp_matches(lower(query), 'old[^a-z0-9]+hammers?') OR contains(replace(lower(query), ' ', ''), 'oldhammer')"
@@ -135,7 +136,7 @@ quick AS (
 
 @report("quick_wins", f"WITH {_QUICK} SELECT * FROM quick ORDER BY shortfall DESC, impressions DESC, query, page LIMIT 25")
 def quick_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quick_win_rows(query_page(spark, sf_dir)).orderBy(F.desc("shortfall"), F.desc("impressions"), "query", "page").limit(25)
+    return quick_win_rows(query_page_table(spark, sf_dir)).orderBy(F.desc("shortfall"), F.desc("impressions"), "query", "page").limit(25)
 
 
 @report(
@@ -143,14 +144,14 @@ def quick_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_QUICK} SELECT concat('/', split_part(page, '/', 4), '/') AS template, query, count(DISTINCT page) AS n_pages, sum(impressions)::BIGINT AS impressions FROM quick GROUP BY 1, 2 HAVING count(DISTINCT page) >= 2""",
 )
 def quick_win_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quick_win_rows(query_page(spark, sf_dir))
+    rows = quick_win_rows(query_page_table(spark, sf_dir))
     groups = rows.groupBy(page_template(F.col("page")).alias("template"), "query").agg(F.countDistinct("page").alias("n_pages"), F.sum("impressions").alias("impressions"))
     return groups.filter("n_pages >= 2")
 
 
 @report("ctr_benchmark", f"WITH {_POPULATION} {benchmark_sql('population', False)} SELECT url_key, bucket, target, from_site FROM bench")
 def ctr_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = query_page(spark, sf_dir).filter((F.col("position") >= 1) & (F.col("position") <= 10) & ~is_brand(F.col("query"), BRAND))
+    rows = query_page_table(spark, sf_dir).filter((F.col("position") >= 1) & (F.col("position") <= 10) & ~is_brand(F.col("query"), BRAND))
     return leave_url_out(rows)
 
 
@@ -163,7 +164,7 @@ def ctr_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ctr_underperformers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that reach under 60 % of the benchmark."""
-    population = query_page(spark, sf_dir).filter(valid_search_row() & F.col("position").between(1, 10) & ~is_low_actionability(F.col("query")) & ~is_brand(F.col("query"), BRAND))
+    population = query_page_table(spark, sf_dir).filter(valid_search_row() & F.col("position").between(1, 10) & ~is_low_actionability(F.col("query")) & ~is_brand(F.col("query"), BRAND))
     found = with_target(population.filter("impressions >= 200"), population, False).filter("ctr < 0.6 * target")
     short = F.greatest(F.lit(0.0), F.col("target") * F.col("impressions") - F.col("clicks"))
     return found.select("query", "page", "clicks", "impressions", "position", "ctr", "target", short.alias("shortfall")).orderBy(F.desc("shortfall"), "query", "page").limit(25)
@@ -181,7 +182,7 @@ def ctr_underperformers(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def page_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The queries of one page, held against the rates of all other pages."""
-    rows, target = query_page(spark, sf_dir), "https://shop.example/small/supplier-3"
+    rows, target = query_page_table(spark, sf_dir), "https://shop.example/small/supplier-3"
     mine = rows.filter(valid_search_row() & (F.col("page") == target) & (F.col("impressions") >= 10) & ~is_low_actionability(F.col("query")) & ~is_brand(F.col("query"), BRAND))
     bench = leave_url_out(rows.filter(F.col("position").between(1, 10))).select("url_key", "bucket", "target")
     bucket = F.when(F.col("position") <= 10, rounded_position(F.col("position")))
@@ -345,13 +346,14 @@ def traffic_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomalies(search_daily(spark, sf_dir))
 
 
-UPDATES = [("u1", "2023-12-20", "2023-12-28"), ("u2", "2024-01-20", "2024-01-25"), ("u3", "2024-01-29", None)]
-_UPDATES_SQL = "updates(id, begin_, end_) AS (VALUES ('u1', DATE '2023-12-20', DATE '2023-12-28'), ('u2', DATE '2024-01-20', DATE '2024-01-25'), ('u3', DATE '2024-01-29', NULL))"
+_UPDATES_SQL = """updates AS (SELECT n_name AS id, DATE '2023-12-15' + (n_nationkey * 2)::INT AS begin_, CASE WHEN n_regionkey < 4 THEN DATE '2023-12-15' + (n_nationkey * 2 + n_regionkey * 3)::INT END AS end_ FROM nation)"""
 
 
-def overlapping_updates(updates: DataFrame, start, end, now, padding: int = 3) -> DataFrame:
-    """Updates (id, begin, end) whose interval, open ones until now, meets [start, end] within the padding."""
-    return updates.filter((F.col("begin") <= F.date_add(end, padding)) & (F.coalesce("end", now) >= F.date_sub(start, padding)))
+def official_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """update_id, begin and until of announced updates, a fixture over the nations; those of one region are still open."""
+    n = table(spark, sf_dir, "nation")
+    begin = F.date_add(F.lit("2023-12-15").cast("date"), (F.col("n_nationkey") * 2).cast("int"))
+    return n.select(F.col("n_name").alias("update_id"), begin.alias("begin"), F.when(F.col("n_regionkey") < 4, F.date_add(begin, (F.col("n_regionkey") * 3).cast("int"))).alias("until"))
 
 
 @report(
@@ -361,11 +363,44 @@ def overlapping_updates(updates: DataFrame, start, end, now, padding: int = 3) -
 )
 def update_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anomalies beside the official updates of their time; an overlap establishes no cause."""
-    updates = spark.createDataFrame(UPDATES, "id string, begin string, end string").select("id", F.to_date("begin").alias("begin"), F.to_date("end").alias("end"))
-    met = overlapping_updates(updates, F.lit("2024-01-24").cast("date"), F.lit("2024-01-30").cast("date"), F.lit("2024-02-01").cast("date"))
-    both = anomalies(search_daily(spark, sf_dir)).join(F.broadcast(met), F.lit(True), "left")  # a handful of updates
-    kind = F.when(F.col("significant") & F.col("id").isNotNull(), "movement-with-overlap").when(F.col("significant"), "movement-without-overlap").when(F.col("id").isNotNull(), "overlap-without-movement").otherwise("none")
-    return both.select("metric", "direction", F.col("id").alias("update_id"), kind.alias("classification"))
+    found = anomalies(search_daily(spark, sf_dir))
+    recent = found.select("metric", F.lit("2024-01-24").cast("date").alias("start"), F.lit("2024-01-30").cast("date").alias("end"))
+    met = overlapping(recent, official_updates(spark, sf_dir), F.lit("2024-02-01").cast("date"), 3).select("metric", "update_id")
+    both = found.join(met, "metric", "left")
+    kind = F.when(F.col("significant") & F.col("update_id").isNotNull(), "movement-with-overlap").when(F.col("significant"), "movement-without-overlap").when(F.col("update_id").isNotNull(), "overlap-without-movement").otherwise("none")
+    return both.select("metric", "direction", "update_id", kind.alias("classification"))
+
+
+#: The day up to which open intervals last.
+_TODAY = "1999-06-01"
+
+
+def supplier_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, start and end: four weeks before and after a day of each supplier."""
+    day = F.date_add(F.lit("1996-01-01").cast("date"), (F.col("s_suppkey") * 37 % 1500).cast("int"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("k"), day.alias("d"))
+    name = lambda side: F.concat(F.lit(f"{side} "), "k").alias("name")
+    return s.select(name("before"), F.date_sub("d", 28).alias("start"), F.date_sub("d", 1).alias("end")).union(s.select(name("after"), F.col("d"), F.date_add("d", 27)))
+
+
+_WINDOWS_OF = """d AS (SELECT s_suppkey AS k, DATE '1996-01-01' + (s_suppkey * 37 % 1500)::INT AS d FROM supplier),
+  w AS (SELECT concat('before ', k) AS name, d - 28 AS a, d - 1 AS b FROM d UNION ALL SELECT concat('after ', k), d, d + 27 FROM d)"""
+
+
+@report(
+    "update_overlaps",
+    f"""WITH {_WINDOWS_OF}, o AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS x, CASE WHEN o_orderstatus <> 'O' THEN CAST(o_orderdate AS DATE) + (o_orderkey % 7 * o_orderkey % 200)::INT END AS y, o_orderstatus = 'O' AS open_ FROM orders),
+  m AS (SELECT name, id, open_ FROM w JOIN o ON x - 3 <= b AND coalesce(y, DATE '{_TODAY}') + 3 >= a AND x - 3 <= coalesce(y, DATE '{_TODAY}') + 3)
+  SELECT name, count(id) AS n_updates, count(*) FILTER (WHERE open_) AS n_open, min(id)::BIGINT AS first_update FROM m GROUP BY name""",
+)
+def update_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many orders, open ones until a fixed day, lie within three days of each supplier's windows."""
+    o = table(spark, sf_dir, "orders")
+    key, begin = F.col("o_orderkey"), F.to_date("o_orderdate")
+    ended = F.when(F.col("o_orderstatus") != "O", F.date_add(begin, (key % 7 * key % 200).cast("int")))
+    orders = o.select(key.alias("id"), begin.alias("begin"), ended.alias("until"))
+    met = overlapping(supplier_windows(spark, sf_dir), orders, F.lit(_TODAY).cast("date"), 3)
+    return met.groupBy("name").agg(F.count("id").alias("n_updates"), F.count_if(F.col("until").isNull()).alias("n_open"), F.min("id").cast("long").alias("first_update"))
 
 
 @report(
@@ -451,7 +486,7 @@ def opportunity_sources(rows: DataFrame) -> DataFrame:
 )
 def keyword_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keywords picked from three reports by turns."""
-    best = opportunity_sources(query_page(spark, sf_dir)).groupBy("query", "source", "source_order").agg(F.max("metric").alias("metric"))
+    best = opportunity_sources(query_page_table(spark, sf_dir)).groupBy("query", "source", "source_order").agg(F.max("metric").alias("metric"))
     # the first MOST_PICKED of a source suffice: one source alone gives so many keywords before the next of its own
     first = [best.filter(F.col("source") == s).orderBy(F.desc("metric"), "query").limit(MOST_PICKED) for s in SOURCES]
     ranked = reduce(DataFrame.union, first).withColumn("r", F.row_number().over(W.partitionBy("source").orderBy(F.desc("metric"), "query")))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.tables import written
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -56,6 +58,11 @@ def query_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate_rows(search_rows(spark, sf_dir), "query", "page")
 
 
+def query_page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_page as a written table, for reports that read it more than once."""
+    return written(query_page(spark, sf_dir), "query-page")
+
+
 def search_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """date, clicks, impressions from the events of each day."""
     events = table(spark, sf_dir, "events").select(F.to_date("ts").alias("date"), "event_type")

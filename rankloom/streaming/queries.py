@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import shared_dir
+from ..operators.tables import shared_dir
 from ..sources.views import ACCESS_LOG, access_log, table
 from . import logs
 
