@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import broad_signature, page_key, path_parts, placeholder, tokens, url_signature
+from ..functions.html import extracted
 from ..functions.text import normal_text
 from ..operators.graph import greedy_leaders, resolve_aliases, shortest_depths
 from ..operators.samples import with_first
@@ -26,23 +27,15 @@ def report(name: str, sql: str | None):
 
 
 def crawl_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, html_bytes, title, description, n_h1, lang, canonical, text, n_words, content_hash and flags, from raw HTML."""
-    bare = pages.select("page_id", "url", "html", F.regexp_replace(F.regexp_replace("html", r"(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<footer.*?</footer>|<title>.*?</title>", " "), r"<[^>]*>", " ").alias("bare"))
-    text = F.trim(F.regexp_replace("bare", r"\s+", " "))
-    has = lambda s: F.col("html").contains(s)
-    return bare.select(
-        "page_id", "url", F.octet_length("html").alias("html_bytes"), F.trim(F.regexp_extract("html", r"<title>([^<]*)</title>", 1)).alias("title"),
-        F.regexp_extract("html", r'<meta name="description" content="([^"]*)"', 1).alias("description"), F.size(F.regexp_extract_all("html", F.lit("<h1[ >]"), F.lit(0))).alias("n_h1"),
-        F.regexp_extract("html", r'<html lang="([^"]*)"', 1).alias("lang"), F.regexp_extract("html", r'<link rel="canonical" href="([^"]*)"', 1).alias("canonical"), text.alias("text"),
-        F.when(text == "", 0).otherwise(F.size(F.split(text, " "))).alias("n_words"), F.sha2(text, 256).alias("content_hash"), has('name="viewport"').alias("viewport"), has("og:title").alias("og_title"), has("og:image").alias("og_image"),
-        has("twitter:card").alias("twitter_card"), has("application/ld+json").alias("json_ld"), F.col("html").rlike(r"<img(?![^>]*\balt=)").alias("image_without_alt"),
-    )
+    """page_id, url, html_bytes, content_hash and what the html says (functions/html.py), read in one pass."""
+    sized = pages.withColumn("html_bytes", F.coalesce(F.octet_length("html"), F.lit(0)))
+    return extracted(sized, "page_id", "url", "html_bytes").withColumn("content_hash", F.sha2("text", 256))
 
 
 CRAWL = r"""
 bare AS (SELECT page_id, url, html, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<footer.*?</footer>|<title>.*?</title>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS b FROM pages),
-crawl AS (SELECT page_id, url, strlen(html) AS html_bytes, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, regexp_extract(html, '<meta name="description" content="([^"]*)"', 1) AS description,
-  len(regexp_extract_all(html, '<h1[ >]')) AS n_h1, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, regexp_extract(html, '<link rel="canonical" href="([^"]*)"', 1) AS canonical, trim(regexp_replace(b, '\s+', ' ', 'g')) AS text,
+crawl AS (SELECT page_id, url, strlen(html) AS html_bytes, replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&amp;', '&') AS title, regexp_extract(html, '<meta name="description" content="([^"]*)"', 1) AS description,
+  len(regexp_extract_all(html, '<h1[ >]')) AS n_h1, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, regexp_extract(html, '<link rel="canonical" href="([^"]*)"', 1) AS canonical, replace(replace(replace(replace(replace(trim(regexp_replace(b, '\s+', ' ', 'g')), '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text,
   contains(html, 'name="viewport"') AS viewport, contains(html, 'og:title') AS og_title, contains(html, 'og:image') AS og_image, contains(html, 'twitter:card') AS twitter_card, contains(html, 'application/ld+json') AS json_ld FROM bare),
 pages_c AS (SELECT *, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, ' ')) END AS n_words, sha256(text) AS content_hash FROM crawl)"""
 
@@ -56,76 +49,6 @@ def crawl_pages_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawled(spark, sf_dir).select("page_id", "html_bytes", "title", "n_h1", "lang", "n_words", "content_hash")
 
 
-#: Rule, category, severity, recommendation.
-RULES = [
-    ("missing_title", "metadata", "high", "fix"), ("title_too_wide", "metadata", "low", "review"), ("title_duplicate", "metadata", "medium", "fix"), ("h1_missing", "headings", "low", "fix"), ("h1_multiple", "headings", "low", "review"),
-    ("missing_meta_description", "metadata", "medium", "fix"), ("canonical_missing", "canonical", "low", "review"), ("duplicate_content", "content", "medium", "fix"), ("near_empty_content", "content", "low", "review"),
-    ("large_html", "performance", "low", "fix"), ("http_not_secure", "security", "medium", "fix"), ("viewport_missing", "mobile", "medium", "fix"), ("lang_missing", "international", "low", "fix"), ("structured_data_missing", "structured-data", "low", "review"),
-    ("og_title_missing", "social", "low", "review"), ("og_image_missing", "social", "low", "review"), ("twitter_card_missing", "social", "low", "review"),
-]
-_RULES_SQL = "rules(rule, category, severity, kind) AS (VALUES " + ", ".join(str(r) for r in RULES) + ")"
-SEVERITY = {"high": 3, "medium": 2, "low": 1}
-WIDE_TITLE, EMPTY_WORDS, LARGE_BYTES = 55, 60, 8000
-
-
-def issues(pages: DataFrame) -> DataFrame:
-    """(page_id, url, rule) for every rule that a page breaks; duplicates are told by counts over the whole crawl."""
-    same = lambda c: F.count("*").over(W.partitionBy(c)) > 1
-    checks: dict[str, Column] = {
-        "missing_title": F.col("title") == "", "title_too_wide": F.length("title") > WIDE_TITLE, "title_duplicate": (F.col("title") != "") & F.col("same_title"), "h1_missing": F.col("n_h1") == 0, "h1_multiple": F.col("n_h1") > 1,
-        "missing_meta_description": F.col("description") == "", "canonical_missing": F.col("canonical") == "", "duplicate_content": (F.col("n_words") >= 20) & F.col("same_content"), "near_empty_content": F.col("n_words") < EMPTY_WORDS,
-        "large_html": F.col("html_bytes") > LARGE_BYTES, "http_not_secure": F.col("url").startswith("http://"), "viewport_missing": ~F.col("viewport"), "lang_missing": F.col("lang") == "", "structured_data_missing": ~F.col("json_ld"),
-        "og_title_missing": ~F.col("og_title"), "og_image_missing": ~F.col("og_image"), "twitter_card_missing": ~F.col("twitter_card"),
-    }
-    known = pages.withColumn("same_title", same("title")).withColumn("same_content", same("content_hash"))
-    return known.select("page_id", "url", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in checks.items()]))).alias("rule"))
-
-
-_ISSUES = CRAWL + f""",
-known AS (SELECT *, count(*) OVER (PARTITION BY title) > 1 AS same_title, count(*) OVER (PARTITION BY content_hash) > 1 AS same_content FROM pages_c),
-issues AS (SELECT page_id, url, unnest(list_filter([
-  CASE WHEN title = '' THEN 'missing_title' END, CASE WHEN length(title) > {WIDE_TITLE} THEN 'title_too_wide' END, CASE WHEN title <> '' AND same_title THEN 'title_duplicate' END, CASE WHEN n_h1 = 0 THEN 'h1_missing' END, CASE WHEN n_h1 > 1 THEN 'h1_multiple' END,
-  CASE WHEN description = '' THEN 'missing_meta_description' END, CASE WHEN canonical = '' THEN 'canonical_missing' END, CASE WHEN n_words >= 20 AND same_content THEN 'duplicate_content' END, CASE WHEN n_words < {EMPTY_WORDS} THEN 'near_empty_content' END,
-  CASE WHEN html_bytes > {LARGE_BYTES} THEN 'large_html' END, CASE WHEN starts_with(url, 'http://') THEN 'http_not_secure' END, CASE WHEN NOT viewport THEN 'viewport_missing' END, CASE WHEN lang = '' THEN 'lang_missing' END, CASE WHEN NOT json_ld THEN 'structured_data_missing' END,
-  CASE WHEN NOT og_title THEN 'og_title_missing' END, CASE WHEN NOT og_image THEN 'og_image_missing' END, CASE WHEN NOT twitter_card THEN 'twitter_card_missing' END], lambda x: x IS NOT NULL)) AS rule FROM known)"""
-
-
-@report("audit_issues", f"WITH {_ISSUES} SELECT page_id, rule FROM issues")
-def audit_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return issues(crawled(spark, sf_dir)).select("page_id", "rule")
-
-
-@report("issue_groups", f"WITH {_ISSUES}, {_RULES_SQL} SELECT rule, category, severity, kind, count(*) AS n, list_sort(list(DISTINCT url))[1:10] AS samples FROM issues JOIN rules USING (rule) GROUP BY 1, 2, 3, 4")
-def issue_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "rule string, category string, severity string, kind string")
-    rows = issues(crawled(spark, sf_dir))
-    groups = with_first(rows.groupBy("rule").agg(F.count("*").alias("n")), rows, ["rule"], "url", 10, "samples")
-    return groups.join(F.broadcast(rules), "rule")  # the table above
-
-
-@report(
-    "affected_urls",
-    f"""WITH {_ISSUES}, {_RULES_SQL} SELECT url, page_id, rule, severity FROM issues JOIN rules USING (rule) WHERE kind = 'fix' ORDER BY CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, url, page_id, rule LIMIT 100""",
-)
-def affected_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "rule string, category string, severity string, kind string")
-    rows = issues(crawled(spark, sf_dir)).join(F.broadcast(rules), "rule").filter("kind = 'fix'").select("url", "page_id", "rule", "severity")
-    return rows.orderBy(F.desc(F.expr("CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END")), "url", "page_id", "rule").limit(100)
-
-
-@report(
-    "top_fixes",
-    f"""WITH {_ISSUES}, {_RULES_SQL}, g AS (SELECT rule, severity, count(*) AS n FROM issues JOIN rules USING (rule) WHERE kind = 'fix' GROUP BY 1, 2)
-    SELECT rule, severity, n, CASE severity WHEN 'high' THEN 3000 WHEN 'medium' THEN 2000 ELSE 1000 END + n * 5 AS score FROM g ORDER BY score DESC, severity, n DESC, rule LIMIT 10""",
-)
-def top_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules to fix first, by severity and reach."""
-    rules = spark.createDataFrame(RULES, "rule string, category string, severity string, kind string")
-    g = issues(crawled(spark, sf_dir)).join(F.broadcast(rules), "rule").filter("kind = 'fix'").groupBy("rule", "severity").agg(F.count("*").alias("n"))
-    score = F.expr("CASE severity WHEN 'high' THEN 3000 WHEN 'medium' THEN 2000 ELSE 1000 END") + F.col("n") * 5
-    return g.withColumn("score", score).orderBy(F.desc("score"), "severity", F.desc("n"), "rule").limit(10)
-
-
 @report("crawl_summary", f"WITH {CRAWL} SELECT count(*) AS n_pages, count(*) FILTER (WHERE starts_with(url, 'https://')) AS n_secure, avg(n_words) AS mean_words, quantile_cont(n_words, 0.5) AS median_words, count(DISTINCT lang) AS n_langs, max(html_bytes) AS most_bytes FROM pages_c")
 def crawl_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     median = F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY n_words)").alias("median_words")

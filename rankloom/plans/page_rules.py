@@ -7,6 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.structured import missing_properties
+from ..operators.samples import with_first
+from ..operators.tables import written
 from ..sources.views import table
 from .crawl_reports import CRAWL, crawl_pages
 
@@ -47,7 +50,7 @@ SLOW_MS, LARGE_BYTES, COMPRESSED_FROM, DEEP, WEAK_LINKS, COVERAGE_IMPRESSIONS, L
 COVERAGE_STOPWORDS = "a an and are for from how in is of on or the to vs what with".split()
 HREFLANG = "^(x-default|[a-z]{2}(-[a-z]{4})?(-[a-z]{2})?)$"
 
-#: What the raw pages don't say about a crawl, as a fixture: the same text for both engines.
+#: What html doesn't say about a crawl, as a fixture: the same text for both engines.
 FACTS = {
     "final_url": "CASE WHEN page_id % 71 = 6 THEN concat(url, '&moved=1') ELSE url END",
     "status": "CASE WHEN page_id % 97 = 5 THEN 0 WHEN page_id % 61 = 7 THEN 503 WHEN page_id % 53 = 9 THEN 404 WHEN page_id % 47 = 3 THEN 403 WHEN page_id % 43 = 2 THEN 301 ELSE 200 END",
@@ -56,13 +59,11 @@ FACTS = {
     "response_ms": "(page_id * 37) % 2600",
     "hops": "CASE WHEN page_id % 29 = 1 THEN 2 WHEN page_id % 23 = 1 THEN 1 ELSE 0 END",
     "status_only": "page_id % 67 = 8",
-    "login_form": "page_id % 59 = 10",
     "rendered": "page_id % 3 = 0",
     "raw_chars": "(page_id * 13) % 400",
     "rendered_chars": "(page_id * 29) % 3000",
     "indexable": "page_id % 31 <> 5",
     "compressed": "page_id % 4 <> 1",
-    "insecure_parts": "CASE WHEN page_id % 37 = 2 THEN 3 ELSE 0 END",
     "hsts": "page_id % 6 <> 1",
     "broken_external": "CASE WHEN page_id % 41 = 11 THEN page_id % 3 ELSE 0 END",
     "depth": "page_id % 7",
@@ -71,26 +72,90 @@ FACTS = {
     "sessions": "(page_id * 3) % 40",
     "robots_allowed": "page_id % 79 <> 12",
     "x_robots": "CASE WHEN page_id % 83 = 13 THEN 'noindex, nofollow' WHEN page_id % 73 = 1 THEN 'nofollow' ELSE '' END",
+    "declared_other": "page_id % 2 = 0",
+    "oversized": "page_id % 27 = 5",
+    "soft_missing": "page_id % 91 = 17",
+    "top_query": "CASE WHEN page_id % 5 = 2 THEN lower(concat('how to ', substring(title, 1, 5), ' zzyzx')) ELSE '' END",
+    "top_impressions": "(page_id * 11) % 100",
+}
+#: What the fixture's pages say in their html beside what the test pages hold, as values for SQL; rules read it from the html.
+SAID = {
+    "login_form": "page_id % 59 = 10",
+    "insecure_parts": "CASE WHEN page_id % 37 = 2 THEN 3 ELSE 0 END",
     "meta_robots": "CASE WHEN page_id % 19 = 4 THEN 'NOINDEX,follow' WHEN page_id % 17 = 3 THEN 'nofollow' ELSE '' END",
     "canonical_raw": "CASE page_id % 11 WHEN 0 THEN '' WHEN 1 THEN '/relative/x' WHEN 2 THEN 'http://' WHEN 3 THEN 'https://shop.example/other' ELSE url END",
     "canonical_status": "CASE WHEN page_id % 101 = 3 THEN 'conflicting' WHEN page_id % 101 = 4 THEN 'duplicate' WHEN page_id % 101 = 5 THEN 'outside-head-only' ELSE 'single' END",
-    "declared_other": "page_id % 2 = 0",
     "missing_alt": "CASE WHEN page_id % 8 = 3 THEN 2 ELSE 0 END",
-    "oversized": "page_id % 27 = 5",
     "hreflang": "CASE page_id % 13 WHEN 1 THEN 'en,de' WHEN 2 THEN 'en,EN' WHEN 3 THEN 'english,x-default' ELSE '' END",
     "hreflang_self": "page_id % 3 = 1",
     "invalid_json_ld": "CASE WHEN page_id % 33 = 1 THEN 1 ELSE 0 END",
     "rich_missing": "page_id % 39 = 2",
     "og_description": "page_id % 10 <> 3",
-    "soft_missing": "page_id % 91 = 17",
-    "top_query": "CASE WHEN page_id % 5 = 2 THEN lower(concat('how to ', substring(title, 1, 5), ' zzyzx')) ELSE '' END",
-    "top_impressions": "(page_id * 11) % 100",
+    "title": "CASE WHEN page_id % 45 = 7 THEN '' ELSE title END",
+    "description": "CASE WHEN page_id % 2 = 0 THEN concat('About ', page_id % 50) ELSE '' END",
+    "n_h1": "CASE WHEN page_id % 25 = 6 THEN 0 ELSE n_h1 END + CASE WHEN page_id % 21 = 4 THEN 1 ELSE 0 END",
+    "lang": "CASE WHEN page_id % 33 = 5 THEN '' ELSE lang END",
+    "viewport": "page_id % 3 = 0",
+    "og_title": "page_id % 4 = 1",
+    "og_image": "page_id % 5 = 2",
+    "twitter_card": "page_id % 6 = 3",
+    "json_ld": "page_id % 39 = 2 OR page_id % 4 = 0",
 }
+_HREF = "replace(url, '&', '&amp;')"
+
+
+def _tag(value: str, before: str, after: str) -> str:
+    return f"CASE WHEN {value} <> '' THEN concat('{before}', {value}, '{after}') ELSE '' END"
+
+
+def _when(condition: str, html: str) -> str:
+    return f"CASE WHEN {condition} THEN '{html}' ELSE '' END"
+
+
+_CANONICAL = f"concat('<link href=\"', {SAID['canonical_raw'].replace('ELSE url', f'ELSE {_HREF}')}, '\" REL=canonical>')"
+#: Both as html, in the head and in the body: attributes in any order, with any quotes.
+HEAD = ", ".join(
+    [
+        _tag(f"({SAID['meta_robots']})", '<META content="', '" name=Robots>'), _tag(f"({SAID['description']})", "<meta content=\"", '" name="description"/>'),
+        f"CASE WHEN page_id % 101 = 5 OR page_id % 11 = 0 AND page_id % 101 NOT IN (3, 4) THEN '' WHEN page_id % 101 = 3 THEN concat({_CANONICAL}, '<link rel=canonical href=https://shop.example/second>') WHEN page_id % 101 = 4 THEN concat({_CANONICAL}, {_CANONICAL}) ELSE {_CANONICAL} END",
+        *(f"CASE WHEN page_id % 13 = {k} THEN concat('<link rel=\"alternate\" hreflang=\"{codes[0]}\" href=\"', CASE WHEN page_id % 3 = 1 THEN concat({_HREF}, '#x') ELSE '/alt' END, '\"><link rel=alternate hreflang={codes[1]} href=/other>') ELSE '' END" for k, codes in ((1, ("en", "de")), (2, ("en", "EN")), (3, ("english", "x-default")))),
+        _when(SAID["invalid_json_ld"].split("WHEN ")[1].split(" THEN")[0], '<script type="application/ld+json">{"@type": "Product",</script>'), _when(SAID["rich_missing"], "<script type=application/ld+json>{\"@context\":\"https://schema.org/\",\"@type\":\"Product\",\"name\":\"A\"}</script>"),
+        _when("page_id % 4 = 0", '<script type="application/ld+json">{"@context":"https://schema.org","@type":"Organization","name":"O"}</script>'), _when(SAID["og_description"], '<meta property="og:description" content="d">'),
+        _when(SAID["viewport"], "<meta name=viewport content=x>"), _when(SAID["og_title"], '<meta content="t" property="og:title">'), _when(SAID["og_image"], '<meta property=og:image content="i">'), _when(SAID["twitter_card"], '<meta name="twitter:card" content="c" />'),
+    ]
+)
+BODY = ", ".join(
+    [
+        f"CASE WHEN page_id % 101 = 5 THEN {_CANONICAL} ELSE '' END", _when(SAID["login_form"], '<form action="/login/now"><input Type="PASSWORD"></form>'), _when("page_id % 37 = 2", '<img alt="" src="http://a.test/1.png">' * 3),
+        _when("page_id % 8 = 3", '<img src="/a.png"><IMG src=/b.png>'), _when("page_id % 21 = 4", "<nav><h1>More</h1></nav>"),
+    ]
+)
+HTML = f"""replace(replace(CASE WHEN page_id % 45 = 7 THEN regexp_replace(h1, '<title>[^<]*</title>', '') ELSE h1 END, '<head>', concat('<head>', {HEAD})), '<body>', concat('<body>', {BODY}))"""
+_H1 = """CASE WHEN page_id % 25 = 6 THEN replace(replace(l, '<h1>', '<h2>'), '</h1>', '</h2>') ELSE l END"""
+_L = "CASE WHEN page_id % 33 = 5 THEN regexp_replace(html, '<html lang=\"[a-z]*\">', '<html>') ELSE html END"
+
+
+def fixture_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url and html of the test pages with more in their html, so that there is a page for each rule."""
+    return pages.withColumn("l", F.expr(_L)).withColumn("h1", F.expr(_H1)).select("page_id", "url", F.expr(HTML).alias("html"))
+
+
+def _lacks_required(items: Column) -> Column:
+    """Whether a JSON-LD item of a type with rich results lacks what these need."""
+    lacks = lambda item: F.exists(item["types"], lambda t: F.size(F.coalesce(missing_properties(item["props"], t), F.array())) > 0)
+    return F.exists(items, lambda x: (x["format"] == "json-ld") & lacks(x))
 
 
 def page_snapshots(pages: DataFrame) -> DataFrame:
-    """The extracted pages with what a crawl observed of each."""
-    return crawl_pages(pages).select("*", *[F.expr(sql).alias(name) for name, sql in FACTS.items()])
+    """What the html of each page says, read in one pass, with what a crawl observed of it beside the html."""
+    c = F.col
+    read = crawl_pages(fixture_pages(pages)).withColumns(
+        {
+            "canonical_raw": c("canonical"), "hreflang": F.array_join(c("alternates")["lang"], ","), "json_ld": F.exists("items", lambda x: x["format"] == "json-ld"), "rich_missing": _lacks_required(c("items")),
+            "hreflang_self": F.exists("alternates", lambda x: _same(x["href"], c("url"))),
+        }
+    )
+    return read.drop("alternates", "links", "items").select("*", *[F.expr(sql).alias(name) for name, sql in FACTS.items()])
 
 
 def findings(pages: DataFrame, start_url: str | None = None) -> DataFrame:
@@ -117,13 +182,14 @@ def findings(pages: DataFrame, start_url: str | None = None) -> DataFrame:
     has_codes = c("hreflang") != ""
     terms = F.array_distinct(F.filter(F.split(F.lower("top_query"), "[^a-z0-9]+"), lambda t: (F.length(t) > 2) & ~t.isin(COVERAGE_STOPWORDS)))
     shown = F.lower(F.concat_ws(" ", "title", "description", "text"))
-    covered = F.size(F.filter(terms, lambda t: shown.contains(t))) / F.size(terms)
+    share = F.when(F.size(terms) > 0, F.size(F.filter(terms, lambda t: shown.contains(t))) / F.size(terms))
     other = (c("target") != "") & ~_same(c("target"), c("final_url"))
     valuable = (c("clicks") > 0) | (c("impressions") >= 100) | (c("sessions") >= 25)
     linked = c("inlinks") > 0
 
     checks: dict[str, Column] = {
         "connection_error": c("status") == 0,
+        "crawler_access_blocked": (c("status") > 0) & c("blocked"),
         "server_error": answered & (c("status") >= 500),
         "client_error": answered & c("status").between(400, 499),
         "broken_internal_link": answered & linked & ((c("status") >= 500) | c("status").isin(404, 410)),
@@ -164,7 +230,7 @@ def findings(pages: DataFrame, start_url: str | None = None) -> DataFrame:
         "canonicalized_page": page & other & c("declared_other"),
         "canonical_mismatch": page & other & ~c("declared_other"),
         "duplicate_content": page & (c("same_contents") > 1),
-        "query_coverage_missing": page & (c("top_query") != "") & (c("top_impressions") >= COVERAGE_IMPRESSIONS) & (F.size(terms) > 0) & (covered < LEAST_COVERAGE),
+        "query_coverage_missing": page & (c("top_query") != "") & (c("top_impressions") >= COVERAGE_IMPRESSIONS) & (c("covered") < LEAST_COVERAGE),
         "image_missing_alt": page & (c("missing_alt") > 0),
         "image_oversized_candidate": page & c("oversized"),
         "viewport_missing": page & ~c("viewport"),
@@ -181,7 +247,8 @@ def findings(pages: DataFrame, start_url: str | None = None) -> DataFrame:
         "twitter_card_missing": page & ~c("twitter_card"),
     }
     tidy = lambda x: F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))
-    known = pages.withColumn("target", F.coalesce(resolved, n(""))).withColumns({"title_key": tidy("title"), "description_key": tidy("description")})
+    known = pages.withColumn("target", F.coalesce(resolved, n(""))).withColumns({"title_key": tidy("title"), "description_key": tidy("description"), "covered": share}).drop("text")
+    known = written(known, "snapshots")  # narrow: html and text are read once
     audited = known.filter(c("status").between(200, 299))
     for key, name, counts in (("title_key", "same_titles", c("title_key") != ""), ("description_key", "same_descriptions", c("description_key") != ""), ("content_hash", "same_contents", c("n_words") >= 20)):
         same = audited.filter(counts).groupBy(F.col(key).alias("_key")).agg(F.count("*").alias(name)).filter(c(name) > 1)
@@ -212,7 +279,18 @@ advances AS (SELECT title, sum(coalesce(w, {T.OTHER})) AS w FROM glyphs LEFT JOI
 pixels AS (SELECT t.title, floor((coalesce(a.w, 0) + {kerning}) * 10 + 0.5 + 1e-9) / 10 AS pixels FROM titles t LEFT JOIN advances a USING (title))"""
 
 
-_SNAPSHOTS = CRAWL + ", snap AS (SELECT *, " + ", ".join(f"{sql} AS {name}" for name, sql in FACTS.items() if name != "top_query") + f", {FACTS['top_query']} AS top_query FROM pages_c), " + _advance_sql("snap")
+_SIZED = f"sized AS (SELECT page_id, strlen({HTML}) AS html_bytes FROM (SELECT *, {_H1} AS h1 FROM (SELECT *, {_L} AS l FROM pages)))"
+_SNAPSHOTS = (
+    CRAWL
+    + f""", {_SIZED}, said AS (SELECT p.* EXCLUDE (html_bytes, canonical, """
+    + ", ".join(k for k in SAID if k in ("title", "description", "n_h1", "lang", "viewport", "og_title", "og_image", "twitter_card", "json_ld"))
+    + "), sized.html_bytes, "
+    + ", ".join(f"{sql} AS {name}" for name, sql in SAID.items())
+    + " FROM pages_c p JOIN sized USING (page_id)), snap AS (SELECT *, "
+    + ", ".join(f"{sql} AS {name}" for name, sql in FACTS.items())
+    + " FROM said), "
+    + _advance_sql("snap")
+)
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in COVERAGE_STOPWORDS) + "]"
 _FINDINGS = (
@@ -230,7 +308,7 @@ k3 AS (SELECT *, ok AND NOT status_only AND hops = 0 AND final_url = url AS page
   list_distinct(list_filter(regexp_split_to_array(lower(top_query), '[^a-z0-9]+'), lambda t: length(t) > 2 AND NOT list_contains(STOPWORDS, t))) AS terms, lower(concat_ws(' ', title, description, text)) AS shown,
   target <> '' AND regexp_replace(target, '#.*$', '') <> regexp_replace(final_url, '#.*$', '') AS other FROM k2),
 found AS (SELECT page_id, url, unnest(list_filter([
-  CASE WHEN status = 0 THEN 'connection_error' END, CASE WHEN answered AND status >= 500 THEN 'server_error' END, CASE WHEN answered AND status BETWEEN 400 AND 499 THEN 'client_error' END,
+  CASE WHEN status = 0 THEN 'connection_error' END, CASE WHEN status > 0 AND blocked THEN 'crawler_access_blocked' END, CASE WHEN answered AND status >= 500 THEN 'server_error' END, CASE WHEN answered AND status BETWEEN 400 AND 499 THEN 'client_error' END,
   CASE WHEN answered AND inlinks > 0 AND (status >= 500 OR status IN (404, 410)) THEN 'broken_internal_link' END, CASE WHEN answered AND (status BETWEEN 300 AND 399 OR (audited AND (hops > 0 OR final_url <> url))) THEN 'redirected_url' END,
   CASE WHEN ok AND hops > 1 THEN 'redirect_chain' END, CASE WHEN ok AND response_ms > 2000 THEN 'slow_response' END, CASE WHEN page AND login_form THEN 'soft_authentication_gate' END, CASE WHEN page AND soft_missing THEN 'soft_404' END,
   CASE WHEN page AND shell THEN 'client_rendered_content' END, CASE WHEN page AND NOT shell AND indexable AND n_words < 10 THEN 'near_empty_content' END, CASE WHEN page AND html_bytes > 2097152 THEN 'large_html' END,
@@ -263,6 +341,43 @@ def page_rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(spark, sf_dir).select("page_id", "rule")
 
 
+_RULE = "rule string, category string, severity string, kind string"
+_SEVERITY = "CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END"
+
+
+def ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings with what their rules say."""
+    return found(spark, sf_dir).join(F.broadcast(spark.createDataFrame(RULES, _RULE)), "rule")  # the table above
+
+
+@report("audit_issues", f"WITH {_FINDINGS}, {RULES_SQL} SELECT page_id, rule, category, severity, kind FROM found JOIN rules USING (rule)")
+def audit_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ruled(spark, sf_dir).drop("url")
+
+
+@report("issue_groups", f"WITH {_FINDINGS}, {RULES_SQL} SELECT rule, category, severity, kind, count(*) AS n, list_sort(list(DISTINCT url))[1:10] AS samples FROM found JOIN rules USING (rule) GROUP BY 1, 2, 3, 4")
+def issue_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = written(ruled(spark, sf_dir), "findings")
+    return with_first(rows.groupBy("rule", "category", "severity", "kind").agg(F.count("*").alias("n")), rows, ["rule"], "url", 10, "samples")
+
+
+@report("affected_urls", f"WITH {_FINDINGS}, {RULES_SQL} SELECT url, page_id, rule, severity FROM found JOIN rules USING (rule) WHERE kind = 'fix' ORDER BY {_SEVERITY} DESC, url, page_id, rule LIMIT 100")
+def affected_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ruled(spark, sf_dir).filter("kind = 'fix'").select("url", "page_id", "rule", "severity")
+    return rows.orderBy(F.desc(F.expr(_SEVERITY)), "url", "page_id", "rule").limit(100)
+
+
+@report(
+    "top_fixes",
+    f"""WITH {_FINDINGS}, {RULES_SQL}, g AS (SELECT rule, severity, count(*) AS n FROM found JOIN rules USING (rule) WHERE kind = 'fix' GROUP BY 1, 2)
+    SELECT rule, severity, n, 1000 * {_SEVERITY} + n * 5 AS score FROM g ORDER BY score DESC, severity, n DESC, rule LIMIT 10""",
+)
+def top_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules to fix first, by severity and reach."""
+    g = ruled(spark, sf_dir).filter("kind = 'fix'").groupBy("rule", "severity").agg(F.count("*").alias("n"))
+    return g.withColumn("score", 1000 * F.expr(_SEVERITY) + F.col("n") * 5).orderBy(F.desc("score"), "severity", F.desc("n"), "rule").limit(10)
+
+
 @report("rule_guidance", f"WITH {_FINDINGS}, {RULES_SQL} SELECT r.rule, category, severity, kind, count(f.page_id) AS n_pages FROM rules r LEFT JOIN found f ON f.rule = r.rule GROUP BY 1, 2, 3, 4")
 def rule_guidance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules, those that no page breaks too, with what they say and how many pages they concern."""
@@ -285,9 +400,9 @@ def filtered_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(spark, sf_dir).filter(url_like(F.col("url"), "example.com*/en/")).join(F.broadcast(rules), "rule").select("page_id", "rule", "severity")  # the table above
 
 
-@report("title_widths", f"WITH {_SNAPSHOTS} SELECT page_id, pixels, CASE WHEN pixels > 580 THEN 'over-reference' WHEN pixels >= 550 THEN 'near-reference' ELSE 'within-reference' END AS status FROM pages_c JOIN pixels USING (title)")
+@report("title_widths", f"WITH {_SNAPSHOTS} SELECT page_id, pixels, CASE WHEN pixels > 580 THEN 'over-reference' WHEN pixels >= 550 THEN 'near-reference' ELSE 'within-reference' END AS status FROM snap JOIN pixels USING (title)")
 def title_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = crawl_pages(table(spark, sf_dir, "pages")).select("page_id", T.title_pixels(F.col("title")).alias("pixels"))
+    pages = page_snapshots(table(spark, sf_dir, "pages")).select("page_id", T.title_pixels(F.col("title")).alias("pixels"))
     return pages.select("page_id", "pixels", T.title_status(F.col("pixels")).alias("status"))
 
 
@@ -308,8 +423,6 @@ def fix_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 @report("access_blocks", f"WITH {_SNAPSHOTS}, b AS (SELECT url, page_id % 3 AS provider FROM snap WHERE blocked) SELECT provider, count(*) AS n, list_sort(list(DISTINCT url))[1:10] AS samples FROM b GROUP BY 1")
 def access_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocked requests by provider, with the first ten urls of each."""
-    from ..operators.samples import with_first
-
     rows = table(spark, sf_dir, "pages").filter(F.expr(FACTS["blocked"])).select("url", (F.col("page_id") % 3).alias("provider"))
     return with_first(rows.groupBy("provider").agg(F.count("*").alias("n")), rows, ["provider"], "url", 10, "samples")
 
@@ -329,9 +442,9 @@ def first_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def geo_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What keeps valuable pages out of generated answers: kinds of gaps from the rules that they break."""
-    snapshots = page_snapshots(table(spark, sf_dir, "pages"))
+    snapshots = written(page_snapshots(table(spark, sf_dir, "pages")), "pages")
     valuable = snapshots.filter((F.col("clicks") > 0) | (F.col("impressions") >= 100) | (F.col("sessions") >= 25)).filter("indexable").select("page_id")
-    rows = found(spark, sf_dir)
+    rows = findings(snapshots)
     gap = F.when(F.col("rule").isin("structured_data_missing", "jsonld_invalid"), "structured-data").when(F.col("rule").isin("robots_blocked", "noindex"), "access")
     gap = gap.when(F.col("rule").isin("query_coverage_missing", "missing_meta_description"), "answers").when(F.col("rule").isin("orphan_page", "weak_internal_links_to_valuable_page"), "discovery")
     named = rows.select("page_id", gap.alias("gap")).filter("gap is not null").join(valuable, "page_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import structured
 from ..functions import text as T
 from ..functions.columns import path_parts, url_signature
+from ..functions.html import extracted
 from ..operators.benchmark import leave_group_out
 from ..sources.views import QUERY_PAGE, SEARCH_ROWS, query_page, query_page_table, search_rows, table
 
@@ -297,3 +298,48 @@ def entity_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = sum(item[k].isNotNull().cast("int") for k in ("name", "url", "logo")) + (profiles >= 2).cast("int")
     best = rows.groupBy("page_id").agg(F.max(met).alias("met"))
     return best.withColumn("status", F.when(F.col("met") == 4, "ready").when(F.col("met") >= 2, "partial").otherwise("weak"))
+
+
+# --- items of any format, at any depth ---------------------------------------------------------------------------------------------------
+
+#: A page's items as a fixture, by the remainder of its number: html, and (format, path, types, name, same_as) of its items.
+_ITEM_PAGES = [
+    (
+        """<script type="application/ld+json">{"@context":{"@vocab":"https://schema.org/","s":"http://schema.org/"},"@graph":[{"@type":"s:Organization","name":"O","sameAs":["https://a.test/1","not a link","http://b.test"],"founder":{"@type":["Person","x:y"],"name":"F","sameAs":"https://a.test/2"}},{"name":"untyped"}]}</script>""",
+        [("json-ld", "$.@graph[0]", "Organization", "O", ["https://a.test/1", "http://b.test"]), ("json-ld", "$.@graph[0].founder", "Person", "F", ["https://a.test/2"])],
+    ),
+    (
+        """<DIV itemscope ITEMTYPE="https://schema.org/Product https://other.test/T"><h2 itemprop="name">A <i>B</i></h2><link itemprop=sameAs href="https://a.test/3"><p itemprop="offers" itemscope itemtype=http://schema.org/Offer><meta itemprop="name" content="N &amp; M"><br></p><span itemprop="brand">after</span></div>""",
+        [("microdata", "$microdata[0]", "Product", "A B", ["https://a.test/3"]), ("microdata", "$microdata[0].offers[0]", "Offer", "N & M", [])],
+    ),
+    (
+        """<section prefix="sc: https://schema.org/ o: https://other.test/"><div typeof="sc:Event o:Thing" resource="#e"><b property="name">E</b><a property="sameAs" href=https://a.test/4>x</a></div></section><ul vocab="http://schema.org/"><li typeof=Person><i property=name>P<li typeof=Place></ul>""",
+        [("rdfa", "$rdfa[0]", "Event", "E", ["https://a.test/4"]), ("rdfa", "$rdfa[1]", "Person", "P", []), ("rdfa", "$rdfa[2]", "Place", None, [])],
+    ),
+    ("""<!-- <div itemscope itemtype="https://schema.org/Thing"> --><script>var x = "<div itemscope>";</script><div itemscope></div>""", [("microdata", "$microdata[0]", "", None, [])]),
+    ("""<script type="application/ld+json">{"@type": "Thing", </script>""", []),
+]
+_ITEMS_OF = "p AS (SELECT page_id, page_id % 5 AS k FROM pages), items(k, format, path, types, name, same_as) AS (VALUES " + ", ".join(
+    f"({k}, '{form}', '{path}', '{types}', {'NULL' if name is None else chr(39) + name + chr(39)}, {links}::VARCHAR[])" for k, (_, found) in enumerate(_ITEM_PAGES) for form, path, types, name, links in found
+) + ")"
+
+
+def page_items_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id and each item of the page."""
+    made = F.element_at(F.array(*[F.lit(html) for html, _ in _ITEM_PAGES]), (F.col("page_id") % 5 + 1).cast("int"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.replace("html", F.lit("<article>"), F.concat(made, F.lit("<article>"))).alias("html"))
+    return extracted(pages, "page_id").select("page_id", F.explode("items").alias("i")).select("page_id", "i.*")
+
+
+@report("page_items", f"WITH {_ITEMS_OF} SELECT page_id, format, path, types, name FROM p JOIN items USING (k)")
+def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of the pages as JSON-LD, microdata and RDFa, nested ones too, with where they stand."""
+    return page_items_table(spark, sf_dir).select("page_id", "format", "path", F.array_join("types", ",").alias("types"), F.col("props")["name"].alias("name"))
+
+
+@report("same_as_links", f"WITH {_ITEMS_OF} SELECT page_id, concat(path, '.sameAs') AS path, types, unnest(same_as) AS url FROM p JOIN items USING (k)")
+def same_as_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which addresses the typed items say they are the same as."""
+    rows = page_items_table(spark, sf_dir).filter(F.size("types") > 0)
+    each = rows.select("page_id", F.concat("path", F.lit(".sameAs")).alias("path"), F.array_join("types", ",").alias("types"), F.explode("same_as").alias("url"))
+    return each.filter(F.col("url").rlike(r"(?i)^https?://[^/\s]+"))

@@ -27,7 +27,8 @@ def good(spark):
 CASES = [
     ({}, []),
     ({"status": 0, "title": ""}, ["connection_error"]),
-    ({"blocked": True, "status": 503}, []),
+    ({"blocked": True, "status": 503}, ["crawler_access_blocked"]),
+    ({"blocked": True, "status": 0}, ["connection_error"]),
     ({"status": 503}, ["broken_internal_link", "server_error"]),
     ({"status": 404, "inlinks": 0}, ["client_error"]),
     ({"status": 403}, ["client_error"]),
