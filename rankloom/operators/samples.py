@@ -1,22 +1,28 @@
-"""The first few values of each group, however large it is."""
+"""The first few rows or values of each group, however large it is."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Parts that a group's values are dealt to before the first of all parts are compared.
+#: Parts that a group's rows are dealt to before the first of all parts are compared.
 PARTS = 64
 
 
+def first_rows(rows: DataFrame, keys: list[str], order: list[Column], k: int, name: str) -> DataFrame:
+    """The first k rows of each group in an order that is total within it, with their place as name. Null keys are groups too."""
+    kept = rows.withColumn("_part", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if c not in keys]), F.lit(PARTS)))
+    for by in ([*keys, "_part"], keys):
+        kept = kept.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col(name) <= k)
+    return kept.drop("_part")
+
+
 def with_first(groups: DataFrame, rows: DataFrame, keys: list[str], value: str, k: int, name: str) -> DataFrame:
     """groups with the k least distinct values of each, in order, as the array name; null values don't count."""
-    kept = rows.filter(F.col(value).isNotNull()).select(*[F.col(c).alias(f"{c}_of") for c in keys], F.col(value).alias("value")).distinct().withColumn("part", F.pmod(F.xxhash64("value"), F.lit(PARTS)))
+    named = rows.filter(F.col(value).isNotNull()).select(*[F.col(c).alias(f"{c}_of") for c in keys], F.col(value).alias("value")).distinct()
     of = [f"{c}_of" for c in keys]
-    for by in ([*of, "part"], of):
-        kept = kept.withColumn("n", F.row_number().over(W.partitionBy(*by).orderBy("value"))).filter(F.col("n") <= k)
-    first = kept.groupBy(*of).agg(F.array_sort(F.collect_list("value")).alias(name))
+    first = first_rows(named, of, [F.col("value")], k, "n").groupBy(*of).agg(F.array_sort(F.collect_list("value")).alias(name))
     same = [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in keys]
     joined = groups.join(first, same, "left").drop(*of)
     return joined.withColumn(name, F.coalesce(name, F.array().cast("array<string>")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normal_text
 from ..operators.intervals import overlapping
-from ..operators.ranks import ranked
+from ..operators.ranks import ranked, running
+from ..operators.tables import shared_dir, written
+from ..sources.stores import SnapshotStore
 from ..sources.views import ACCESS_LOG, QUERY_PAGE, RANKED, SEARCH_ROWS, query_page, query_page_table, ranked_keywords, search_rows, table
 from .log_reports import crawler_paths
 from .search_reports import _DECAY, _QUICK, _STRIKING, _WINDOWS_OF, decay_rows, quick_win_rows, striking_distance_rows, supplier_windows, windows
@@ -152,11 +155,14 @@ def saved_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT coalesce(n.id, o.id) AS id, coalesce(n.query, o.query) AS query FROM old o FULL OUTER JOIN new n ON n.id = o.id WHERE coalesce(n.id, o.id) % 5 <> 0""",
 )
 def keyword_set_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Insert or replace by key, then delete by key, as joins of tables that are written anew."""
-    items = asked(spark, sf_dir)
-    old, new = items.filter("id % 3 <> 0"), items.filter("id % 2 = 0").withColumn("query", F.concat("query", F.lit(" new")))
-    gone = items.filter("id % 5 = 0").select("id")
-    return old.join(new.select("id"), "id", "left_anti").unionByName(new).join(gone, "id", "left_anti")
+    """Insert or replace by key, then delete by key, as runs of a store that is read afterwards; the first run is written twice."""
+    items = asked(spark, sf_dir).select("id", "query")
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/keywords-{uuid.uuid4().hex}", "id long, query string", ["id"])
+    for _ in range(2):
+        store.append("1", items.filter("id % 3 <> 0"))
+    store.append("2", items.filter("id % 2 = 0").withColumn("query", F.concat("query", F.lit(" new"))))
+    store.delete("3", items.filter("id % 5 = 0"))
+    return store.latest()
 
 
 @report(
@@ -343,15 +349,10 @@ MOST_CSV_ROWS, MOST_CSV_BYTES = 25_000, 8_000
     SELECT family, path, requests, bytes, total - (SELECT count(*) FROM k) AS omitted FROM k""",
 )
 def log_csv_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rows of the crawler totals that fit a file's budget of rows and bytes, and how many don't.
-
-    No more rows than the budget has are ever put in order at one place.
-    """
+    """The first rows of the crawler totals that fit a file's budget of rows and bytes, and how many don't."""
     g = crawler_paths(spark, sf_dir).select("family", "path", "requests")
     line = F.concat_ws(",", "family", "path", F.col("requests").cast("string"))
-    order = [F.desc("requests"), F.col("family"), F.col("path")]
-    first = g.withColumn("bytes", F.octet_length(line) + 1).orderBy(*order).limit(MOST_CSV_ROWS)
-    used = F.sum("bytes").over(W.partitionBy(F.lit(1)).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    kept = first.withColumn("used", used).filter(F.col("used") <= MOST_CSV_BYTES).drop("used")
-    omitted = g.agg(F.count("*").alias("total")).join(F.broadcast(kept.agg(F.count("*").alias("n")))).select((F.col("total") - F.col("n")).alias("omitted"))  # one row each
-    return kept.join(F.broadcast(omitted))
+    sized = written(g.withColumn("bytes", F.octet_length(line) + 1), "log-totals")
+    first = running(sized, [], [F.desc("requests"), F.col("family"), F.col("path")], place="n", sums={"used": F.col("bytes")})
+    kept = written(first.filter((F.col("n") <= MOST_CSV_ROWS) & (F.col("used") <= MOST_CSV_BYTES)).drop("n", "used"), "log-csv")
+    return kept.withColumn("omitted", F.lit(sized.count() - kept.count()))

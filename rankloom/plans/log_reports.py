@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import crawler_category, crawler_family, status_class
 from ..operators.rule_joins import domains_above, most_specific_property
+from ..operators.samples import first_rows
+from ..operators.tables import shared_dir
+from ..sources.stores import RUN, SnapshotStore
 from ..sources.views import ACCESS_LOG, RANKED, SEARCH_ROWS, SNAPSHOTS, access_log, parse_log, ranked_keywords, search_rows, snapshots, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -107,10 +112,31 @@ def latest_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five newest inspections of a URL, and the newest that succeeded."""
-    newest = lambda *by: W.partitionBy(*by).orderBy(F.desc("inspected_at"), F.desc("inspection_id"))
-    rows = snapshots(spark, sf_dir).withColumn("failed", F.col("verdict").isNull())
-    rows = rows.withColumn("n", F.row_number().over(newest("url"))).withColumn("m", F.row_number().over(newest("url", "failed")))
-    return rows.filter((F.col("n") <= 5) | ((F.col("m") == 1) & ~F.col("failed"))).select("url", "inspection_id")
+    rows, newest = snapshots(spark, sf_dir), [F.desc("inspected_at"), F.desc("inspection_id")]
+    kept = first_rows(rows, ["url"], newest, 5, "n").union(first_rows(rows.filter("verdict IS NOT NULL"), ["url"], newest, 1, "n"))
+    return kept.select("url", "inspection_id").distinct()
+
+
+@report(
+    "snapshot_store",
+    f"""WITH {SNAPSHOTS}, d AS (SELECT s.*, CASE WHEN inspected_at < TIMESTAMP '2024-01-11' THEN 1 WHEN inspected_at < TIMESTAMP '2024-01-21' THEN 2 ELSE 4 END AS run FROM snapshots s),
+    kept AS (SELECT * FROM d WHERE run > 3 OR NOT ends_with(url, '7')),
+    r AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY inspected_at DESC, inspection_id DESC) AS n, row_number() OVER (PARTITION BY url, verdict IS NULL ORDER BY inspected_at DESC, inspection_id DESC) AS m FROM kept)
+    SELECT url, inspection_id, verdict, concat('run-', run) AS run FROM r WHERE n <= 2 OR (m = 1 AND verdict IS NOT NULL)""",
+)
+def snapshot_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inspections written as runs, one of them twice, some URLs deleted between runs, then compacted, then read."""
+    rows = snapshots(spark, sf_dir)
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/inspections-{uuid.uuid4().hex}", rows.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), ["url"])
+    day = lambda d: F.lit(f"2024-01-{d}").cast("timestamp_ntz")
+    first, second, last = rows.filter(F.col("inspected_at") < day(11)), rows.filter((F.col("inspected_at") >= day(11)) & (F.col("inspected_at") < day(21))), rows.filter(F.col("inspected_at") >= day(21))
+    store.append("run-1", first)
+    store.append("run-2", last)  # a run that went wrong
+    store.append("run-2", second)
+    store.delete("run-3", rows.filter(F.col("url").endswith("7")).select("url"))
+    store.append("run-4", last)
+    store.retain([F.desc("inspected_at"), F.desc("inspection_id")], 2, F.col("verdict").isNotNull())
+    return store.rows().select("url", "inspection_id", "verdict", F.col(RUN).alias("run"))
 
 
 @report(

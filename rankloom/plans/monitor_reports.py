@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import query_intent, url_path
+from ..operators.ranks import running
+from ..operators.samples import first_rows
 from ..sources.views import QUERY_PAGE, SNAPSHOTS, query_page, snapshots, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -102,10 +104,29 @@ def property_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def history_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest rows of a key, up to a number of rows and of bytes."""
-    newest = W.partitionBy("user_id").orderBy(F.desc("event_id"))
     e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.octet_length("props") + 1000).alias("bytes"))
-    r = e.withColumn("n", F.row_number().over(newest)).withColumn("used", F.sum("bytes").over(newest.rowsBetween(W.unboundedPreceding, 0)))
-    return r.filter("n <= 20 AND used <= 15200").select("user_id", "event_id")
+    first = first_rows(e, ["user_id"], [F.desc("event_id")], 20, "n")  # the rest of a key can't stay, whatever its bytes
+    used = F.sum("bytes").over(W.partitionBy("user_id").orderBy("n").rowsBetween(W.unboundedPreceding, 0))
+    return first.withColumn("used", used).filter("used <= 15200").select("user_id", "event_id")
+
+
+#: Rows that a key and all keys may keep, and bytes of all.
+KEY_ROWS, ALL_ROWS, ALL_BYTES = 15, 4000, 3_500_000
+
+
+@report(
+    "global_retention",
+    f"""WITH e AS (SELECT user_id, event_id, ts, octet_length(encode(props)) + 1000 AS bytes FROM events),
+    r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS key_rank, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS total_rank, sum(bytes) OVER (ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM e)
+    SELECT user_id, event_id, key_rank, total_rank, used FROM r WHERE key_rank <= {KEY_ROWS} AND total_rank <= {ALL_ROWS} AND used <= {ALL_BYTES}""",
+)
+def global_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest rows of each key that are also among the newest of all, within a budget of bytes."""
+    newest = [F.desc("ts"), F.desc("event_id")]
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", (F.octet_length("props") + 1000).cast("long").alias("bytes"))
+    kept = running(e, [], newest, place="total_rank", sums={"used": F.col("bytes")}).filter((F.col("total_rank") <= ALL_ROWS) & (F.col("used") <= ALL_BYTES))
+    # a key's newest rows of all are its newest among these
+    return first_rows(kept, ["user_id"], newest, KEY_ROWS, "key_rank").select("user_id", "event_id", "key_rank", "total_rank", "used")
 
 
 @report(
