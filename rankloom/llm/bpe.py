@@ -134,17 +134,54 @@ def _byte_symbols() -> list[str]:
     return table
 
 
+#: The settings for which _PIECE and lower() do the same as the library on Latin texts; other files go through the library's own.
+_LATIN_SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def check_settings(parsed: dict) -> None:
+    """Raises ValueError for files of other kinds of models than the trie encodes."""
+    model = parsed["model"]
+    want = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": END, "byte_fallback": False, "ignore_merges": False}
+    if other := {k: model[k] for k, v in want.items() if (model.get(k) or None) != (v or None)}:
+        raise ValueError(f"only BPE models with word ends {END} and plain merges are encoded; this file has {other}")
+    before = parsed.get("pre_tokenizer") or {}
+    last = before["pretokenizers"][-1] if before.get("type") == "Sequence" and before["pretokenizers"] else before
+    if last.get("type") != "ByteLevel":
+        raise ValueError("only files whose words end up as byte symbols (ByteLevel) are encoded")
+    if odd := [t["content"] for t in parsed.get("added_tokens") or [] if t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized")]:
+        raise ValueError(f"added tokens that are matched in other ways than as they stand: {odd}")
+
+
 class Encoder:
-    """Texts to ids and back, as the tokenizer file describes; word encodings come from a trie."""
+    """Texts to ids and back, as the tokenizer file describes; word encodings come from a trie.
+
+    Files with another normaliser, splitting of words or decoder than _LATIN_SETTINGS are read through the library's; models that the
+    trie doesn't stand for raise ValueError.
+    """
 
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
 
         parsed = json.loads(spec)
-        library = Tokenizer.from_str(spec)  # for its normaliser and its splitting of words only
-        self.normalize, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        check_settings(parsed)
+        library = Tokenizer.from_str(spec)  # for its normaliser, its splitting of words and its decoder only
+        self.normalize = library.normalizer.normalize_str if parsed.get("normalizer") else str
+        self.split = library.pre_tokenizer.pre_tokenize_str
+        self.latin = all(parsed.get(k) == v for k, v in _LATIN_SETTINGS.items())
+        self.decoder = library if parsed.get("decoder") else None
         model = parsed["model"]
-        self.added = {t["content"]: t["id"] for t in parsed["added_tokens"]}
+        self.added = {t["content"]: t["id"] for t in parsed.get("added_tokens") or []}
+        #: Of added tokens that begin at the same place the longest counts.
+        self.find_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.trie = WordTrie(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
         names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.added.items()}
         self.names = [names.get(i) for i in range(max(names) + 1)]
@@ -155,11 +192,11 @@ class Encoder:
 
     def _pieces(self, text: str) -> list[tuple[str, bool]]:
         """(piece, whether it is an added token), in order."""
-        pieces = [(text, False)]
-        for token in self.added:
-            if token in text:
-                pieces = [(p, j % 2 == 1) if not done else (piece, True) for piece, done in pieces for j, p in enumerate([piece] if done else _alternate(piece, token))]
-        return [x for x in pieces if x[0]]
+        pieces, at = [], 0
+        for m in self.find_added.finditer(text) if self.find_added else ():
+            pieces += [(text[at : m.start()], False), (m[0], True)]
+            at = m.end()
+        return [x for x in [*pieces, (text[at:], False)] if x[0]]
 
     def _learn(self, words: set[str], mapped: set[str]) -> None:
         """Adds the encodings of pieces that aren't known yet."""
@@ -179,7 +216,7 @@ class Encoder:
             for piece, added in self._pieces(text):
                 if added:
                     pieces.append((None, [piece]))
-                elif _OTHER.search(piece):
+                elif not self.latin or _OTHER.search(piece):
                     pieces.append((self.mapped, [p for p, _ in self.split(self.normalize(piece))]))
                 else:
                     pieces.append((self.words, _PIECE.findall(piece.lower())))
@@ -196,18 +233,12 @@ class Encoder:
         return [b"".join([struct.pack("<I", self.added[found[0]]) if known is None else b"".join(map(known.__getitem__, found)) for known, found in pieces]) for pieces in parts]
 
     def decode(self, ids: bytes) -> str:
-        """Token strings joined by spaces: the file names no decoder."""
+        """Token strings joined by spaces where the file names no decoder."""
+        if self.decoder is not None:
+            return self.decoder.decode(memoryview(ids).cast("I").tolist() if ids else [], skip_special_tokens=False)
         return " ".join(map(self.names.__getitem__, memoryview(ids).cast("I") if ids else ()))
 
 
-def _alternate(piece: str, token: str) -> list[str]:
-    """The piece cut at every token, with the tokens between."""
-    out = []
-    for i, part in enumerate(piece.split(token)):
-        out += [token, part] if i else [part]
-    return out
-
-
 #: Rows whose words are looked up together.
 ROWS = 1024
 
@@ -217,11 +248,13 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
     The tokenizer file is read on the driver and broadcast; its size doesn't grow with the data. Null and empty texts have no ids and
     decode to the empty text. Repeated rows are encoded each; an empty table gives no rows; other columns are ignored. A byte for which
-    the file has no token raises ValueError. The encoder lives as long as its task.
+    the file has no token, and a file of another kind of model (check_settings), raises ValueError. The encoder lives as long as its task.
     """
     sc = docs.sparkSession.sparkContext
     with open(tokenizer_path, encoding="utf-8") as f:
-        spec = sc.broadcast(f.read())
+        text = f.read()
+    check_settings(json.loads(text))
+    spec = sc.broadcast(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(spec.value)

@@ -14,6 +14,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -246,9 +247,8 @@ LEAKS = "doc_id long, item_id long, score double, start_word int, end_word int,
 _LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int32()), ("end_word", pa.int32()), ("n_seeds", pa.int32())])
 
 
-def _aligned(docs: DataFrame, items: list[tuple[int, str]], least_score: float) -> DataFrame:
-    """A row for each stretch of a document whose alignment with an item reaches least_score."""
-    sent = docs.sparkSession.sparkContext.broadcast([(i, words_of(t)) for i, t in items])
+def _aligned(docs: DataFrame, sent: Broadcast, least_score: float) -> DataFrame:
+    """A row for each stretch of a document whose alignment with an item, of those sent (id, words), reaches least_score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(sent.value, least_score)
@@ -280,10 +280,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST
     fails. Of equal scores the first place counts. Empty tables give no rows; other columns are ignored.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
-    out = None
-    for block in _blocks(items):
+    out, blocks = None, _blocks(items)
+    for block in blocks:
         listed = [(r["item_id"], r["text"]) for r in block.distinct().collect()]
-        found = _aligned(docs, listed, least_score)
+        sent = docs.sparkSession.sparkContext.broadcast([(i, words_of(t)) for i, t in listed])
+        found = _aligned(docs, sent, least_score)
+        if len(blocks) > 1:  # one block at a time is held, whatever the benchmark's size
+            found = materialize(found, "aligned")
+            sent.destroy()
         out = found if out is None else out.union(found)
     place = F.max_by(F.struct("start_word", "end_word", "n_seeds"), F.struct("score", -F.col("start_word"))).alias("place")
     return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), place).select("doc_id", "item_id", "score", "place.*")

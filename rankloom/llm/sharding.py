@@ -71,6 +71,8 @@ def bounded_load_shards(docs: DataFrame, n_shards: int = 8, virtual_nodes: int =
     others. Rows of an arc are ranked by the hash of their key, then by id, checksum and size: rows that tie are the same, so the order
     of the input doesn't matter. An empty table gives no rows; other columns are ignored.
     """
+    if load_factor < 1:
+        raise ValueError("shards that take less than their even share can't hold all rows")
     spark = docs.sparkSession
     nodes = ring(n_shards, virtual_nodes)
     positions, owners = [p for p, _ in nodes], [s for _, s in nodes]

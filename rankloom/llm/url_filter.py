@@ -104,9 +104,12 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, id_col: str =
     repeated rows don't count twice. Empty tables give no rows; other columns are ignored.
     """
     named = pages.select(F.col(id_col).alias("page_id"), "key", host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    worst = outcomes.filter("key is not null").groupBy("key").agg(F.max("bad").alias("bad"))
+    worst = outcomes.filter("key is not null").groupBy("key").agg(F.max("bad").alias("bad"), F.lit(0).alias("spread"))
+    # pages without a key meet no outcome; dealt out, they don't meet each other in one task either
+    spread = F.when(F.col("key").isNull(), F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(1 << 16)).cast("int")).otherwise(0)
+    judged = named.withColumn("spread", spread).join(worst, ["key", "spread"], "left")
     # written first, so that a host with many pages doesn't have to meet its reputation in one task
-    known = materialize(reputations(named.join(worst, "key", "left").select("host", "bad")), "reputations")
+    known = materialize(reputations(judged.select("host", "bad")), "reputations")
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     learned = F.when(F.col("low") > MOST_BAD, "block").otherwise("allow")
     return named.join(known.select("host", "rate", "low"), "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(said, learned).alias("verdict"), "rate", "low")
