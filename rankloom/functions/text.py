@@ -1,43 +1,21 @@
-"""Text columns: folding, pattern terms, title widths, word counts, hashes. All of them stay in the JVM."""
+"""Text columns: folding, pattern terms, title widths, word counts, hashes. All but compatibility forms stay in the JVM."""
 
 from __future__ import annotations
 
 import unicodedata
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# --- folding ---------------------------------------------------------------------------------------------------------------------------
-
-
-def _folding(last: int) -> dict[str, str]:
-    """Characters up to U+`last` whose compatibility form, without its marks, is one other character."""
-    table = {}
-    for code in range(0x80, last):
-        char = chr(code)
-        plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
-        if len(plain) == 1 and plain != char:
-            table[char] = plain
-    return table
-
-
-#: Latin, Greek and Cyrillic letters with marks, and the full-width forms.
-FOLDING = _folding(0x2000) | {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}
-#: Compatibility forms of several letters.
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "Ĳ": "IJ", "ĳ": "ij", "…": "..."}
+from .unicode import characters, graphemes, nfkd, tidy, without_diacritics
 
-
-def fold(text: Column) -> Column:
-    """Without diacritics and compatibility forms: one character for another, then ligatures and loose marks."""
-    plain = F.translate(text, "".join(FOLDING), "".join(FOLDING.values()))
-    plain = reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), F.lit(kv[1])), LIGATURES.items(), plain)
-    return F.regexp_replace(plain, r"\p{M}+", "")
+# --- folding ---------------------------------------------------------------------------------------------------------------------------
 
 
 def normal_text(text: Column) -> Column:
-    """Folded, with straight apostrophes, in lower case, runs of white space as one space, trimmed; null stays null."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(fold(text), "‘’", "''")), r"\s+", " "))
+    """Compatibility parts without diacritics, with straight apostrophes, in lower case, white space as one space; null stays null."""
+    return tidy(F.lower(F.translate(without_diacritics(nfkd(text)), "‘’", "''")))
 
 
 def link_text(text: Column) -> Column:
@@ -113,31 +91,52 @@ ADVANCES = {
 KERNING = {"AV": -1.5, "VA": -1.5, "AW": -0.7, "WA": -0.7, "To": -2.2, "Ta": -2.2, "Te": -2.2, "Ty": -1.1, "Yo": -1.8, "LT": -1.5, "FA": -1.1, "PA": -1.5, "We": -0.4}
 TITLE_PIXELS, NEAR_PIXELS, WIDE, PICTURE, OTHER = 580, 30, 20.0, 23.0, 11.1
 CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
-PICTOGRAPHS = r"[\x{2600}-\x{27BF}\x{1F000}-\x{1FAFF}]"
+#: What stands for a character that has no advance of its own: a picture, a wide one, another Latin letter, any other.
+_PICTURE, _WIDE, _LATIN, _OTHER = "\ue000", "\ue001", "\ue002", "\ue003"
+
+
+@cache
+def _latin_bases() -> dict[str, str]:
+    """Latin letters with marks, and the plain letters below the marks."""
+    parts = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in range(0xC0, 0x2C00)}
+    return {c: d[0] for c, d in parts.items() if len(d) > 1 and d[0].isascii() and d[0].isalpha() and all(unicodedata.combining(x) for x in d[1:])}
+
+
+def title_shapes(title: Column) -> Column:
+    """A title with one character for each that a reader sees: itself where its advance is known, a letter for the same letter with
+    marks, else a stand-in for its kind. Loose marks and invisible characters have none."""
+    latin, known = _latin_bases(), "".join(ADVANCES.values())
+
+    def shape(g: Column) -> Column:
+        letter = F.translate(F.regexp_replace(g, r"\p{M}+", ""), "".join(latin), "".join(latin.values()))
+        picture = g.rlike(f"[{characters(r'[\p{Extended_Pictographic}\p{Emoji_Presentation}\p{Regional_Indicator}\u20e3]')}]")
+        return (
+            F.when((F.length(g) == 1) & F.lit(known).contains(g), g).when(g.rlike(r"^[\p{M}\p{Cf}]+$"), "").when(letter.rlike("^[A-Za-z]$"), letter).when(picture, _PICTURE).when(g.rlike(rf"^(?:{CJK}|\p{{M}})+$"), _WIDE)
+            .when(g.rlike(r"^\p{IsLatin}\p{M}*$"), _LATIN).otherwise(_OTHER)
+        )
+
+    return F.array_join(F.transform(graphemes(tidy(title)), shape), "")
 
 
 def title_pixels(title: Column) -> Column:
-    """The estimated width of a title in a result list, to a tenth of a pixel.
-
-    Characters of each advance are counted at once; letters with marks count as their letters, Chinese, Japanese and Korean characters and
-    pictographs as wide ones, others as a digit. A character of several code points counts each of them but for marks.
-    """
-    plain = F.regexp_replace(F.trim(F.regexp_replace(title, r"\s+", " ")), r"[\p{M}\p{Cf}]+", "")
-    latin = {c: p for c, p in FOLDING.items() if ord(c) < 0x250 and p.isascii()}
-    base = F.translate(plain, "".join(latin), "".join(latin.values()))
-    size = F.length(base)
-    number = lambda without: size - F.length(without)
-    known, total = F.lit(0), F.lit(0.0)
-    for advance, chars in ADVANCES.items():
-        n = number(F.translate(base, chars, ""))
-        known, total = known + n, total + n * advance
-    wide, pictures = number(F.regexp_replace(base, CJK, "")), number(F.regexp_replace(base, PICTOGRAPHS, ""))
-    total = total + wide * WIDE + pictures * PICTURE + (size - known - wide - pictures) * OTHER
+    """The estimated width of a title in a result list, to a tenth of a pixel: advances of what a reader takes for a character, and
+    kerning of the letters next to each other."""
+    base = title_shapes(title)
+    number = lambda without: F.length(base) - F.length(without)
+    total = F.lit(0.0)
+    for advance, chars in [*ADVANCES.items(), (PICTURE, _PICTURE), (WIDE, _WIDE), (OTHER, _LATIN + _OTHER)]:
+        total = total + number(F.translate(base, chars, "")) * advance
     for pair, move in KERNING.items():
         total = total + number(F.replace(base, F.lit(pair), F.lit(""))) / 2 * move
     return F.floor(total * 10 + 0.5 + 1e-9) / 10
 
 
+def title_confidence(title: Column) -> Column:
+    """How sure the width is: low with a character of no known kind, medium with one whose kind alone is known."""
+    shapes = title_shapes(title)
+    return F.when(shapes.contains(_OTHER), "low").when(shapes.rlike(f"[{_PICTURE}{_WIDE}{_LATIN}]"), "medium").otherwise("high")
+
+
 def title_status(pixels: Column) -> Column:
     return F.when(pixels > TITLE_PIXELS, "over-reference").when(pixels >= TITLE_PIXELS - NEAR_PIXELS, "near-reference").otherwise("within-reference")
 
@@ -172,16 +171,6 @@ def redact(url: Column) -> Column:
     return F.regexp_replace(url, SENSITIVE, "$1[redacted]")
 
 
-def http_url(url: Column) -> Column:
-    """An http(s) URL with scheme and host in lower case, a slash for an empty path, and no fragment or default port; null for others."""
-    clean = F.trim(url)
-    scheme, host = F.lower(F.regexp_extract(clean, r"(?i)^(https?)://", 1)), F.lower(F.regexp_extract(clean, r"(?i)^https?://(?:[^/?#@]*@)?([^/?#]+)", 1))
-    bare = F.when(scheme == "http", F.regexp_replace(host, r":80$", "")).otherwise(F.regexp_replace(host, r":443$", ""))
-    rest = F.regexp_extract(clean, r"(?i)^https?://[^/?#]+([^#]*)", 1)
-    path = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
-    return F.when((scheme != "") & (host != "") & ~host.rlike(r"\s"), F.concat(scheme, F.lit("://"), bare, path))
-
-
 # --- kinds of queries ------------------------------------------------------------------------------------------------------------------
 
 #: Kinds in the order in which they are looked for, by words and phrases of the query.

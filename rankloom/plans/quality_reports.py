@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.unicode import graphemes
+from ..functions.urls import http_url
 from ..sources.views import QUERY_PAGE, RANKED, SEARCH_DAILY, SEARCH_ROWS, SNAPSHOTS, query_page, ranked_keywords, search_daily, search_rows, snapshots, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -359,18 +361,42 @@ def name_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.fnv1a(F.col("p_name")).alias("hash"))
 
 
+#: URLs written in other ways, and null for those that aren't http(s): for each remainder of a page's number its form in SQL.
+_WRITTEN = [
+    "upper(regexp_extract(url, '^(https?://[^/?#]*)', 1)) || regexp_extract(url, '^https?://[^/?#]*(.*)$', 1)", "regexp_replace(url, '^(https://[^/?#]*)', '{1}:443')", "concat(url, CASE WHEN contains(url, '#') THEN '' ELSE '#top' END, '&token=abc123')", "concat('ftp', url)",
+    "regexp_replace(url, '^(https?://)([^/?#]*)/', '{1}user:pass@{2}/x/%2E%2e/./y/../')", "replace(url, '://', ':')", "concat('  ', url, chr(10))", "regexp_replace(url, '^(https?)://([^/?#]*)/([a-z]*)/', '{1}:{b}{b}{2}{b}{3}{b}')", "regexp_replace(url, '^(https?://)([^/?#]*)', '{1}0x7f.1')", "regexp_replace(url, '^(https?://)([^/?#]*)', '{1}bücher.{2}')", "replace(url, '.example', '.exa mple')",
+]
+_WRITTEN_DUCK = "CASE page_id % 11 " + " ".join(f"WHEN {i} THEN {w.replace('{1}', chr(92) + '1').replace('{2}', chr(92) + '2').replace('{3}', chr(92) + '3').replace('{b}', chr(92) * 2)}" for i, w in enumerate(_WRITTEN)) + " END"
+_WRITTEN_SPARK = "CASE page_id % 11 " + " ".join(f"WHEN {i} THEN {w.replace('{1}', '$1').replace('{2}', '$2').replace('{3}', '$3').replace('{b}', chr(92) * 4)}" for i, w in enumerate(_WRITTEN)) + " END"
+
+
 @report(
     "normal_urls",
-    r"""WITH u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN upper(url) WHEN 1 THEN regexp_replace(url, '^(https?://[^/]*)', '\1:443') WHEN 2 THEN concat(url, '&token=abc123') ELSE concat('ftp', url) END AS u FROM pages),
-    p AS (SELECT page_id, u, lower(regexp_extract(u, '(?i)^(https?)://', 1)) AS scheme, lower(regexp_extract(u, '(?i)^https?://([^/?#]+)', 1)) AS host, regexp_extract(u, '(?i)^https?://[^/?#]+([^#]*)', 1) AS rest FROM u)
-    SELECT page_id, CASE WHEN scheme <> '' THEN concat(scheme, '://', CASE scheme WHEN 'http' THEN regexp_replace(host, ':80$', '') ELSE regexp_replace(host, ':443$', '') END, CASE WHEN starts_with(rest, '/') THEN rest ELSE concat('/', rest) END) END AS url,
-      regexp_replace(u, '(?i)(token=)[^&#\s]*', '\1[redacted]', 'g') AS shown FROM p""",
+    rf"""WITH u AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS plain, {_WRITTEN_DUCK} AS u FROM pages)
+    SELECT page_id, CASE page_id % 11 WHEN 3 THEN NULL WHEN 10 THEN NULL WHEN 8 THEN regexp_replace(plain, '^(https?://)([^/?#]*)', '\1127.0.0.1') WHEN 9 THEN regexp_replace(plain, '^(https?://)([^/?#]*)', '\1xn--bcher-kva.\2') ELSE plain END AS url,
+      regexp_replace(u, '(?i)(token=)[^&#\s]*', '\1[redacted]', 'g') AS shown FROM u""",
 )
 def normal_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URLs brought to one form, null for other schemes; and with the values of sensitive parameters taken out."""
-    k = F.col("page_id") % 4
-    changed = F.when(k == 0, F.upper("url")).when(k == 1, F.regexp_replace("url", "^(https?://[^/]*)", "$1:443")).when(k == 2, F.concat("url", F.lit("&token=abc123"))).otherwise(F.concat(F.lit("ftp"), "url"))
-    return table(spark, sf_dir, "pages").select("page_id", T.http_url(changed).alias("url"), T.redact(changed).alias("shown"))
+    changed = F.expr(_WRITTEN_SPARK)
+    return table(spark, sf_dir, "pages").select("page_id", http_url(changed).alias("url"), T.redact(changed).alias("shown"))
+
+
+#: Characters of several code points, and how wide they are together: a family, two flags, a keycap, Hangul as letters, Latin with marks.
+_SEEN = [("👨‍👩‍👧", 23.0, 1), ("🇩🇪🇫🇷", 46.0, 2), ("1️⃣", 23.0, 1), ("\u1112\u1161\u11ab", 20.0, 1), ("e\u0301\u0323", 11.1, 1), ("漢字", 40.0, 2), ("\u0627\u0644", 22.2, 2)]
+
+
+@report(
+    "title_characters",
+    "WITH x(k, t, w, n) AS (VALUES " + ", ".join(f"({k}, '{t}', {w}::DOUBLE, {n})" for k, (t, w, n) in enumerate(_SEEN)) + """)
+    SELECT page_id, length_grapheme(concat(url, ' ', t)) AS n_seen, w + 5.6 AS added, CASE WHEN k = 4 THEN 'high' WHEN k = 6 THEN 'low' ELSE 'medium' END AS confidence FROM pages JOIN x ON page_id % 7 = k""",
+)
+def title_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What characters of several code points add to the width of a title, and how sure the estimate is."""
+    more = F.element_at(F.array(*[F.lit(t) for t, _, _ in _SEEN]), (F.col("page_id") % 7 + 1).cast("int"))
+    with_more = F.concat("url", F.lit(" "), more)
+    added = F.floor((T.title_pixels(with_more) - T.title_pixels(F.col("url"))) * 10 + 0.5) / 10
+    return table(spark, sf_dir, "pages").select("page_id", F.size(graphemes(with_more)).cast("long").alias("n_seen"), added.alias("added"), T.title_confidence(with_more).alias("confidence"))
 
 
 @report(

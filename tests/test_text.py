@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 from rankloom.functions import structured as S
+from rankloom.functions.urls import http_url
 from rankloom.functions import text as T
 from rankloom.operators.ranks import ranked
 
@@ -40,7 +41,7 @@ def test_title_widths(spark):
 
 def test_counts_urls_and_hashes(spark):
     assert each(spark, T.cjk_words, "東京 tower", "one two", "", "abc漢字def") == [3, 2, 0, 4]
-    assert each(spark, T.http_url, "HTTPS://Ex.Test:443/A?b#c", "http://ex.test", "ftp://ex.test/", "http://a b/", None) == ["https://ex.test/A?b", "http://ex.test/", None, None, None]
+    assert each(spark, http_url, "HTTPS://Ex.Test:443/A?b#c", "http://ex.test", "ftp://ex.test/", "http://a b/", None) == ["https://ex.test/A?b", "http://ex.test/", None, None, None]
     assert each(spark, T.redact, "/x?api_key=1&q=2", "/x?q=2") == ["/x?api_key=[redacted]&q=2", "/x?q=2"]
 
     def fnv(t):
