@@ -11,6 +11,7 @@ from ..functions.html import extracted
 from ..functions.text import normal_text
 from ..operators.graph import greedy_leaders, resolve_aliases, shortest_depths
 from ..operators.samples import with_first
+from ..operators.tables import written
 from ..sources.views import LINKS, QUERY_PAGE, links, query_page, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -290,8 +291,8 @@ def ngram_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grams.groupBy("gram").agg(F.countDistinct("query").alias("n_queries"), F.sum("impressions").alias("impressions")).filter("n_queries >= 2")
 
 
-#: Terms of more queries than these don't bring two queries together.
-MOST_QUERIES, LARGEST_SHARE = 20, 0.25
+#: The least similarity of a query to one of a target.
+LEAST_SIMILARITY = 0.4
 
 
 @report(
@@ -299,30 +300,47 @@ MOST_QUERIES, LARGEST_SHARE = 20, 0.25
     f"""WITH {_TERMS}, n AS (SELECT count(*) AS n FROM demand), idf AS (SELECT term, ln((n + 1)::DOUBLE / (count(*) + 1)) + 1 AS w FROM terms, n GROUP BY term, n),
     tgt AS (SELECT query FROM demand WHERE starts_with(query, 'small')), src AS (SELECT query FROM demand WHERE NOT starts_with(query, 'small')),
     wt AS (SELECT query, sum(w) AS w FROM terms JOIN idf USING (term) GROUP BY query),
-    m AS (SELECT t.query AS target, s.query AS source, sum(w) AS both_ FROM terms t JOIN terms s USING (term) JOIN idf USING (term) WHERE t.query IN (SELECT query FROM tgt) AND s.query IN (SELECT query FROM src) GROUP BY 1, 2)
-    SELECT target, source, floor((0.5 * both_ / (a.w + b.w - both_) + 0.25 * both_ / a.w + 0.25 * both_ / b.w) * 10000 + 0.5) / 10000 AS score FROM m JOIN wt a ON a.query = target JOIN wt b ON b.query = source""",
+    m AS (SELECT t.query AS target, s.query AS source, sum(w) AS both_ FROM terms t JOIN terms s USING (term) JOIN idf USING (term) WHERE t.query IN (SELECT query FROM tgt) AND s.query IN (SELECT query FROM src) GROUP BY 1, 2),
+    r AS (SELECT target, source, 0.5 * both_ / (a.w + b.w - both_) + 0.25 * both_ / a.w + 0.25 * both_ / b.w AS score FROM m JOIN wt a ON a.query = target JOIN wt b ON b.query = source)
+    SELECT target, source, floor(score * 10000 + 0.5) / 10000 AS score FROM r WHERE score >= {LEAST_SIMILARITY}""",
 )
 def internal_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical similarity of queries of other pages to those of a target, terms weighted by their rarity.
-
-    Only pairs that share a term of MOST_QUERIES or fewer queries, or LARGEST_SHARE of them, meet; commoner terms count in the score alone.
-    """
+    """Lexical similarity of queries of other pages to those of a target, terms weighted by their rarity."""
     d = demand(spark, sf_dir)
     terms = d.select("query", F.explode(F.array_distinct(F.split("query", " "))).alias("term"))
-    n = d.agg(F.count("*").alias("n"))
-    idf = terms.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", "df", "n", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("w"))  # one row
-    weighted = terms.join(idf.select("term", "w"), "term")
-    total = weighted.groupBy("query").agg(F.sum("w").alias("w"))
-    named = weighted.groupBy("query").agg(F.collect_list(F.struct("term", "w")).alias("terms"))  # the words of a query
-    rare = terms.join(idf.filter(F.col("df") <= F.greatest(F.lit(MOST_QUERIES), F.col("n") * LARGEST_SHARE)).select("term"), "term")
-    side = lambda on, name: rare.filter(F.col("query").startswith("small") == on).select("term", F.col("query").alias(name))
+    return similar_queries(terms, F.col("query").startswith("small"), LEAST_SIMILARITY)
+
+
+def similar_queries(terms: DataFrame, is_target: Column, least: float) -> DataFrame:
+    """target, source, score of the pairs that reach the least score, over 0.25, from (query, term): half the share of common weight in
+    both, and a quarter of that in each.
+
+    Such a pair has (least - 0.25) / 0.75 of the weight of either query in common, so the rarest term that it shares is among the terms
+    of both before the last ones that weigh less than that: only these bring queries together, and the commonest terms of long queries
+    never do.
+    """
+    if least <= 0.25:
+        raise ValueError("pairs of 0.25 or less can share any small part")
+    terms = written(terms.distinct(), "terms")
+    n = terms.agg(F.countDistinct("query").alias("n"))
+    idf = terms.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("w"))  # one row
+    weighted = terms.join(idf, "term")
+    # the words of a query, the rarest first
+    named = weighted.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("df", "term", "w"))).alias("terms"))
+    total = F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + t["w"])
+    named = written(named.withColumn("w", total).withColumn("is_target", is_target), "queries")
+    rest = lambda i: F.aggregate(F.slice("terms", i + 1, F.size("terms")), F.lit(0.0), lambda acc, t: acc + t["w"])  # noqa: E731  from place i on
+    first = F.filter("terms", lambda t, i: rest(i) >= F.col("w") * ((least - 0.25) / 0.75) - 1e-9)
+    keys = named.select("query", "is_target", F.explode(F.transform(first, lambda t: t["term"])).alias("term"))
+    side = lambda on, name: keys.filter(F.col("is_target") == on).select("term", F.col("query").alias(name))
     met = side(True, "target").join(side(False, "source"), "term").select("target", "source").distinct()
-    met = met.join(named.select(F.col("query").alias("target"), F.col("terms").alias("a_terms")), "target").join(named.select(F.col("query").alias("source"), F.col("terms").alias("b_terms")), "source")
+    of = lambda name, t, w: named.select(F.col("query").alias(name), F.col("terms").alias(t), F.col("w").alias(w))
+    met = met.join(of("target", "a_terms", "a"), "target").join(of("source", "b_terms", "b"), "source")
     common = F.filter("a_terms", lambda t: F.exists("b_terms", lambda u: u["term"] == t["term"]))
-    both = met.select("target", "source", F.aggregate(common, F.lit(0.0), lambda acc, t: acc + t["w"]).alias("both"))
-    t = both.join(total.select(F.col("query").alias("target"), F.col("w").alias("a")), "target").join(total.select(F.col("query").alias("source"), F.col("w").alias("b")), "source")
-    score = 0.5 * F.col("both") / (F.col("a") + F.col("b") - F.col("both")) + 0.25 * F.col("both") / F.col("a") + 0.25 * F.col("both") / F.col("b")
-    return t.select("target", "source", (F.floor(score * 10000 + 0.5) / 10000).alias("score"))
+    both = F.aggregate(common, F.lit(0.0), lambda acc, t: acc + t["w"])
+    score = 0.5 * both / (F.col("a") + F.col("b") - both) + 0.25 * both / F.col("a") + 0.25 * both / F.col("b")
+    t = met.select("target", "source", score.alias("score")).filter(F.col("score") >= least)
+    return t.withColumn("score", F.floor(F.col("score") * 10000 + 0.5) / 10000)
 
 
 @report("pattern_kinds", f"WITH {_TERMS} SELECT CASE WHEN regexp_matches(query, '\\b(small|tiny)\\b') THEN 'size' WHEN regexp_matches(query, '\\b(red|blue|green)\\b') THEN 'colour' WHEN regexp_matches(query, '\\b(old|new)\\b') THEN 'age' ELSE 'other' END AS kind, count(*) AS n_queries, sum(impressions)::BIGINT AS impressions FROM demand GROUP BY 1")

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.columns import broad_signature, path_parts, url_signature
+from ..functions.html import extracted
+from ..operators.graph import resolve_aliases
+from ..operators.tables import written
 from ..sources.views import QUERY_PAGE, query_page, table
 from .page_rules import _FINDINGS, RULES, RULES_SQL, found
 from .pattern_reports import _ASKED, _KIND_SQL, _STEM, _TEXT, _terms_sql, asked
@@ -106,8 +109,8 @@ def local_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(g, "path", "left").select("page", "impressions", "region", F.coalesce("sessions", F.lit(0)).alias("sessions"))
 
 
-#: Postings of a term that are used, matches that a prompt keeps.
-MOST_POSTINGS, MOST_MATCHES = 100, 3
+#: Postings of a term that are used, matches that a prompt keeps; parts that the pages of a thing are dealt to.
+MOST_POSTINGS, MOST_MATCHES, SALTS = 100, 3, 16
 
 
 def first_of_each(rows: DataFrame, key: str, order: list, k: int, parts: int = 32) -> DataFrame:
@@ -141,14 +144,18 @@ def prompt_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT c.source, c.target, exact, floor(100 * exact::INT + 10 * log10(impressions + 1) + 10 * CASE WHEN exact THEN 1.0 ELSE 0.5 END + 0.5)::BIGINT AS priority FROM c LEFT JOIN l ON l.source = c.source AND l.target = c.target WHERE l.source IS NULL""",
 )
 def link_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links that pages could have to the most shown others about the same thing, without those they have, by priority."""
+    """Links that pages could have to others about the same thing, without those they have, by priority. The MOST_POSTINGS most shown pages
+    of a thing are its targets, as many as the operator has for each."""
     d = query_page(spark, sf_dir).groupBy("page").agg(F.max_by("query", F.struct("impressions", "query")).alias("query"), F.sum("impressions").alias("impressions"))
     named = d.withColumn("thing", F.element_at(F.split("query", " "), 2))
     s, t = named.select("thing", F.col("page").alias("source"), F.col("query").alias("source_query")), named.select("thing", F.col("page").alias("target"), F.col("query").alias("target_query"), "impressions")
     t = first_of_each(t, "thing", [F.desc("impressions"), F.col("target")], MOST_POSTINGS)
+    # the pages of a common thing are dealt out, its few targets go to all parts
+    s = s.withColumn("part", F.pmod(F.xxhash64("source"), F.lit(SALTS)).cast("int"))
+    t = t.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     number = F.regexp_extract("page", "([0-9]+)$", 1).cast("int")
     has = d.select(F.col("page").alias("source"), F.concat(F.regexp_replace("page", "[0-9]+$", ""), ((number + 1) % 10).cast("string")).alias("target"))
-    c = s.join(t, "thing").filter("source <> target").join(has, ["source", "target"], "left_anti").withColumn("exact", F.col("source_query") == F.col("target_query"))
+    c = s.join(t, ["thing", "part"]).filter("source <> target").join(has, ["source", "target"], "left_anti").withColumn("exact", F.col("source_query") == F.col("target_query"))
     priority = F.floor(100 * F.col("exact").cast("int") + 10 * F.log10(F.col("impressions") + 1) + 10 * F.when(F.col("exact"), 1.0).otherwise(0.5) + 0.5)
     return c.select("source", "target", "exact", priority.alias("priority"))
 
@@ -172,3 +179,45 @@ def pattern_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
 @report("path_depths", f"WITH {_PATHS} SELECT len(parts) AS depth, count(*) AS n FROM paths GROUP BY 1")
 def path_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(F.size(path_parts(F.col("url"))).alias("depth")).agg(F.count("*").alias("n"))
+
+
+# --- links that are missing ----------------------------------------------------------------------------------------------------------------
+
+
+def link_gaps(pages: DataFrame, links: DataFrame, aliases: DataFrame) -> DataFrame:
+    """source, target, state, n_inlinks: pages (source, words) beside the targets that their words name, and whether a link is missing.
+
+    links: src, dst. aliases: src, dst; where chains of them end is the target that counts. A target is named by the last part of its
+    address; `existing-link` where the page links to it or to one of its aliases, `self-alias` where the page is the target itself,
+    else `missing`. A word meets the one target of its name, so common words give as many rows as pages have them.
+    """
+    ends = written(resolve_aliases(aliases), "aliases")
+    of = lambda rows, column: rows.join(ends.select(F.col("src").alias(column), F.col("target").alias("_end")), column, "left").withColumn(column, F.coalesce("_end", column)).drop("_end")
+    graph = written(of(of(links.select("src", "dst"), "dst"), "src").distinct(), "links")
+    targets = graph.groupBy(F.col("dst").alias("target")).agg(F.count("*").alias("n_inlinks"))
+    named = targets.withColumn("word", F.lower(F.regexp_extract("target", r"([^/]+)/?$", 1))).filter("word <> ''")
+    first = named.groupBy("word").agg(F.max_by(F.struct("target", "n_inlinks"), F.struct("n_inlinks", "target")).alias("t")).select("word", "t.*")
+    said = of(pages, "source").select("source", F.explode(F.array_distinct(F.transform("words", lambda w: F.lower(w)))).alias("word"))
+    met = said.join(first, "word").select("source", "target", "n_inlinks").distinct()
+    known = graph.select(F.col("src").alias("source"), F.col("dst").alias("target"), F.lit(True).alias("linked"))
+    state = F.when(F.col("source") == F.col("target"), "self-alias").when(F.col("linked"), "existing-link").otherwise("missing")
+    return met.join(known, ["source", "target"], "left").select("source", "target", state.alias("state"), "n_inlinks")
+
+
+@report(
+    "missing_links",
+    rf"""WITH l AS (SELECT DISTINCT concat('/p/', page_id) AS src, unnest(regexp_extract_all(html, '<a href="([^"#?]+)', 1)) AS dst FROM pages), g AS (SELECT DISTINCT src, regexp_replace(dst, '[^\p{{L}}\p{{N}}/]+$', '') AS dst FROM l),
+    t AS (SELECT dst AS target, count(*) AS n_inlinks, lower(regexp_extract(dst, '([^/]+)/?$', 1)) AS word FROM g GROUP BY 1), f AS (SELECT word, max_by(target, struct_pack(n := n_inlinks, t := target)) AS target, max(n_inlinks) AS n_inlinks FROM t WHERE word <> '' GROUP BY 1),
+    s AS (SELECT DISTINCT concat('/p/', page_id) AS source, lower(unnest(regexp_extract_all(regexp_extract(html, '<title>([^<]*)</title>', 1), '[\p{{L}}\p{{N}}]+'))) AS word FROM pages)
+    SELECT DISTINCT s.source, f.target, CASE WHEN g.src IS NOT NULL THEN 'existing-link' ELSE 'missing' END AS state, f.n_inlinks FROM s JOIN f USING (word) LEFT JOIN g ON g.src = s.source AND g.dst = f.target""",
+)
+def missing_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose title names a target of the site's links, beside the links of the page itself; addresses that differ by trailing
+    punctuation are aliases of the plain ones."""
+    read = written(extracted(table(spark, sf_dir, "pages"), "page_id").select(F.concat(F.lit("/p/"), F.col("page_id").cast("string")).alias("source"), "title", "links"), "read-links")
+    href = F.regexp_extract("link.href", "^([^?#]+)", 1)
+    links = read.select(F.col("source").alias("src"), F.explode("links").alias("link")).select("src", href.alias("dst")).filter("dst <> ''")
+    plain = F.regexp_replace("dst", r"[^\p{L}\p{N}/]+$", "")
+    aliases = links.select(F.col("dst").alias("src"), plain.alias("dst")).filter("src <> dst").distinct()
+    words = F.regexp_extract_all("title", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return link_gaps(read.select("source", words.alias("words")), links, aliases)

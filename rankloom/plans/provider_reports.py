@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators.tables import shared_dir
 from ..sources import providers
-from ..sources.views import table
+from ..sources.exports import read_export
+from ..sources.views import search_export, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -81,3 +82,27 @@ def provider_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), sent.alias("sent"))
     return spark.sql("SELECT id, path, kind, value FROM {rows}, LATERAL json_values(sent)", rows=rows)
+
+
+# --- exports of other tools ------------------------------------------------------------------------------------------------------------------
+
+#: The forms that an export is written in: delimiter, encoding, and names of its columns.
+_FORMS = [(",", "UTF-8", ["Top queries", "Clicks", "Impressions", "CTR", "Position"]), (";", "UTF-16", ["Position", "Top queries", "Impressions", "Clicks", "CTR"]), ("\t", "UTF-8", ["Clicks", "Top queries", "CTR", "Position", "Impressions"])]
+
+
+@report(
+    "export_rows",
+    """WITH r AS (SELECT p_name AS query, p_partkey * 1001 AS impressions, p_partkey % 50 AS clicks, p_partkey % 9 + 1.5 AS position, p_partkey FROM part),
+    k AS (SELECT query, max(p_partkey) AS p_partkey FROM r GROUP BY 1) SELECT r.query, clicks::DOUBLE AS clicks, impressions::DOUBLE AS impressions, (p_partkey % 90 + 0.5) / 100 AS ctr, position::DOUBLE AS position FROM r JOIN k USING (query, p_partkey)""",
+)
+def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of search exports in several forms, one folder of files with their own delimiters, encodings and orders of columns."""
+    k, path = F.col("p_partkey"), f"{shared_dir(spark)}/exports-{uuid.uuid4().hex}"
+    cells = {
+        "Top queries": F.col("p_name"), "Clicks": (k % 50).cast("string"), "Impressions": F.format_number(k * 1001, 0), "CTR": F.concat(F.format_number(k % 90 + 0.5, 1), F.lit("%")), "Position": (k % 9 + 1.5).cast("string"),
+    }
+    parts = table(spark, sf_dir, "part")
+    for i, (delimiter, encoding, names) in enumerate(_FORMS):
+        mine = parts.filter(k % len(_FORMS) == i).select(*[cells[n].alias(n) for n in names])
+        mine.coalesce(1).write.mode("append").csv(path, header=True, sep=delimiter, encoding=encoding, quote='"', escape='"')
+    return search_export(read_export(spark, path))

@@ -21,17 +21,43 @@ def encoding_of(head: bytes) -> str:
     return "UTF-16LE" if head.startswith(b"\xff\xfe") else "UTF-16BE" if head.startswith(b"\xfe\xff") else "UTF-8"
 
 
-def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with a header, of whatever delimiter and encoding its first bytes show; all columns are strings."""
-    # the first line as bytes: the reader stops after it
-    line = spark.read.option("lineSep", "\n").text(path).select(F.hex(F.encode("value", "UTF-8")).alias("h"), F.col("value")).first()
-    if line is None:
-        return spark.createDataFrame([], "value string").drop("value")
-    raw = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4).alias("head")).first()["head"]
-    encoding = encoding_of(bytes(raw))
-    header = line["value"].replace("\x00", "").lstrip("\ufeff\ufffd")
-    rows = spark.read.csv(path, header=True, sep=delimiter_of(header), multiLine=True, quote='"', escape='"', inferSchema=False, encoding=encoding)
-    return rows.toDF(*[c.lstrip("\ufeff") for c in rows.columns])
+#: Bytes of a file that are looked at.
+HEAD_BYTES = 65_536
+
+
+def heads(spark: SparkSession, path: str) -> dict[str, bytes]:
+    """The first bytes of a file, or of each file of a folder, from any store that Spark reads. Hidden and empty files are left out."""
+    sc = spark.sparkContext
+    root = sc._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(sc._jsc.hadoopConfiguration())
+    found = {}
+    for status in store.globStatus(root) or []:
+        for f in store.listStatus(status.getPath()):
+            if f.isFile() and f.getLen() and not f.getPath().getName().startswith(("_", ".")):
+                stream = store.open(f.getPath())
+                found[f.getPath().toString()] = bytes(stream.readNBytes(HEAD_BYTES))
+                stream.close()
+    return found
+
+
+def read_export(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """CSV files with a header, each of the delimiter and encoding that its own first bytes show; all columns are strings.
+
+    Columns that a file lacks are null in its rows. Cells with line breaks need multi_line, with which a file is read by one task. A
+    folder without files gives an empty table without columns.
+    """
+    alike: dict[tuple[str, str, str], list[str]] = {}
+    for name, head in sorted(heads(spark, path).items()):
+        encoding = encoding_of(head)
+        first = head[: len(head) // 2 * 2 if encoding != "UTF-8" else len(head)].decode(encoding, errors="ignore").lstrip("\ufeff").split("\n")[0].rstrip("\r")
+        alike.setdefault((encoding, delimiter_of(first), first), []).append(name)
+    out = None
+    for (encoding, delimiter, _), names in alike.items():
+        lines = {} if encoding == "UTF-8" or multi_line else {"lineSep": "\n"}
+        rows = spark.read.options(**lines).csv(names, header=True, sep=delimiter, multiLine=multi_line, quote='"', escape='"', inferSchema=False, encoding=encoding)
+        rows = rows.toDF(*[c.lstrip("\ufeff").rstrip("\r") for c in rows.columns])
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return spark.createDataFrame([], "value string").drop("value") if out is None else out
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:

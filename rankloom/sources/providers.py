@@ -54,7 +54,9 @@ class VisitsReader(DataSourceReader):
                 found.append(VisitFile(x.path, day))
         return sorted(found, key=lambda p: p.path)
 
-    def read(self, partition: VisitFile) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: VisitFile | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no file is of these days
+            return
         files, _ = _file_system(self.path)
         day, rows = dt.date.fromisoformat(partition.day), []
         with files.open_input_stream(partition.path) as stream:

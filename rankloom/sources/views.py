@@ -136,9 +136,9 @@ def parse_json_log(lines: DataFrame, column: str = "value") -> DataFrame:
     return named.select(F.to_timestamp(pick("timestamp")).alias("ts"), pick("method").alias("method"), pick("path").alias("path"), pick("status").cast("int").alias("status"), pick("agent").alias("agent"))
 
 
-def read_csv_export(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """A CSV with a header, quoted cells and line breaks inside cells; all columns are strings."""
-    return spark.read.csv(path, header=True, sep=sep, multiLine=True, quote='"', escape='"', inferSchema=False)
+def read_csv_export(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
+    """A CSV with a header and quoted cells; all columns are strings. With multi_line cells hold line breaks, and a file is one task's."""
+    return spark.read.csv(path, header=True, sep=sep, multiLine=multi_line, quote='"', escape='"', inferSchema=False)
 
 
 EXPORT_NAMES = {"Top pages": "page", "Top queries": "query", "Clicks": "clicks", "Impressions": "impressions", "CTR": "ctr", "Position": "position"}

@@ -98,3 +98,42 @@ def test_points_ties_empty_tables_and_clashing_columns(spark):
     assert overlapping(left.limit(0), right, F.lit(NOW)).count() == 0
     with pytest.raises(ValueError):
         overlapping(left, right.withColumn("l", F.lit(1)), F.lit(NOW))
+
+
+def test_similar_queries_against_all_pairs(spark):
+    import math
+
+    from rankloom.plans.crawl_reports import similar_queries
+
+    rng = random.Random(12)
+    queries = {" ".join(rng.sample("a b c d e f g h i j k l".split(), rng.randrange(1, 6))) for _ in range(150)} | {"the " + " ".join(rng.sample("m n o p q r s t".split(), 3)) for _ in range(60)}
+    sets = {q: set(q.split()) for q in queries}
+    df = {}
+    for terms in sets.values():
+        for t in terms:
+            df[t] = df.get(t, 0) + 1
+    w = {t: math.log((len(sets) + 1) / (n + 1)) + 1 for t, n in df.items()}
+    total = {q: sum(w[t] for t in s) for q, s in sets.items()}
+    table = spark.createDataFrame([(q, t) for q, s in sets.items() for t in s], "query string, term string")
+    for least in (0.3, 0.5, 0.9):
+        want = {}
+        for a in queries:
+            for b in queries:
+                if a < "f" <= b:
+                    both = sum(w[t] for t in sets[a] & sets[b])
+                    score = 0.5 * both / (total[a] + total[b] - both) + 0.25 * both / total[a] + 0.25 * both / total[b]
+                    if score >= least:
+                        want[a, b] = math.floor(score * 10000 + 0.5) / 10000
+        got = {(r.target, r.source): r.score for r in similar_queries(table, F.col("query") < "f", least).collect()}
+        assert got == pytest.approx(want) and want
+
+
+def test_link_gaps_by_hand(spark):
+    from rankloom.plans.match_reports import link_gaps
+
+    pages = spark.createDataFrame([("/p/1", ["Blue", "blue", "shoes"]), ("/p/2", ["blue"]), ("/blue-old", ["BLUE"]), ("/p/3", None), ("/p/4", ["nothing"])], "source string, words array<string>")
+    links = spark.createDataFrame([("/p/1", "/blue-old"), ("/p/9", "/blue"), ("/p/9", "/x/Shoes/"), ("/p/9", "/x/Shoes/"), ("/p/8", "/shoes"), ("/p/7", "/shoes"), ("/p/1", "/")], "src string, dst string")
+    aliases = spark.createDataFrame([("/blue-old", "/blue-older"), ("/blue-older", "/blue")], "src string, dst string")
+    got = sorted(tuple(r) for r in link_gaps(pages, links, aliases).collect())
+    assert got == [("/blue", "/blue", "self-alias", 2), ("/p/1", "/blue", "existing-link", 2), ("/p/1", "/shoes", "missing", 2), ("/p/2", "/blue", "missing", 2)]
+    assert link_gaps(pages, links.limit(0), aliases).count() == 0

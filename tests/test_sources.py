@@ -28,7 +28,7 @@ def test_search_export(spark, tmp_path):
 
 def test_backlinks(spark, tmp_path):
     (tmp_path / "links.csv").write_text('Source URL,Target URL,Anchor Text,Nofollow\nhttps://lib.test/new,https://shelf.test/,"old books, maps\nand prints",yes\nhttps://lib.test/new,https://shelf.test/,"old books, maps\nand prints",no\nmailto:x,https://shelf.test/,x,\nhttps://maps.test/,https://shelf.test/,,\n')
-    rows = sorted(map(tuple, V.backlinks(V.read_csv_export(spark, str(tmp_path / "links.csv"))).collect()))
+    rows = sorted(map(tuple, V.backlinks(V.read_csv_export(spark, str(tmp_path / "links.csv"), multi_line=True)).collect()))
     assert rows == [("https://lib.test/new", "https://shelf.test/", "old books, maps\nand prints", True), ("https://maps.test/", "https://shelf.test/", "", False)]
 
 
