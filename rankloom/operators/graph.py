@@ -41,25 +41,47 @@ def resolve_aliases(aliases: DataFrame, most: int = 32) -> DataFrame:
     return now.join(on_cycle, "target", "left").select("src", F.when(F.col("open"), F.col("low")).otherwise(F.col("target")).alias("target"))
 
 
+#: Rounds of greedy_leaders between two written tables.
+ROUNDS = 3
+
+
 def greedy_leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, leader) of greedy leader clustering: nodes (node, rank) in the order of rank join the first leader that edges (a, b) connect
     them with, else they lead.
 
-    A node leads once no open neighbour goes before it; its neighbours then follow the best leader they have. Rounds run until all are settled.
+    Edges are held once, from the later node to the earlier. In a round a node without an earlier open neighbour leads, its neighbours
+    follow, and edges of followers go; so edges between open nodes are all that the next round reads, until none are left. Nodes that an
+    edge connects need different ranks.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    ranks = nodes.select(F.col("node").alias("b"), F.col("rank").alias("b_rank"))
-    near = written(both.join(ranks, "b").join(nodes.select(F.col("node").alias("a"), F.col("rank").alias("a_rank")), "a"))
-    leaders = None
-    open_ = written(nodes.select("node", "rank"))
-    while leaders is None or not open_.isEmpty():
-        rivals = near.join(open_.select(F.col("node").alias("b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("b_rank").alias("rival"))
-        new = written(open_.join(rivals, "node", "left").filter(F.col("rival").isNull() | (F.col("rank") < F.col("rival"))).select("node", "rank"))
-        if new.isEmpty() and not open_.isEmpty():
-            raise ValueError("ranks have to differ between nodes that an edge connects")
-        leaders = new if leaders is None else leaders.union(new)
-        followers = near.join(new.select(F.col("node").alias("b")), "b").select(F.col("a").alias("node")).distinct()
-        open_ = written(open_.join(new, "node", "left_anti").join(followers, "node", "left_anti"))
-    best = near.join(leaders.select(F.col("node").alias("b")), "b").groupBy(F.col("a").alias("node")).agg(F.min_by("b", "b_rank").alias("leader"))
-    own = leaders.select("node", F.col("node").alias("own"))
-    return nodes.join(own, "node", "left").join(best, "node", "left").select("node", F.coalesce("own", "leader").alias("leader"))
+    c = F.col
+    both = edges.select("a", "b").union(edges.select(c("b").alias("a"), c("a").alias("b"))).filter("a <> b").distinct()
+    ranks = nodes.select(c("node").alias("lo"), c("rank").alias("lo_rank"))
+    near = both.join(nodes.select(c("node").alias("a"), c("rank").alias("a_rank")), "a").select(c("a").alias("hi"), "a_rank", c("b").alias("lo")).join(ranks, "lo")
+    near = written(near.filter(c("a_rank") >= c("lo_rank")).select("hi", "lo", "lo_rank", (c("a_rank") == c("lo_rank")).alias("tied")), "edges")
+    if not near.filter("tied").isEmpty():
+        raise ValueError("ranks have to differ between nodes that an edge connects")
+
+    def settled(rows: DataFrame) -> DataFrame:
+        """A round: what is open (hi, lo, follows: hi has been found to follow, alive: neither end is settled)."""
+        blocked = rows.filter("alive").select(c("hi").alias("lo")).distinct().withColumn("blocked", F.lit(True))
+        marked = rows.join(blocked, "lo", "left").withColumn("leads", c("alive") & c("blocked").isNull()).drop("blocked")
+        new = marked.filter("leads").select("hi").distinct().withColumn("new", F.lit(True))
+        marked = marked.join(new, "hi", "left").join(new.select(c("hi").alias("lo"), c("new").alias("lo_new")), "lo", "left")
+        alive = c("alive") & ~c("leads") & c("new").isNull() & c("lo_new").isNull()
+        return marked.select("hi", "lo", (c("follows") | c("new").isNotNull()).alias("follows"), alive.alias("alive"))
+
+    followers, open_ = None, near.select("hi", "lo")
+    while True:
+        rows = open_.select("hi", "lo", F.lit(False).alias("follows"), F.lit(True).alias("alive"))
+        for _ in range(ROUNDS):
+            rows = settled(rows)
+        rows = written(rows, "round")
+        found = rows.filter("follows").select(c("hi").alias("node")).distinct()
+        followers = found if followers is None else followers.union(found)
+        open_ = rows.filter("alive").select("hi", "lo")
+        if open_.isEmpty():
+            break
+    leaders = nodes.join(followers, "node", "left_anti").select("node")
+    best = near.join(leaders.select(c("node").alias("lo")), "lo").groupBy(c("hi").alias("node")).agg(F.min_by("lo", "lo_rank").alias("leader"))
+    # a leader has no earlier leader among its neighbours
+    return nodes.join(best, "node", "left").select("node", F.coalesce("leader", "node").alias("leader"))

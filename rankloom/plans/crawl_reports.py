@@ -10,7 +10,7 @@ from ..functions.columns import broad_signature, page_key, path_parts, placehold
 from ..functions.html import extracted
 from ..functions.text import normal_text
 from ..operators.graph import greedy_leaders, resolve_aliases, shortest_depths
-from ..operators.samples import with_first
+from ..operators.samples import stratified, with_first
 from ..operators.tables import written
 from ..sources.views import LINKS, QUERY_PAGE, links, query_page, table
 
@@ -229,9 +229,9 @@ def token_edges(queries: DataFrame, least: float = LEAST_ALIKE) -> DataFrame:
     Of two such queries the rarest common term is among the first of each, rarest first, so only those are joined; no list of a term is
     longer than the bound that makes a term common.
     """
-    named = queries.select("query", cluster_terms(F.col("query")).alias("terms"))
+    named = written(queries.select("query", cluster_terms(F.col("query")).alias("terms")), "terms")
     each = named.select("query", F.explode("terms").alias("term"))
-    most = queries.agg(F.greatest(F.lit(20), F.least(F.lit(250), F.floor(F.count("*") * 0.08))).alias("most"))
+    most = named.agg(F.greatest(F.lit(20), F.least(F.lit(250), F.floor(F.count("*") * 0.08))).alias("most"))
     df = each.groupBy("term").agg(F.count("*").alias("df"))
     rarity = each.join(df, "term").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("sorted"))
     first = F.size("sorted") - F.ceil(F.size("sorted") * F.lit(least)).cast("int") + 1
@@ -276,7 +276,7 @@ def query_cluster_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def query_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy clusters of queries around leaders, the most shown first."""
-    d = cluster_demand(spark, sf_dir)
+    d = written(cluster_demand(spark, sf_dir), "demand")
     rank = F.struct((-F.col("impressions")).alias("order"), F.col("query").alias("name"))
     member = greedy_leaders(d.select(F.col("query").alias("node"), rank.alias("rank")), token_edges(d))
     return member.join(d, F.col("node") == F.col("query")).groupBy("leader").agg(F.count("*").alias("n_queries"), F.sum("impressions").alias("impressions"))
@@ -351,16 +351,20 @@ def pattern_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demand(spark, sf_dir).groupBy(kind.alias("kind")).agg(F.count("*").alias("n_queries"), F.sum("impressions").alias("impressions"))
 
 
+#: Pages that are sampled of each query.
+SAMPLED = 5
+
+
 @report(
     "sample_stratified",
-    f"""WITH {QUERY_PAGE}, r AS (SELECT query, page, row_number() OVER (PARTITION BY query ORDER BY clicks DESC, page) AS n, count(*) OVER (PARTITION BY query) AS k FROM query_page)
-    SELECT query, page, CASE WHEN n = 1 THEN 'best' WHEN n = k THEN 'worst' ELSE 'median' END AS kind FROM r WHERE n = 1 OR n = k OR n = floor((k - 1) / 2) + 1""",
+    f"""WITH {QUERY_PAGE}, r AS (SELECT query, page, row_number() OVER (PARTITION BY query ORDER BY clicks DESC, impressions DESC, page) AS n, count(*) OVER (PARTITION BY query) AS k FROM query_page),
+    t AS (SELECT *, CASE WHEN n = 1 THEN 0 WHEN n = k THEN 1 WHEN n = (k - 1) // 2 + 1 THEN 2 ELSE 2 + n END AS turn FROM r)
+    SELECT query, page, CASE turn WHEN 0 THEN 'best' WHEN 1 THEN 'worst' WHEN 2 THEN 'median' ELSE 'fill' END AS kind, row_number() OVER (PARTITION BY query ORDER BY turn)::INT AS pick FROM t QUALIFY row_number() OVER (PARTITION BY query ORDER BY turn) <= {SAMPLED}""",
 )
 def sample_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best, the worst and the median page of each query."""
-    r = query_page(spark, sf_dir).withColumn("n", F.row_number().over(W.partitionBy("query").orderBy(F.desc("clicks"), "page"))).withColumn("k", F.count("*").over(W.partitionBy("query")))
-    r = r.filter((F.col("n") == 1) | (F.col("n") == F.col("k")) | (F.col("n") == F.floor((F.col("k") - 1) / 2) + 1))
-    return r.select("query", "page", F.when(F.col("n") == 1, "best").when(F.col("n") == F.col("k"), "worst").otherwise("median").alias("kind"))
+    """The best, the worst and the median page of each query, then its next best up to SAMPLED."""
+    rows = stratified(query_page(spark, sf_dir), ["query"], [F.desc("clicks"), F.desc("impressions"), F.col("page")], SAMPLED)
+    return rows.select("query", "page", "kind", "pick")
 
 
 @report(

@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions.columns import broad_signature, path_parts, url_signature
 from ..functions.html import extracted
 from ..operators.graph import resolve_aliases
+from ..operators.ranks import ranked
 from ..operators.tables import written
 from ..sources.views import QUERY_PAGE, query_page, table
 from .page_rules import _FINDINGS, RULES, RULES_SQL, found
@@ -111,6 +112,8 @@ def local_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Postings of a term that are used, matches that a prompt keeps; parts that the pages of a thing are dealt to.
 MOST_POSTINGS, MOST_MATCHES, SALTS = 100, 3, 16
+#: Fixed value: postings of all terms that are used, in the order of the queries.
+MOST_RETAINED = 50_000
 
 
 def first_of_each(rows: DataFrame, key: str, order: list, k: int, parts: int = 32) -> DataFrame:
@@ -123,15 +126,24 @@ def first_of_each(rows: DataFrame, key: str, order: list, k: int, parts: int = 3
 
 @report(
     "prompt_matches",
-    f"""WITH {_ASKED}, q AS (SELECT id, {_terms_sql('query')} AS terms FROM asked), t AS (SELECT id, unnest(terms) AS term, len(terms) AS n FROM q), p AS (SELECT * FROM t WHERE id % 10 <> 0 QUALIFY row_number() OVER (PARTITION BY term ORDER BY id) <= {MOST_POSTINGS}),
-    m AS (SELECT a.id, b.id AS match, count(*) AS shared, any_value(a.n) AS n FROM t a JOIN p b USING (term) WHERE a.id % 10 = 0 GROUP BY 1, 2)
+    f"""WITH {_ASKED}, q AS (SELECT id, {_terms_sql('query')} AS terms FROM asked), t AS (SELECT id, unnest(terms) AS term, unnest(range(len(terms))) AS pos FROM q), f AS (SELECT * FROM t WHERE id % 10 <> 0 QUALIFY row_number() OVER (PARTITION BY term ORDER BY id) <= {MOST_POSTINGS}),
+    p AS (SELECT * FROM f QUALIFY row_number() OVER (ORDER BY id, pos) <= {MOST_RETAINED}), m AS (SELECT a.id, b.id AS match, count(*) AS shared FROM t a JOIN p b USING (term) WHERE a.id % 10 = 0 GROUP BY 1, 2)
     SELECT id, match, shared FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY shared DESC, match) <= {MOST_MATCHES}""",
 )
 def prompt_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three queries that share most terms with each prompt. A term's list holds its first MOST_POSTINGS queries: the operator's own bound."""
-    t = asked(spark, sf_dir).select("id", F.explode(T.pattern_terms(F.col("query"))).alias("term"))
-    lists = first_of_each(t.filter("id % 10 <> 0"), "term", [F.col("id")], MOST_POSTINGS)
-    m = t.filter("id % 10 = 0").join(lists.select("term", F.col("id").alias("match")), "term").groupBy("id", "match").agg(F.count("*").alias("shared"))
+    """The three queries that share most terms with each prompt."""
+    t = asked(spark, sf_dir).select("id", F.posexplode(T.pattern_terms(F.col("query"))).alias("at", "term"))
+    return matched_prompts(t.filter("id % 10 = 0"), t.filter("id % 10 <> 0"), MOST_RETAINED)
+
+
+def matched_prompts(prompts: DataFrame, rows: DataFrame, most_retained: int) -> DataFrame:
+    """id, match, shared from the terms of prompts and of rows (id, at, term).
+
+    A term's list holds its first MOST_POSTINGS rows, all lists together the first most_retained of these: the operator's own bounds.
+    """
+    lists = first_of_each(rows.select("id", "at", "term"), "term", [F.col("id"), F.col("at")], MOST_POSTINGS)
+    lists = ranked(lists, [], [F.col("id"), F.col("at"), F.col("term")], "n").filter(F.col("n") <= most_retained)
+    m = prompts.join(lists.select("term", F.col("id").alias("match")), "term").groupBy("id", "match").agg(F.count("*").alias("shared"))
     return m.withColumn("k", F.row_number().over(W.partitionBy("id").orderBy(F.desc("shared"), "match"))).filter(F.col("k") <= MOST_MATCHES).drop("k")
 
 

@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import query_intent, url_path
+from ..functions.html import extracted
 from ..operators.ranks import running
-from ..operators.samples import first_rows
+from ..operators.samples import fair_sample, first_rows
+from ..operators.tables import written
 from ..sources.views import QUERY_PAGE, SNAPSHOTS, query_page, snapshots, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -129,15 +131,25 @@ def global_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_rows(kept, ["user_id"], newest, KEY_ROWS, "key_rank").select("user_id", "event_id", "key_rank", "total_rank", "used")
 
 
+#: Addresses that a run checks.
+MOST_CHECKED = 200
+_FNV = "list_reduce(list_concat([2166136261], list_transform(list_filter(string_split({0}, ''), lambda c: c <> ''), lambda c: unicode(c)::BIGINT)), lambda h, c: xor(h, c) * 16777619 % 4294967296)"
+
+
 @report(
     "fair_sample",
-    "WITH h AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, sha256(url) AS k FROM pages), r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY k, page_id) AS n FROM h) SELECT page_id, host FROM r ORDER BY n, k, page_id LIMIT 40",
+    f"""WITH RECURSIVE l AS (SELECT DISTINCT url AS source, unnest(regexp_extract_all(html, '<a href="([^"#?]+)', 1)) AS link FROM pages), h AS (SELECT source, link, {_FNV.format('link')} AS k FROM l),
+    s AS (SELECT source, list(link ORDER BY k, link) AS urls, {_FNV.format('source')} AS k FROM h GROUP BY source), o AS (SELECT urls, row_number() OVER (ORDER BY k, source) - 1 AS i, count(*) OVER () AS n FROM s),
+    step AS (SELECT 0::BIGINT AS i, 0::BIGINT AS idle, []::VARCHAR[] AS taken UNION ALL
+      SELECT i + 1, CASE WHEN new IS NULL THEN idle + 1 ELSE 0 END, CASE WHEN new IS NULL THEN taken ELSE list_append(taken, new) END
+      FROM (SELECT step.*, o.n, list_filter(o.urls, lambda u: NOT list_contains(step.taken, u))[1] AS new FROM step JOIN o ON o.i = step.i % o.n WHERE len(step.taken) < {MOST_CHECKED} AND step.idle < o.n)),
+    last AS (SELECT taken FROM step ORDER BY i DESC LIMIT 1)
+    SELECT pick, taken[pick] AS url FROM (SELECT taken, unnest(range(1, len(taken) + 1))::INT AS pick FROM last)""",
 )
-def fair_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sample that takes hosts by turns, in the order of hashes."""
-    h = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), F.sha2("url", 256).alias("k"))
-    n = F.row_number().over(W.partitionBy("host").orderBy("k", "page_id"))
-    return h.withColumn("n", n).orderBy("n", "k", "page_id").limit(40).select("page_id", "host")
+def fair_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links that a run would check: pages by turns, each giving its next, up to MOST_CHECKED."""
+    read = extracted(table(spark, sf_dir, "pages"), "url").select(F.col("url").alias("source"), F.explode("links.href").alias("href"))
+    return fair_sample(read.select("source", F.regexp_extract("href", "^([^?#]+)", 1).alias("url")).filter("url <> ''"), MOST_CHECKED)
 
 
 @report(
@@ -177,3 +189,32 @@ def template_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = query_page(spark, sf_dir).groupBy(page_template(F.col("page")).alias("template"), "query").agg(F.sum("impressions").alias("impressions"))
     n = F.row_number().over(W.partitionBy("template").orderBy(F.desc("impressions"), "query"))
     return t.withColumn("n", n).filter("n <= 3").select("template", "query", "impressions")
+
+
+#: Seeds that a run of research takes.
+MOST_SEEDS = 60
+
+
+@report(
+    "research_seeds",
+    f"""WITH {QUERY_PAGE}, t AS (SELECT concat('/', split_part(page, '/', 4), '/') AS label, query, sum(impressions)::BIGINT AS impressions FROM query_page GROUP BY 1, 2), best AS (SELECT 'template' AS source, label, query, impressions FROM t QUALIFY row_number() OVER (PARTITION BY label ORDER BY impressions DESC, query) = 1),
+    q AS (SELECT split_part(query, ' ', 2) AS label, query, sum(impressions)::BIGINT AS impressions FROM query_page GROUP BY 1, 2), lead AS (SELECT 'query-cluster' AS source, label, query, impressions FROM q QUALIFY row_number() OVER (PARTITION BY label ORDER BY impressions DESC, query) = 1),
+    c AS (SELECT * FROM best UNION ALL SELECT * FROM lead), k AS (SELECT *, trim(regexp_replace(lower(query), '[^a-z0-9]+', ' ', 'g')) AS key FROM c WHERE impressions > 0),
+    f AS (SELECT * FROM k WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY key ORDER BY source = 'template' DESC, impressions DESC, query, label) = 1)
+    SELECT query, source, label, impressions FROM f ORDER BY source = 'template' DESC, impressions DESC, query, label LIMIT {MOST_SEEDS}""",
+)
+def research_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries that research starts from: the most shown one of each template, then of each group of queries about the same thing, each once."""
+    from ..functions.columns import page_template
+    from ..functions.text import pattern_text
+
+    q = query_page(spark, sf_dir).select("query", "impressions", page_template(F.col("page")).alias("template"), F.element_at(F.split("query", " "), 2).alias("thing"))
+    q = written(q.groupBy("query", "template", "thing").agg(F.sum("impressions").alias("impressions")), "seeds")
+
+    def best(label: str, source: str) -> DataFrame:
+        shown = q.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("label"), "query").agg(F.sum("impressions").alias("impressions"))
+        return first_rows(shown, ["label"], [F.desc("impressions"), F.col("query")], 1, "n").select(F.lit(source).alias("source"), "label", "query", "impressions")
+
+    seeds = best("template", "template").union(best("thing", "query-cluster")).filter("impressions > 0").withColumn("key", pattern_text(F.col("query"))).filter("key <> ''")
+    order = [F.desc(F.col("source") == "template"), F.desc("impressions"), F.col("query"), F.col("label")]
+    return first_rows(seeds, ["key"], order, 1, "n").orderBy(*order).limit(MOST_SEEDS).select("query", "source", "label", "impressions")

@@ -1,6 +1,7 @@
 import random
 
-from rankloom.operators.samples import with_first
+from pyspark.sql import functions as F
+from rankloom.operators.samples import fair_sample, stratified, with_first
 
 
 def test_first_values_without_gathering_a_group(spark):
@@ -12,3 +13,69 @@ def test_first_values_without_gathering_a_group(spark):
     want = {k: [u for *g, u in rows if tuple(g) == k] for k in {r[:2] for r in rows}}
     assert got == {k: (len(v), sorted({u for u in v if u})[:10]) for k, v in want.items()}
     assert "collect_set" not in out._jdf.queryExecution().toString()
+
+
+def test_stratified_samples(spark):
+    rows = [("one", 1), ("two", 1), ("two", 2), *(("seven", i) for i in range(7)), *(("hot", i) for i in range(3000)), *((None, i) for i in range(3))]
+    table = spark.createDataFrame(rows, "g string, v int").repartition(5)
+    for k in (1, 2, 3, 5, 20):
+        got = {}
+        for r in stratified(table, ["g"], [F.desc("v")], k).collect():
+            got.setdefault(r.g, []).append((r.pick, r.v, r.kind))
+        for g in {g for g, _ in rows}:
+            order = sorted((v for h, v in rows if h == g), reverse=True)
+            want = []
+            for i, kind in [(0, "best"), (len(order) - 1, "worst"), ((len(order) - 1) // 2, "median"), *((i, "fill") for i in range(len(order)))]:
+                if order[i] not in [v for v, _ in want] and len(want) < k:
+                    want.append((order[i], kind))
+            assert sorted(got[g]) == [(n + 1, v, kind) for n, (v, kind) in enumerate(want)], (g, k)
+
+
+def fnv(text):
+    h = 2166136261
+    for c in text:
+        h = (h ^ ord(c)) * 16777619 % 2**32
+    return h, text
+
+
+def test_fair_samples(spark):
+    rng = random.Random(3)
+    links = [(f"s{rng.randrange(12)}", f"u{min(rng.randrange(40), rng.randrange(40))}") for _ in range(150)] + [("s0", None), (None, "u")]
+    by_source = {s: sorted({u for t, u in links if t == s and u}, key=fnv) for s in {s for s, _ in links if s}}
+    for limit in (0, 1, 5, 25, 100):
+        taken = []
+        while len(taken) < limit:
+            before = len(taken)
+            for s in sorted(by_source, key=fnv):
+                new = next((u for u in by_source[s] if u not in taken), None)
+                if new and len(taken) < limit:
+                    taken.append(new)
+            if len(taken) == before:
+                break
+        got = fair_sample(spark.createDataFrame(links, "source string, url string"), limit).orderBy("pick").collect()
+        assert [r.url for r in got] == taken
+
+
+def test_prompts_meet_the_first_postings(spark, monkeypatch):
+    from rankloom.plans import match_reports
+
+    monkeypatch.setattr(match_reports, "MOST_POSTINGS", 3)
+    rng = random.Random(5)
+    rows = [(i, at, t) for i in range(40) for at, t in enumerate(rng.sample("abcdefg", 3))]
+    prompts = [(100 + i, at, t) for i in range(5) for at, t in enumerate(rng.sample("abcdefg", 4))]
+    kind = "id long, at int, term string"
+    for most in (5, 12, 1000):
+        index, n = {}, 0
+        for i, _, t in rows:
+            if len(index.setdefault(t, [])) < 3 and n < most:
+                index[t].append(i)
+                n += 1
+        want = []
+        for p in {p for p, _, _ in prompts}:
+            shared = {}
+            for q, _, t in prompts:
+                for i in index.get(t, []) if q == p else []:
+                    shared[i] = shared.get(i, 0) + 1
+            want += [(p, i, s) for i, s in sorted(shared.items(), key=lambda x: (-x[1], x[0]))[:3]]
+        got = match_reports.matched_prompts(spark.createDataFrame(prompts, kind), spark.createDataFrame(rows, kind), most)
+        assert sorted(tuple(r) for r in got.select("id", "match", "shared").collect()) == sorted(want)
