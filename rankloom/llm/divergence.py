@@ -25,7 +25,7 @@ LEAST_DOCS, MOST_TERMS = 10, 10
 #: Terms and rows after which a chunk ends, sources whose vectors are held against each other at once.
 CHUNK_TERMS, CHUNK_ROWS, BLOCK = 4096, 500_000, 64
 #: Distinct terms that a task counts before it hands them on, and bytes of a text read at once.
-MOST_HELD, PIECE = 400_000, 1 << 20
+MOST_HELD, PIECE = 1_000_000, 1 << 20
 #: So many copies of the table of sources meet the chunks of a language.
 SALTS = 64
 
