@@ -8,14 +8,14 @@ from functools import cache, reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .unicode import characters, graphemes, nfkd, tidy, without_diacritics
+from .unicode import characters, graphemes, plain, tidy
 
 # --- folding ---------------------------------------------------------------------------------------------------------------------------
 
 
 def normal_text(text: Column) -> Column:
     """Compatibility parts without diacritics, with straight apostrophes, in lower case, white space as one space; null stays null."""
-    return tidy(F.lower(F.translate(without_diacritics(nfkd(text)), "‘’", "''")))
+    return tidy(F.lower(F.translate(plain(text), "‘’", "''")))
 
 
 def link_text(text: Column) -> Column:

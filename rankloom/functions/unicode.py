@@ -39,6 +39,22 @@ def _nfkd(text: pa.Array) -> pa.Array:
     return pc.utf8_normalize(text, "NFKD")
 
 
+@cache
+def _marks() -> dict[int, None]:
+    import regex
+
+    has = regex.compile(r"[\p{Diacritic}\p{Mn}]").match
+    return {c: None for c in range(0x110000) if not 0xD800 <= c < 0xE000 and has(chr(c))}
+
+
+@F.arrow_udf(StringType())
+def _plain(text: pa.Array) -> pa.Array:
+    marks = _marks()
+    # of ASCII only two signs are marks
+    strip = lambda t: t.replace("^", "").replace("`", "") if t.isascii() else t.translate(marks)
+    return pa.array([None if t is None else strip(t) for t in pc.utf8_normalize(text, "NFKD").to_pylist()], pa.string())
+
+
 @F.arrow_udf(StringType())
 def _nfkc(text: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in text.to_pylist()], pa.string())
@@ -54,8 +70,9 @@ def nfkc(text: Column) -> Column:
     return _nfkc(text)
 
 
-def without_diacritics(text: Column) -> Column:
-    return F.regexp_replace(text, f"[{characters(r'[\p{Diacritic}\p{Mn}]')}]+", "")
+def plain(text: Column) -> Column:
+    """Compatibility parts without diacritics."""
+    return _plain(text)
 
 
 def tidy(text: Column) -> Column:

@@ -41,10 +41,6 @@ def resolve_aliases(aliases: DataFrame, most: int = 32) -> DataFrame:
     return now.join(on_cycle, "target", "left").select("src", F.when(F.col("open"), F.col("low")).otherwise(F.col("target")).alias("target"))
 
 
-#: Rounds of greedy_leaders between two written tables.
-ROUNDS = 3
-
-
 def greedy_leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, leader) of greedy leader clustering: nodes (node, rank) in the order of rank join the first leader that edges (a, b) connect
     them with, else they lead.
@@ -61,26 +57,12 @@ def greedy_leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     if not near.filter("tied").isEmpty():
         raise ValueError("ranks have to differ between nodes that an edge connects")
 
-    def settled(rows: DataFrame) -> DataFrame:
-        """A round: what is open (hi, lo, follows: hi has been found to follow, alive: neither end is settled)."""
-        blocked = rows.filter("alive").select(c("hi").alias("lo")).distinct().withColumn("blocked", F.lit(True))
-        marked = rows.join(blocked, "lo", "left").withColumn("leads", c("alive") & c("blocked").isNull()).drop("blocked")
-        new = marked.filter("leads").select("hi").distinct().withColumn("new", F.lit(True))
-        marked = marked.join(new, "hi", "left").join(new.select(c("hi").alias("lo"), c("new").alias("lo_new")), "lo", "left")
-        alive = c("alive") & ~c("leads") & c("new").isNull() & c("lo_new").isNull()
-        return marked.select("hi", "lo", (c("follows") | c("new").isNotNull()).alias("follows"), alive.alias("alive"))
-
     followers, open_ = None, near.select("hi", "lo")
-    while True:
-        rows = open_.select("hi", "lo", F.lit(False).alias("follows"), F.lit(True).alias("alive"))
-        for _ in range(ROUNDS):
-            rows = settled(rows)
-        rows = written(rows, "round")
-        found = rows.filter("follows").select(c("hi").alias("node")).distinct()
-        followers = found if followers is None else followers.union(found)
-        open_ = rows.filter("alive").select("hi", "lo")
-        if open_.isEmpty():
-            break
+    while followers is None or not open_.isEmpty():
+        led = open_.join(open_.select(c("hi").alias("lo")), "lo", "left_anti")  # whose earlier node has none before it
+        new = written(led.select(c("hi").alias("node")).distinct(), "followers")
+        followers = new if followers is None else followers.union(new)
+        open_ = written(open_.join(new.select(c("node").alias("hi")), "hi", "left_anti").join(new.select(c("node").alias("lo")), "lo", "left_anti"), "open")
     leaders = nodes.join(followers, "node", "left_anti").select("node")
     best = near.join(leaders.select(c("node").alias("lo")), "lo").groupBy(c("hi").alias("node")).agg(F.min_by("lo", "lo_rank").alias("leader"))
     # a leader has no earlier leader among its neighbours

@@ -235,11 +235,16 @@ def token_edges(queries: DataFrame, least: float = LEAST_ALIKE) -> DataFrame:
     df = each.groupBy("term").agg(F.count("*").alias("df"))
     rarity = each.join(df, "term").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("sorted"))
     first = F.size("sorted") - F.ceil(F.size("sorted") * F.lit(least)).cast("int") + 1
-    prefix = rarity.select("query", F.explode(F.slice("sorted", F.lit(1), first)).alias("t")).join(F.broadcast(most)).filter("t.df <= most").select("query", F.col("t.term").alias("term"))  # one row
-    pairs = prefix.select("term", F.col("query").alias("a")).join(prefix.select("term", F.col("query").alias("b")), "term").filter("a < b").select("a", "b").distinct()
-    sides = pairs.join(named.select(F.col("query").alias("a"), F.col("terms").alias("ta")), "a").join(named.select(F.col("query").alias("b"), F.col("terms").alias("tb")), "b")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return sides.select("a", "b", shared.cast("long").alias("shared"), F.size(F.array_union("ta", "tb")).alias("all")).filter(F.col("shared") / F.col("all") >= least).select("a", "b", "shared")
+    short = F.filter(F.slice("sorted", F.lit(1), first), lambda t: t["df"] <= F.col("most"))
+    named = rarity.join(F.broadcast(most)).select("query", F.col("sorted.term").alias("terms"), short["term"].alias("prefix"))  # one row
+    keyed = written(named.select("query", "terms", "prefix", F.explode("prefix").alias("term")), "prefixes")
+    a, b = (keyed.select("term", *[F.col(c).alias(f"{c}_{side}") for c in ("query", "terms", "prefix")]) for side in "ab")
+    met = a.join(b, "term").filter("query_a < query_b")
+    # a pair that several terms bring together counts where the first of them does
+    met = met.filter(F.element_at(F.array_intersect("prefix_a", "prefix_b"), 1) == F.col("term"))
+    shared = F.size(F.array_intersect("terms_a", "terms_b"))
+    kept = met.select(F.col("query_a").alias("a"), F.col("query_b").alias("b"), shared.cast("long").alias("shared"), (F.size("terms_a") + F.size("terms_b") - shared).alias("all"))
+    return kept.filter(F.col("shared") / F.col("all") >= least).select("a", "b", "shared")
 
 
 def cluster_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
