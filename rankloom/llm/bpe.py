@@ -21,7 +21,7 @@ from .workers import releasing
 
 END = "</w>"
 #: Words whose encodings a task holds at most, and pairs of tokens; it starts anew beyond.
-MOST_WORDS, MOST_PAIRS = 200_000, 300_000
+MOST_WORDS, MOST_PAIRS = 120_000, 200_000
 
 _UNMET: dict[str, bool] = {}
 
@@ -240,7 +240,7 @@ class Encoder:
 
 
 #: Rows whose words are looked up together.
-ROWS = 1024
+ROWS = 512
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
