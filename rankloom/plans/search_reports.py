@@ -389,13 +389,13 @@ _WINDOWS_OF = """d AS (SELECT s_suppkey AS k, DATE '1996-01-01' + (s_suppkey * 3
 
 @report(
     "update_overlaps",
-    f"""WITH {_WINDOWS_OF}, o AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS x, CASE WHEN o_orderstatus <> 'O' THEN CAST(o_orderdate AS DATE) + (o_orderkey % 7 * o_orderkey % 200)::INT END AS y, o_orderstatus = 'O' AS open_ FROM orders),
+    f"""WITH {_WINDOWS_OF}, o AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS x, CASE WHEN o_orderstatus <> 'O' THEN CAST(o_orderdate AS DATE) + (o_orderkey % 7 * o_orderkey % 200)::INT END AS y, o_orderstatus = 'O' AS open_ FROM orders WHERE o_orderpriority = '1-URGENT'),
   m AS (SELECT name, id, open_ FROM w JOIN o ON x - 3 <= b AND coalesce(y, DATE '{_TODAY}') + 3 >= a AND x - 3 <= coalesce(y, DATE '{_TODAY}') + 3)
   SELECT name, count(id) AS n_updates, count(*) FILTER (WHERE open_) AS n_open, min(id)::BIGINT AS first_update FROM m GROUP BY name""",
 )
 def update_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many orders, open ones until a fixed day, lie within three days of each supplier's windows."""
-    o = table(spark, sf_dir, "orders")
+    """How many urgent orders, open ones until a fixed day, lie within three days of each supplier's windows."""
+    o = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
     key, begin = F.col("o_orderkey"), F.to_date("o_orderdate")
     ended = F.when(F.col("o_orderstatus") != "O", F.date_add(begin, (key % 7 * key % 200).cast("int")))
     orders = o.select(key.alias("id"), begin.alias("begin"), ended.alias("until"))
