@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_text
-from ..operators.intervals import overlapping
+from ..operators.intervals import meeting_totals
 from ..operators.ranks import ranked, running
 from ..operators.tables import shared_dir, written
 from ..sources.stores import SnapshotStore
@@ -230,10 +230,10 @@ def link_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def change_confounders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logged changes, the urgent orders, that fall into the windows of each supplier; windows without one have 0."""
-    w, day = supplier_windows(spark, sf_dir), F.to_date("o_orderdate")
-    c = table(spark, sf_dir, "orders").filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("o_orderkey", day.alias("begin"), day.alias("until"))
-    n = overlapping(w, c, F.current_date()).groupBy("name").agg(F.count("*").alias("n_changes"))
-    return w.select("name").join(n, "name", "left").fillna(0)
+    day, known = F.to_date("o_orderdate"), F.col("o_orderkey").isNotNull().cast("long")
+    c = table(spark, sf_dir, "orders").filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select(known.alias("n_changes"), day.alias("begin"), day.alias("until"))
+    c = c.filter("begin IS NOT NULL")
+    return meeting_totals(supplier_windows(spark, sf_dir), c, F.current_date(), sums=("n_changes",)).groupBy("name").agg(F.sum("n_changes").alias("n_changes"))
 
 
 @report(

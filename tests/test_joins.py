@@ -5,7 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from rankloom.operators.intervals import overlapping
+from rankloom.operators.intervals import meeting_totals, overlapping
 from rankloom.operators.rule_joins import domains_above, longest_prefix, most_specific_property
 
 
@@ -90,6 +90,41 @@ def test_overlaps_against_all_pairs(spark, padding):
     assert sorted((r.l, r.r) for r in found.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("padding", [0, 3, 100])
+def test_totals_of_overlaps_against_all_pairs(spark, padding):
+    rng = random.Random(padding + 1)
+    left, right = [*intervals(rng, 150), (900, dt.date(1, 1, 2), dt.date(9999, 1, 1)), (901, dt.date(1969, 12, 31), dt.date(1970, 1, 1))], [(i, b, u) for i, b, u in intervals(rng, 200)]
+    table = spark.createDataFrame(right, RIGHT).withColumn("n", F.lit(1).cast("long"))
+    found = meeting_totals(spark.createDataFrame(left + left[:5], LEFT), table, F.lit(NOW), padding, ("n",), ("r",))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    wide, want = dt.timedelta(padding), []
+    for a, s, e in left + left[:5]:
+        met = [r for r, t, u in right if s and t and s <= (e or NOW) and t - wide <= (u or NOW) + wide and s <= (u or NOW) + wide and t - wide <= (e or NOW)]
+        want.append((a, len(met), min(met, default=None)))
+    assert sorted((r.l, r.n, r.r) for r in found.select("l", "n", "r").collect()) == sorted(want)
+
+
+def test_overlap_reports_make_no_pairs(spark, tmp_path):
+    """All orders fall into all windows: a thousand by ten thousand pairs, of which no join puts out one."""
+    from rankloom.plans.keyword_reports import change_confounders
+
+    spark.range(1000).select((F.col("id") * 1500).alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    orders = spark.range(10_000).select((F.col("id") * 7).alias("o_orderkey"), F.lit("1996-01-01").cast("timestamp").alias("o_orderdate"), F.lit("1-URGENT").alias("o_orderpriority"), F.when(F.col("id") % 2 == 0, "O").otherwise("F").alias("o_orderstatus"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    for report, want in ((change_confounders, {"before": (0,), "after": (10_000,)})),):
+        found = report(spark, str(tmp_path))
+        rows = found.collect()
+        assert len(rows) == 2000 and all(tuple(r)[1:] == want[r.name.split()[0]] for r in rows)
+        joined, todo = [], [found._jdf.queryExecution().executedPlan()]
+        while todo:
+            node = todo.pop()
+            todo += [node.children().apply(i) for i in range(node.children().size())] + ([node.executedPlan()] if "AdaptiveSparkPlan" in node.nodeName() else [node.plan()] if "QueryStage" in node.nodeName() else [])
+            if "Join" in node.nodeName():
+                joined.append(node.metrics().apply("numOutputRows").value())
+        assert joined and max(joined) < 200_000
+
+
 def test_points_ties_empty_tables_and_clashing_columns(spark):
     day = dt.date(2020, 2, 29)
     left = spark.createDataFrame([(1, day, day), (1, day, day), (2, day, None)], LEFT)
