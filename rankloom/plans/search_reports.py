@@ -12,7 +12,7 @@ from ..functions.columns import (
     curve_ctr, first_reason, is_brand, is_low_actionability, is_search_artifact, normal_query, page_key, page_template, percent_change, round_half_up, rounded_position, valid_search_row,
 )
 from ..operators.benchmark import benchmark_sql, leave_url_out
-from ..operators.intervals import overlapping
+from ..operators.intervals import meeting_totals, overlapping
 from ..operators.samples import with_first
 from ..sources.views import QUERY_PAGE, SEARCH_DAILY, SEARCH_ROWS, aggregate_rows, query_page, query_page_table, search_daily, search_rows, table
 
@@ -398,9 +398,10 @@ def update_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
     key, begin = F.col("o_orderkey"), F.to_date("o_orderdate")
     ended = F.when(F.col("o_orderstatus") != "O", F.date_add(begin, (key % 7 * key % 200).cast("int")))
-    orders = o.select(key.alias("id"), begin.alias("begin"), ended.alias("until"))
-    met = overlapping(supplier_windows(spark, sf_dir), orders, F.lit(_TODAY).cast("date"), 3)
-    return met.groupBy("name").agg(F.count("id").alias("n_updates"), F.count_if(F.col("until").isNull()).alias("n_open"), F.min("id").cast("long").alias("first_update"))
+    one = lambda c, name: c.cast("long").alias(name)
+    orders = o.select(key.alias("first_update"), begin.alias("begin"), ended.alias("until"), one(F.lit(1), "n_rows"), one(key.isNotNull(), "n_updates"), one(F.coalesce(F.col("o_orderstatus") == "O", F.lit(False)), "n_open"))
+    met = meeting_totals(supplier_windows(spark, sf_dir), orders, F.lit(_TODAY).cast("date"), 3, ("n_rows", "n_updates", "n_open"), ("first_update",)).filter("n_rows > 0")
+    return met.groupBy("name").agg(F.sum("n_updates").alias("n_updates"), F.sum("n_open").alias("n_open"), F.min("first_update").cast("long").alias("first_update"))
 
 
 @report(

@@ -108,11 +108,12 @@ def test_totals_of_overlaps_against_all_pairs(spark, padding):
 def test_overlap_reports_make_no_pairs(spark, tmp_path):
     """All orders fall into all windows: a thousand by ten thousand pairs, of which no join puts out one."""
     from rankloom.plans.keyword_reports import change_confounders
+    from rankloom.plans.search_reports import update_overlaps
 
     spark.range(1000).select((F.col("id") * 1500).alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
     orders = spark.range(10_000).select((F.col("id") * 7).alias("o_orderkey"), F.lit("1996-01-01").cast("timestamp").alias("o_orderdate"), F.lit("1-URGENT").alias("o_orderpriority"), F.when(F.col("id") % 2 == 0, "O").otherwise("F").alias("o_orderstatus"))
     orders.write.parquet(f"{tmp_path}/orders.parquet")
-    for report, want in ((change_confounders, {"before": (0,), "after": (10_000,)})),):
+    for report, want in ((change_confounders, {"before": (0,), "after": (10_000,)}), (update_overlaps, {"before": (10_000, 5_000, 0), "after": (10_000, 5_000, 0)})):
         found = report(spark, str(tmp_path))
         rows = found.collect()
         assert len(rows) == 2000 and all(tuple(r)[1:] == want[r.name.split()[0]] for r in rows)
