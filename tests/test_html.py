@@ -213,6 +213,6 @@ def test_crawl_reports_read_entities_as_their_sql(spark, tmp_path):
     spark.createDataFrame([(i, "https://a.test/", page(t)) for i, t in enumerate(titles)], "page_id long, url string, html string").coalesce(1).write.parquet(path)
     with duckdb.connect() as con:
         con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{path}/*.parquet')")
-        for name in ("crawl_pages", "coverage_ratios"):
+        for name in ("crawl_pages", "duplicate_metadata", "coverage_ratios"):
             want = con.execute(crawl_reports.ORACLE_SQL[name]).fetchall()
             assert sorted(map(tuple, crawl_reports.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(want), name
