@@ -143,8 +143,13 @@ def matched_prompts(prompts: DataFrame, rows: DataFrame, most_retained: int) ->
     """
     lists = first_of_each(rows.select("id", "at", "term"), "term", [F.col("id"), F.col("at")], MOST_POSTINGS)
     lists = ranked(lists, [], [F.col("id"), F.col("at"), F.col("term")], "n").filter(F.col("n") <= most_retained)
-    m = prompts.join(lists.select("term", F.col("id").alias("match")), "term").groupBy("id", "match").agg(F.count("*").alias("shared"))
-    return m.withColumn("k", F.row_number().over(W.partitionBy("id").orderBy(F.desc("shared"), "match"))).filter(F.col("k") <= MOST_MATCHES).drop("k")
+    # prompts of the same terms have the same matches, which are looked for once
+    asked_for = written(prompts.groupBy("id").agg(F.array_sort(F.collect_list("term")).alias("terms")), "prompts")
+    terms = asked_for.select("terms").distinct().select("terms", F.explode("terms").alias("term"))
+    lists = F.broadcast(lists.select("term", F.col("id").alias("match")))  # most_retained rows at most; a common term doesn't fill one task
+    m = terms.join(lists, "term").groupBy("terms", "match").agg(F.count("*").alias("shared"))
+    first = m.withColumn("k", F.row_number().over(W.partitionBy("terms").orderBy(F.desc("shared"), "match"))).filter(F.col("k") <= MOST_MATCHES).drop("k")
+    return asked_for.join(first, "terms").select("id", "match", "shared")
 
 
 @report(

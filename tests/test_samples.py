@@ -79,3 +79,25 @@ def test_prompts_meet_the_first_postings(spark, monkeypatch):
             want += [(p, i, s) for i, s in sorted(shared.items(), key=lambda x: (-x[1], x[0]))[:3]]
         got = match_reports.matched_prompts(spark.createDataFrame(prompts, kind), spark.createDataFrame(rows, kind), most)
         assert sorted(tuple(r) for r in got.select("id", "match", "shared").collect()) == sorted(want)
+
+
+def test_prompts_of_the_same_terms_are_matched_once(spark):
+    """Ten thousand prompts of three kinds and a hundred rows of each term: no join puts out a pair for each prompt and row."""
+    from rankloom.plans import match_reports
+
+    kinds = F.array(*[F.array(*map(F.lit, terms)) for terms in (["a", "b"], ["b", "c"], ["c"])])
+    table = lambda df: df.select("id", F.posexplode(F.element_at(kinds, (F.col("id") % 3 + 1).cast("int"))).alias("at", "term"))
+    got = match_reports.matched_prompts(table(spark.range(100_000, 110_000)), table(spark.range(600)), 50_000)
+    rows = got.collect()
+    want = {0: {(0, 2), (3, 2), (6, 2)}, 1: {(1, 2), (4, 2), (7, 2)}, 2: {(1, 1), (2, 1), (4, 1)}}
+    by_id = {}
+    for r in rows:
+        by_id.setdefault(r.id, set()).add((r.match, r.shared))
+    assert len(rows) == 30_000 and all(by_id[i] == want[i % 3] for i in range(100_000, 110_000))
+    made, todo = [], [got._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())] + ([node.executedPlan()] if "AdaptiveSparkPlan" in node.nodeName() else [node.plan()] if "QueryStage" in node.nodeName() else [])
+        if "Join" in node.nodeName():
+            made.append(node.metrics().apply("numOutputRows").value())
+    assert made and max(made) <= 30_000
