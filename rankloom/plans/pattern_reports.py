@@ -86,6 +86,12 @@ def pattern_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.join(themes, "term", "left").fillna(0, ["n_themes"])
 
 
+def _of_same(rows: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns that values have for their keys, nulls among them."""
+    named = values.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    return rows.join(named, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], "left").drop(*[f"_of_{k}" for k in keys])
+
+
 def coverage_class(body: Column, title: Column, heading: Column, least: float = 0.75) -> Column:
     """Whether a page's body, or its title and heading, lack the words of a query."""
     return F.when(body < least, "body-term-review").when((title < least) | (heading < least), "serp-framing-review").otherwise("covered")
@@ -105,9 +111,14 @@ def _share_sql(text: str) -> str:
 def pattern_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of a query a page's title, heading and body have, by stemmed terms."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_type", "p_brand")
+    rows = asked(spark, sf_dir).join(parts, "id")
+    # texts are read once, however many rows repeat them: each query and title, and each page of a query
+    texts = ["query", "name", "p_type", "p_brand"]
     body = F.concat("name", F.lit(" "), F.lower("p_type"), F.lit(" "), F.lower("p_brand"), F.lit(" price and reviews, guides"))
-    q = F.col("query")
-    rows = asked(spark, sf_dir).join(parts, "id").select("id", T.words_covered(q, F.col("name")).alias("title"), T.words_covered(q, F.concat(F.lit("All "), "name", F.lit("s"))).alias("heading"), T.words_covered(q, body).alias("body"))
+    q, framed = F.col("query"), rows.select("query", "name").distinct()
+    framed = framed.select("query", "name", T.words_covered(q, F.col("name")).alias("title"), T.words_covered(q, F.concat(F.lit("All "), "name", F.lit("s"))).alias("heading"))
+    told = rows.select(*texts).distinct().select(*texts, T.words_covered(q, body).alias("body"))
+    rows = _of_same(_of_same(rows, framed, texts[:2]), told, texts).select("id", "title", "heading", "body")
     return rows.withColumn("class", coverage_class(F.col("body"), F.col("title"), F.col("heading")))
 
 

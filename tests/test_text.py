@@ -74,3 +74,18 @@ def test_ranks_over_ranges(spark):
             want[r[2]] = n + 1
     assert {r.i: r.place for r in got} == want
     assert [r.place for r in ranked(spark.range(3).toDF("x"), [], [F.col("x")], "place").orderBy("x").collect()] == [1, 2, 3]
+
+
+def test_pattern_coverage_reads_repeated_texts_once(spark, tmp_path):
+    import duckdb
+    from pyspark.sql import functions as F
+    from rankloom.plans.pattern_reports import ORACLE_SQL, pattern_coverage
+
+    path, n = f"{tmp_path}/part.parquet", F.col("id")
+    parts = spark.range(2000).select(n.alias("p_partkey"), F.when(n % 41 > 0, F.concat(F.lit("red box "), (n % 3).cast("string"))).alias("p_name"), F.concat(F.lit("TYPE"), (n % 2).cast("string")).alias("p_type"), F.lit("Brand#1").alias("p_brand"))
+    parts.filter("p_name IS NOT NULL").coalesce(1).write.parquet(path)
+    found = pattern_coverage(spark, str(tmp_path))
+    assert "Aggregate" in found._jdf.queryExecution().executedPlan().toString()
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{path}/*.parquet')")
+        assert sorted(map(tuple, found.collect())) == sorted(con.execute(ORACLE_SQL["pattern_coverage"]).fetchall())
