@@ -17,6 +17,15 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Events of a row of the state.
+PACKED = 4096
+
+
+def _packed(events: list[tuple]) -> list[tuple]:
+    """Events (ts, seq, kind) as few rows of the state, which cost more than what they hold."""
+    return [tuple(map(list, zip(*events[i : i + PACKED], strict=True))) for i in range(0, len(events), PACKED)]
+
+
 class Ordered(StatefulProcessor):
     """Subclasses say what an event does. fields: the machine's state; columns: its output."""
 
@@ -37,20 +46,24 @@ class Ordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts long, seq long, kind string")
+        self.waiting = handle.getListState("waiting", "ts array<long>, seq array<long>, kind array<string>")
         self.machine = handle.getValueState("machine", self.fields)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        new = [(int(r.ts), int(r.seq), r.kind) for d in rows for r in d[["ts", "seq", "kind"]].itertuples(index=False) if r.ts > passed]
-        if new:
-            self.waiting.appendList(new)
-            self.handle.registerTimer(min(new)[0])
+        first = None
+        for d in rows:
+            new = d[d["ts"] > passed]
+            if len(new):
+                self.waiting.appendList(_packed(list(zip(new["ts"].tolist(), new["seq"].tolist(), new["kind"].tolist(), strict=True))))
+                first = int(new["ts"].min()) if first is None else min(first, int(new["ts"].min()))
+        if first is not None:
+            self.handle.registerTimer(first)
         yield self._table([], key)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        held = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
+        held = sorted(e for ts, seq, kind in self.waiting.get() for e in zip(map(int, ts), map(int, seq), kind, strict=True)) if self.waiting.exists() else []
         ready, later = [x for x in held if x[0] <= passed], [x for x in held if x[0] > passed]
         state, out = tuple(self.machine.get()) if self.machine.exists() else self.empty, []
         for ts, seq, kind in [*ready, (passed + 1, 0, None)]:
@@ -62,7 +75,7 @@ class Ordered(StatefulProcessor):
                 out += more
         if ready:
             if later:
-                self.waiting.put(later)
+                self.waiting.put(_packed(later))
             else:
                 self.waiting.clear()
         self.machine.update(state)

@@ -93,8 +93,9 @@ def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = events.withColumn("part", F.least(day + F.when(F.col("event_id") % 50 == LATE_ONES, 2).otherwise(0), F.lit(PARTS - 1)))
     root = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
     end = spark.createDataFrame([(-1, -1, "2099-01-01 00:00:00", "view")], "event_id long, user_id long, ts string, event_type string").withColumn("ts", F.to_timestamp("ts"))
-    for n in range(PARTS):  # files are read in the order in which they were written, one a batch
-        cut.filter(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(root)
+    # files are read in the order in which they were written, one a batch; all tasks read the events, one writes a part
+    for n in range(PARTS):
+        cut.filter(F.col("part") == n).drop("part").repartition(1).write.mode("append").parquet(root)
     end.coalesce(1).write.mode("append").parquet(root)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(root)
 

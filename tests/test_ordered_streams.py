@@ -66,3 +66,42 @@ def test_progress(stream, spark, tmp_path):
     rows = progress.progress_of(stream([(1, 0, 1, "a"), (1, 1, 2, "a")], [(1, 2, 3, "a")]).select("seq"), str(tmp_path / "out"), str(tmp_path / "c")).collect()
     assert sorted(map(tuple, rows)) == [(0, 2), (1, 1), (2, 1)]
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_waiting_events_are_few_rows_of_the_state():
+    """Ten thousand events of a key go into the state, and come back in order, as a row for each few thousand."""
+    import pandas as pd
+    from rankloom.streaming.ordered import PACKED, Quota
+
+    class Held:
+        rows, n_put = [], 0
+
+        def appendList(self, rows):
+            self.put([*self.rows, *rows])
+
+        def put(self, rows):
+            self.rows, self.n_put = rows, self.n_put + 1
+
+        update = put
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            return iter(self.rows) if self is quota.waiting else self.rows
+
+        def clear(self):
+            self.rows = []
+
+    class Clock:
+        def __init__(self, now):
+            self.getCurrentWatermarkInMs = lambda: now
+
+    quota, timers = Quota(1000, 1, 10**6), []
+    quota.waiting, quota.machine, quota.handle = Held(), Held(), type("Handle", (), {"registerTimer": lambda self, at: timers.append(at)})()
+    events = pd.DataFrame({"ts": [1 + i * 7919 % 10_000 for i in range(10_000)], "seq": range(10_000), "kind": "request"})
+    list(quota.handleInputRows((1,), iter([events[:6000], events[6000:]]), Clock(0)))
+    assert timers == [1] and len(quota.waiting.rows) <= 2 + 10_000 // PACKED
+    [out] = quota.handleExpiredTimer((1,), Clock(6000), None)
+    assert out["at"].tolist() == list(range(1, 6001)) and (out["decision"] == "reserved").sum() == 7
+    assert sum(len(ts) for ts, _, _ in quota.waiting.rows) == 4000 and timers == [1, 6001]
