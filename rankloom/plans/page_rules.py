@@ -377,7 +377,7 @@ def affected_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def top_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules to fix first, by severity and reach."""
-    g = ruled(spark, sf_dir).filter("kind = 'fix'").groupBy("rule", "severity").agg(F.count("*").alias("n"))
+    g = ruled(spark, sf_dir, FIXES).groupBy("rule", "severity").agg(F.count("*").alias("n"))
     return g.withColumn("score", 1000 * F.expr(_SEVERITY) + F.col("n") * 5).orderBy(F.desc("score"), "severity", F.desc("n"), "rule").limit(10)
 
 
