@@ -470,7 +470,7 @@ _CHECKS_SQL = "checks(name, rule) AS (VALUES " + ", ".join(f"('{name}', '{rule}'
 def agent_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each thing that agents need, how many pages stand for and against it."""
     checks = spark.createDataFrame([(name, rule) for name, rules in AGENT_CHECKS.items() for rule in rules], "name string, rule string")
-    failing = found(spark, sf_dir).join(F.broadcast(checks), "rule").groupBy("name").agg(F.countDistinct("page_id").alias("failing"))  # the table above
+    failing = found(spark, sf_dir, {rule for rules in AGENT_CHECKS.values() for rule in rules}).join(F.broadcast(checks), "rule").groupBy("name").agg(F.countDistinct("page_id").alias("failing"))  # the table above
     n = table(spark, sf_dir, "pages").count()
     named = checks.select("name").distinct().join(failing, "name", "left").fillna(0, ["failing"]).withColumn("passing", F.lit(n) - F.col("failing"))
     status = F.when(F.col("failing") == 0, "pass").when(F.col("failing") * 10 < n, "warn").otherwise("fail")

@@ -91,3 +91,19 @@ def test_url_patterns(spark):
     rows = spark.createDataFrame([(u,) for u in urls], "u string")
     match = lambda p: [r.u for r in rows.filter(page_rules.url_like(F.col("u"), p)).collect()]
     assert match("a.test*/en") == urls[:2] and match("0%_o") == urls[2:] and match("*") == urls and match("x*a.test") == []
+
+
+def test_reports_look_at_their_own_rules_only(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+    from rankloom.plans import page_rules
+
+    pages = spark.createDataFrame([(i, f"https://a.test/{i}", f"<html><head><title>t{i}</title></head><body><h1>x</h1></body></html>") for i in range(40)], "page_id long, url string, html string")
+    snapshots = page_rules.page_snapshots(pages)
+    key = lambda df: sorted((r.page_id, r.rule) for r in df.collect())
+    every = [x for x in key(page_rules.findings(snapshots)) if x[1] in page_rules.FIXES]
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+
+    monkeypatch.setattr(page_rules.T, "title_pixels", lambda title: F.raise_error(F.lit("the width of titles is no fix")).cast("double"))
+    assert every and key(page_rules.findings(snapshots, only=page_rules.FIXES)) == every
+    for report in (page_rules.affected_urls, page_rules.top_fixes, page_rules.agent_readiness):
+        assert report(spark, str(tmp_path)).collect()
