@@ -6,9 +6,15 @@ are dropped. Timers end reservations without an event.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from array import array
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -17,13 +23,56 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-#: Events of a row of the state.
-PACKED = 4096
+#: Events of a row of the state; events that a task gathers before it groups them by key.
+PACKED, GATHERED = 4096, 1 << 19
 
 
-def _packed(events: list[tuple]) -> list[tuple]:
-    """Events (ts, seq, kind) as few rows of the state, which cost more than what they hold."""
-    return [tuple(map(list, zip(*events[i : i + PACKED], strict=True))) for i in range(0, len(events), PACKED)]
+def _grouped(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Events as a row for each key: its newest event_time, and lists of ts, seq and kind. What has no time is dropped."""
+    t = pa.Table.from_batches(batches)
+    t = t.filter(pc.is_valid(t["event_time"])).sort_by([("key", "ascending"), ("event_time", "ascending")]).combine_chunks()
+    if t.num_rows:
+        ends = pc.run_end_encode(t["key"].chunk(0)).run_ends
+        offsets = pa.concat_arrays([pa.array([0], ends.type), ends])
+        lists = [pa.ListArray.from_arrays(offsets, t[c].chunk(0)) for c in ("ts", "seq", "kind")]
+        newest = t.select(["key", "event_time"]).take(pc.subtract(ends, 1)).combine_chunks()
+        yield pa.RecordBatch.from_arrays([*(c.chunk(0) for c in newest.columns), *lists], ["key", "event_time", "ts", "seq", "kind"])
+
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Events (key, event_time, ts, seq, kind) by key within a task, as what costs in a state machine is the row that comes in."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= GATHERED:
+            yield from _grouped(held)
+            held = []
+    if held:
+        yield from _grouped(held)
+
+
+def _flat(column: pd.Series) -> np.ndarray:
+    """The values of single events, or of lists of them."""
+    return np.concatenate([np.atleast_1d(x) for x in column])
+
+
+def _objects(values: Sequence) -> np.ndarray:
+    """Values as they are, so that a number or none stays a number."""
+    out = np.empty(len(values), dtype=object)
+    out[:] = values
+    return out
+
+
+def _packed(ts: list[int], seq: list[int], kind: list[str]) -> list[tuple]:
+    """Events as few rows of the state, which cost more than what they hold; arrays (l, which the JVM reads; it has no q) and JSON, as lists
+    are looked at item by item."""
+    parts = [slice(i, i + PACKED) for i in range(0, len(ts), PACKED)]
+    return [(array("l", ts[p]), array("l", seq[p]), json.dumps(kind[p])) for p in parts]
+
+
+def _unpacked(rows: Iterator[tuple]) -> Iterator[tuple[int, int, str]]:
+    for ts, seq, kind in rows:
+        yield from zip(ts, seq, json.loads(kind), strict=True)
 
 
 class Ordered(StatefulProcessor):
@@ -46,25 +95,26 @@ class Ordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts array<long>, seq array<long>, kind array<string>")
+        self.waiting = handle.getListState("waiting", "ts array<long>, seq array<long>, kind string")
         self.machine = handle.getValueState("machine", self.fields)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
         first = None
         for d in rows:
-            new = d[d["ts"] > passed]
-            if len(new):
-                self.waiting.appendList(_packed(list(zip(new["ts"].tolist(), new["seq"].tolist(), new["kind"].tolist(), strict=True))))
-                first = int(new["ts"].min()) if first is None else min(first, int(new["ts"].min()))
+            ts, seq, kind = (_flat(d[c]) for c in ("ts", "seq", "kind"))
+            if (new := ts > passed).any():
+                self.waiting.appendList(_packed(ts[new].tolist(), seq[new].tolist(), kind[new].tolist()))
+                first = min(int(ts[new].min()), first if first is not None else int(ts[new].min()))
         if first is not None:
             self.handle.registerTimer(first)
         yield self._table([], key)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        held = sorted(e for ts, seq, kind in self.waiting.get() for e in zip(map(int, ts), map(int, seq), kind, strict=True)) if self.waiting.exists() else []
-        ready, later = [x for x in held if x[0] <= passed], [x for x in held if x[0] > passed]
+        held = sorted(_unpacked(self.waiting.get())) if self.waiting.exists() else []
+        cut = bisect_right(held, passed, key=lambda x: x[0])
+        ready, later = held[:cut], held[cut:]
         state, out = tuple(self.machine.get()) if self.machine.exists() else self.empty, []
         for ts, seq, kind in [*ready, (passed + 1, 0, None)]:
             while (end := self.deadline(state)) is not None and end < ts:
@@ -75,7 +125,7 @@ class Ordered(StatefulProcessor):
                 out += more
         if ready:
             if later:
-                self.waiting.put(_packed(later))
+                self.waiting.put(_packed(*map(list, zip(*later, strict=True))))
             else:
                 self.waiting.clear()
         self.machine.update(state)
@@ -85,10 +135,8 @@ class Ordered(StatefulProcessor):
         yield self._table(out, key)
 
     def _table(self, rows: list[tuple], key) -> pd.DataFrame:
-        made = pd.DataFrame(rows, columns=self.columns)
-        made["seq"] = made["seq"].astype("Int64")
-        made.insert(0, "key", [key[0]] * len(rows))
-        return made
+        columns = zip(*rows, strict=True) if rows else [()] * len(self.columns)
+        return pd.DataFrame(dict(zip(["key", *self.columns], map(_objects, [[key[0]] * len(rows), *columns]), strict=True)))
 
     def close(self) -> None:
         pass
@@ -97,8 +145,9 @@ class Ordered(StatefulProcessor):
 def _run(events: DataFrame, machine: Ordered, late: str, schema: str) -> DataFrame:
     """events (key, ts timestamp, seq, kind), put in order and fed to the machine."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    timed = events.withWatermark("ts", late).select("key", "seq", "kind", F.col("ts").alias("event_time"), F.unix_millis("ts").alias("ts"))
-    return timed.groupBy("key").transformWithStateInPandas(machine, schema, "Append", "EventTime")
+    timed = events.select("key", F.col("ts").alias("event_time"), F.unix_millis("ts").alias("ts"), F.col("seq").cast("long").alias("seq"), "kind")
+    rows = timed.mapInArrow(grouped, f"key {events.schema['key'].dataType.simpleString()}, event_time timestamp, ts array<long>, seq array<long>, kind array<string>")
+    return rows.withWatermark("event_time", late).groupBy("key").transformWithStateInPandas(machine, schema, "Append", "EventTime")
 
 
 class Tasks(Ordered):

@@ -78,8 +78,8 @@ def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- late and disordered data: a replay in parts ------------------------------------------------------------------------------------------
 
-#: Parts of the replay; days of a part; an event of LATE_ONES comes two parts after its own.
-PARTS, PART_DAYS, LATE_ONES, DELAY = 6, 6, 17, "1 day"
+#: Parts of the replay and files of a part; days of a part; an event of LATE_ONES comes two parts after its own.
+PARTS, FILES, PART_DAYS, LATE_ONES, DELAY = 6, 12, 6, 17, "1 day"
 _PART = f"least(CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / {PART_DAYS}) AS INT) + CASE WHEN event_id % 50 = {LATE_ONES} THEN 2 ELSE 0 END, {PARTS - 1})"
 #: Events with the time that the watermark had passed when their part came.
 _REPLAY = f"""parts AS (SELECT *, {_PART} AS part FROM events), tops AS (SELECT part, max(ts) AS top FROM parts GROUP BY 1),
@@ -93,11 +93,14 @@ def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = events.withColumn("part", F.least(day + F.when(F.col("event_id") % 50 == LATE_ONES, 2).otherwise(0), F.lit(PARTS - 1)))
     root = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
     end = spark.createDataFrame([(-1, -1, "2099-01-01 00:00:00", "view")], "event_id long, user_id long, ts string, event_type string").withColumn("ts", F.to_timestamp("ts"))
-    # files are read in the order in which they were written, one a batch; all tasks read the events, one writes a part
+    # files are read in the order in which they were written, FILES a batch, so each part has as many; all tasks read and write a part
     for n in range(PARTS):
-        cut.filter(F.col("part") == n).drop("part").repartition(1).write.mode("append").parquet(root)
+        cut.filter(F.col("part") == n).drop("part").repartition(FILES).write.mode("append").parquet(root)
+        made = len(spark.read.schema(end.schema).parquet(root).inputFiles())
+        for _ in range(made, FILES * (n + 1)):  # tasks without rows write no file, but one of an empty table
+            end.limit(0).coalesce(1).write.mode("append").parquet(root)
     end.coalesce(1).write.mode("append").parquet(root)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(root)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES).parquet(root)
 
 
 @report(

@@ -105,3 +105,40 @@ def test_waiting_events_are_few_rows_of_the_state():
     [out] = quota.handleExpiredTimer((1,), Clock(6000), None)
     assert out["at"].tolist() == list(range(1, 6001)) and (out["decision"] == "reserved").sum() == 7
     assert sum(len(ts) for ts, _, _ in quota.waiting.rows) == 4000 and timers == [1, 6001]
+
+
+def test_events_come_in_as_a_row_of_a_key():
+    """What a task has of a key's events is one row, with the time of the newest; those without a time are dropped."""
+    import pyarrow as pa
+    from rankloom.streaming.ordered import grouped
+
+    def batch(rows):
+        key, ts, seq, kind = zip(*rows, strict=True)
+        return pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "event_time": pa.array(ts, pa.timestamp("us", "UTC")), "ts": pa.array(ts, pa.int64()), "seq": pa.array(seq, pa.int64()), "kind": pa.array(kind, pa.string())})
+
+    rows = [(i % 3, 1 + i * 7919 % 30_000, i, "request") for i in range(30_000)]
+    made = list(grouped(iter([batch(rows[:10_000]), batch([(None, None, 1, "x")]), batch([(4, None, 1, "x"), *rows[10_000:], (None, 5, 7, None)])])))
+    got = [r for b in made for r in b.to_pylist()]
+    assert [(r["key"], r["event_time"].microsecond, len(r["ts"])) for r in got] == [(k, max(t for x, t, _, _ in rows if x == k), 10_000) for k in range(3)] + [(None, 5, 1)]
+    assert sorted((r["key"], *e) for r in got[:3] for e in zip(r["ts"], r["seq"], r["kind"], strict=True)) == sorted(rows)
+    assert list(grouped(iter([batch([(1, None, 1, "x")])]))) == []
+
+
+@pytest.mark.parametrize("n", [9, 2000])
+def test_parts_of_the_replay_are_batches_of_several_files(spark, tmp_path, n):
+    """Each part has its files, be its events fewer than they, and comes as one batch."""
+    import duckdb
+    from rankloom.streaming import queries
+
+    rows = [(i, f"2024-01-{1 + i * 11 % 30:02d} 00:00:{i % 60:02d}", i % 7, ["view", "click", "signup", "purchase", "error"][i % 5]) for i in range(n)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    stream = queries.replayed(spark, str(tmp_path))
+    root = stream._jdf.queryExecution().analyzed().toString().split("FileSource[")[1].split("]")[0]
+    files = spark.read.parquet(root).inputFiles()
+    assert len(files) == queries.PARTS * queries.FILES + 1 and queries.FILES > 1
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+        for name in ("stream_progress", "stream_tasks"):
+            want = [r for r in con.execute(queries.ORACLE_SQL[name]).fetchall() if name == "stream_tasks" or r[1]]
+            assert sorted(map(tuple, queries.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(want), name
