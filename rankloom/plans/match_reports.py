@@ -110,10 +110,10 @@ def local_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(g, "path", "left").select("page", "impressions", "region", F.coalesce("sessions", F.lit(0)).alias("sessions"))
 
 
-#: Postings of a term that are used, matches that a prompt keeps; parts that the pages of a thing are dealt to.
+#: Postings of a thing or term that are used, matches that a prompt keeps; parts that the pages of a thing are dealt to.
 MOST_POSTINGS, MOST_MATCHES, SALTS = 100, 3, 16
-#: Fixed value: postings of all terms that are used, in the order of the queries.
-MOST_RETAINED = 50_000
+#: Queries of up to so many terms meet by subsets of these, longer ones term by term.
+FEW_TERMS = 10
 
 
 def first_of_each(rows: DataFrame, key: str, order: list, k: int, parts: int = 32) -> DataFrame:
@@ -126,30 +126,42 @@ def first_of_each(rows: DataFrame, key: str, order: list, k: int, parts: int = 3
 
 @report(
     "prompt_matches",
-    f"""WITH {_ASKED}, q AS (SELECT id, {_terms_sql('query')} AS terms FROM asked), t AS (SELECT id, unnest(terms) AS term, unnest(range(len(terms))) AS pos FROM q), f AS (SELECT * FROM t WHERE id % 10 <> 0 QUALIFY row_number() OVER (PARTITION BY term ORDER BY id) <= {MOST_POSTINGS}),
-    p AS (SELECT * FROM f QUALIFY row_number() OVER (ORDER BY id, pos) <= {MOST_RETAINED}), m AS (SELECT a.id, b.id AS match, count(*) AS shared FROM t a JOIN p b USING (term) WHERE a.id % 10 = 0 GROUP BY 1, 2)
+    f"""WITH {_ASKED}, q AS (SELECT id, {_terms_sql('query')} AS terms FROM asked), t AS (SELECT id, unnest(terms) AS term FROM q),
+    m AS (SELECT a.id, b.id AS match, count(*) AS shared FROM t a JOIN t b USING (term) WHERE a.id % 10 = 0 AND b.id % 10 <> 0 GROUP BY 1, 2)
     SELECT id, match, shared FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY shared DESC, match) <= {MOST_MATCHES}""",
 )
 def prompt_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three queries that share most terms with each prompt."""
+    """The three queries that share most terms with each prompt, of all queries."""
     t = asked(spark, sf_dir).select("id", F.posexplode(T.pattern_terms(F.col("query"))).alias("at", "term"))
-    return matched_prompts(t.filter("id % 10 = 0"), t.filter("id % 10 <> 0"), MOST_RETAINED)
+    return matched_prompts(t.filter("id % 10 = 0"), t.filter("id % 10 <> 0"))
 
 
-def matched_prompts(prompts: DataFrame, rows: DataFrame, most_retained: int) -> DataFrame:
-    """id, match, shared from the terms of prompts and of rows (id, at, term).
+def matched_prompts(prompts: DataFrame, rows: DataFrame, most_retained: int | None = None) -> DataFrame:
+    """id, match, shared from the terms of prompts and of rows (id, at, term): the first MOST_MATCHES by shared terms, then by id.
 
-    A term's list holds its first MOST_POSTINGS rows, all lists together the first most_retained of these: the operator's own bounds.
+    A match that shares the terms S with a prompt is among the first MOST_MATCHES rows that have all of S: any before it share as much and
+    rank higher. So a prompt looks up the first rows of each subset of its terms, and no pair of a prompt and a row is made. Ids of more
+    than FEW_TERMS terms, or with a repeated one (each counts), meet the others term by term. Prompts and rows of the same terms count as one.
+    With most_retained a term's list holds its first MOST_POSTINGS rows, all lists together the first most_retained of these; without, all rows.
     """
-    lists = first_of_each(rows.select("id", "at", "term"), "term", [F.col("id"), F.col("at")], MOST_POSTINGS)
-    lists = ranked(lists, [], [F.col("id"), F.col("at"), F.col("term")], "n").filter(F.col("n") <= most_retained)
-    # prompts of the same terms have the same matches, which are looked for once
-    asked_for = written(prompts.groupBy("id").agg(F.array_sort(F.collect_list("term")).alias("terms")), "prompts")
-    terms = asked_for.select("terms").distinct().select("terms", F.explode("terms").alias("term"))
-    lists = F.broadcast(lists.select("term", F.col("id").alias("match")))  # most_retained rows at most; a common term doesn't fill one task
-    m = terms.join(lists, "term").groupBy("terms", "match").agg(F.count("*").alias("shared"))
-    first = m.withColumn("k", F.row_number().over(W.partitionBy("terms").orderBy(F.desc("shared"), "match"))).filter(F.col("k") <= MOST_MATCHES).drop("k")
-    return asked_for.join(first, "terms").select("id", "match", "shared")
+    if most_retained is not None:
+        rows = first_of_each(rows.select("id", "at", "term"), "term", [F.col("id"), F.col("at")], MOST_POSTINGS)
+        rows = ranked(rows, [], [F.col("id"), F.col("at"), F.col("term")], "n").filter(F.col("n") <= most_retained)
+    listed = lambda df: df.groupBy("id").agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    few = (F.size("terms") <= FEW_TERMS) & (F.size("terms") == F.size(F.array_distinct("terms")))
+    asked_for = written(listed(prompts), "prompts")
+    asking = asked_for.select("terms").distinct().withColumn("few", few)
+    # of the rows of the same terms, only the first can be matches
+    kinds = written(first_of_each(listed(rows), "terms", [F.col("id")], MOST_MATCHES).select("terms", F.col("id").alias("match"), few.alias("few")), "kinds")
+    subsets = F.aggregate("terms", F.array(F.array().cast("array<string>")), lambda found, term: F.concat(found, F.transform(found, lambda s: F.array_append(s, term))))
+    subset = F.explode(F.filter(subsets, lambda s: F.size(s) > 0)).alias("subset")
+    first = first_of_each(kinds.filter("few").select(subset, "match"), "subset", [F.col("match")], MOST_MATCHES)
+    met = asking.filter("few").select("terms", subset).join(first, "subset").groupBy("terms", "match").agg(F.max(F.size("subset")).cast("long").alias("shared"))
+    term = lambda df, *columns: df.select(*columns, F.explode("terms").alias("term"))
+    for some, others in ((asking.filter("few"), kinds.filter("NOT few")), (asking.filter("NOT few"), kinds)):
+        met = met.union(term(some, "terms").join(term(others, "match"), "term").groupBy("terms", "match").agg(F.count("*").alias("shared")))
+    best = met.withColumn("k", F.row_number().over(W.partitionBy("terms").orderBy(F.desc("shared"), "match"))).filter(F.col("k") <= MOST_MATCHES).drop("k")
+    return asked_for.join(best, "terms").select("id", "match", "shared")
 
 
 @report(

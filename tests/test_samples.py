@@ -101,3 +101,25 @@ def test_prompts_of_the_same_terms_are_matched_once(spark):
         if "Join" in node.nodeName():
             made.append(node.metrics().apply("numOutputRows").value())
     assert made and max(made) <= 30_000
+
+
+def test_prompts_meet_all_rows(spark, monkeypatch):
+    """No list of a term and no number of rows is cut; long queries and repeated terms count as the SQL has them."""
+    from rankloom.plans import match_reports
+
+    monkeypatch.setattr(match_reports, "FEW_TERMS", 4)
+    rng = random.Random(8)
+    terms = lambda: rng.choices("abcdefgh", k=5) if rng.random() < 0.1 else rng.sample("abcdefgh", rng.choice([1, 2, 3, 4, 6]))
+    rows = [(i, at, "all") for i in range(400, 900) for at in (9,)] + [(i, at, t) for i in range(900) for at, t in enumerate(terms())]
+    prompts = [(1000 + i, at, t) for i in range(60) for at, t in enumerate(["all", *terms()] if i % 3 else terms())]
+    of, want = {}, []
+    for i, _, t in rows:
+        of.setdefault(i, []).append(t)
+    for p in {p for p, _, _ in prompts}:
+        asked = [t for q, _, t in prompts if q == p]
+        shared = {i: n for i, ts in of.items() if (n := sum(ts.count(t) for t in asked))}
+        want += [(p, i, n) for i, n in sorted(shared.items(), key=lambda x: (-x[1], x[0]))[:3]]
+    kind = "id long, at int, term string"
+    got = match_reports.matched_prompts(spark.createDataFrame(prompts, kind), spark.createDataFrame(rows, kind))
+    assert sorted(tuple(r) for r in got.select("id", "match", "shared").collect()) == sorted(want)
+    assert max(i for _, i, _ in want) >= 400  # behind the first hundred rows of every term
