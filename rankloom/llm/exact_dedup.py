@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .storage import materialize
+from .storage import MOST_SENT_IDS, materialize, sent_if_few
 
 WHITESPACE = r"[\x20\x09-\x0D]+"
 #: A chunk ends at the first boundary after so many UTF-8 bytes, or at LONGEST bytes.
@@ -85,6 +85,8 @@ def _with_variants(base: DataFrame, rows: DataFrame, collisions: DataFrame, chun
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows whose text an earlier id already has. Rows that repeat an id are judged by their own text."""
-    dropped = exact_dedup(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped_id"), F.col("text_sha256").alias("_dropped_text")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_dropped_id")) & (F.sha2(normalise(docs["text"]), 256) == F.col("_dropped_text"))
+    # digests as bytes; the rows are written first, so that documents needn't be shuffled to lose them
+    dropped = exact_dedup(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped_id"), F.unhex("text_sha256").alias("_dropped_text")).distinct()
+    dropped = sent_if_few(materialize(dropped, "copies"), MOST_SENT_IDS)
+    same = docs["doc_id"].eqNullSafe(F.col("_dropped_id")) & (F.unhex(F.sha2(normalise(docs["text"]), 256)) == F.col("_dropped_text"))
     return docs.join(dropped, same, "left_anti")
